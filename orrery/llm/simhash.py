@@ -84,8 +84,14 @@ def _low(fp: Column) -> Column:
     return fp.bitwiseAND(F.lit((1 << HALF) - 1))
 
 
-def _without(part: Column, *bits: int) -> Column:
-    return part.bitwiseAND(F.lit(((1 << HALF) - 1) & ~sum(1 << b for b in bits)))
+def _masks(deleted: list[tuple[int, ...]]) -> Column:
+    """A constant array: for each set of deleted bits the mask of the others."""
+    values = [((1 << HALF) - 1) & ~sum(1 << b for b in bits) for bits in deleted]
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+ONE_DELETED = [(b,) for b in range(HALF)]
+TWO_DELETED = list(combinations(range(HALF), 2))
 
 
 def _differing(a: str, b: str) -> Column:
@@ -94,27 +100,21 @@ def _differing(a: str, b: str) -> Column:
 
 def _variants(fps: DataFrame) -> DataFrame:
     """``(kind, part, fp)``: kind 0..31 deletes that bit of the high segment, 32 is the low one."""
-    high, low = _high(F.col("fp")), _low(F.col("fp"))
-    rows = [F.struct(F.lit(b).alias("kind"), _without(high, b).alias("part")) for b in range(HALF)]
-    rows.append(F.struct(F.lit(HALF).alias("kind"), low.alias("part")))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("v")).select("v.kind", "v.part", "fp")
+    fp = F.col("fp")
+    part = F.when(F.col("kind") == HALF, _low(fp)).otherwise(_high(fp).bitwiseAND(F.col("mask")))
+    return fps.select("fp", F.posexplode(_masks([*ONE_DELETED, ()])).alias("kind", "mask")).select("kind", part.alias("part"), "fp")
 
 
 def _refined(members: DataFrame) -> DataFrame:
     """Two-deletion variants of the members of large buckets, as ``(kind, part, sub, rest, fp)``."""
-    high, low = _high(F.col("fp")), _low(F.col("fp"))
-    one = [F.struct(F.lit(b).alias("sub"), _without(low, b).alias("rest")) for b in range(HALF)]
-    pairs = list(combinations(range(HALF), 2))
-
-    def two(part: Column, whole: Column, tag: int) -> list[Column]:
-        packed = F.shiftleft(whole, HALF)
-        return [F.struct(F.lit(tag + n).alias("sub"), packed.bitwiseOR(_without(part, *p)).alias("rest")) for n, p in enumerate(pairs)]
-
-    keep = ["kind", "part", "fp"]
-    each = members.where(F.col("kind") < HALF).select(*keep, F.explode(F.array(*one)).alias("v"))
-    same_high = members.where(F.col("kind") == 0).select(*keep, F.explode(F.array(*two(low, high, 1000))).alias("v"))
-    same_low = members.where(F.col("kind") == HALF).select(*keep, F.explode(F.array(*two(high, low, 2000))).alias("v"))
-    return each.unionByName(same_high).unionByName(same_low).select("kind", "part", "v.sub", "v.rest", "fp")
+    fp, kind, mask = F.col("fp"), F.col("kind"), F.col("mask")
+    each = members.where(kind < HALF).select("kind", "part", "fp", F.posexplode(_masks(ONE_DELETED)).alias("sub", "mask"))
+    each = each.select("kind", "part", "sub", _low(fp).bitwiseAND(mask).alias("rest"), "fp")
+    equal = members.where((kind == 0) | (kind == HALF)).select("kind", "part", "fp", F.posexplode(_masks(TWO_DELETED)).alias("sub", "mask"))
+    same, other = F.when(kind == 0, _high(fp)).otherwise(_low(fp)), F.when(kind == 0, _low(fp)).otherwise(_high(fp))
+    rest = F.shiftleft(same, HALF).bitwiseOR(other.bitwiseAND(mask))
+    equal = equal.select("kind", "part", (F.col("sub") + HALF).alias("sub"), rest.alias("rest"), "fp")
+    return each.unionByName(equal)
 
 
 def link_fingerprints(fps: DataFrame, max_distance: int = 2, bucket_rows: int = 64) -> DataFrame:
