@@ -127,23 +127,23 @@ def _longest(fits: Column) -> Column:
 
 
 def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add ``best``, the longest fitting rule of each (``host``, ``path``), or null."""
+    """Add ``__best``, the longest fitting rule of each (``host``, ``path``), or null."""
     if not rules:
-        return urls.withColumn("best", F.lit(None).cast("struct<n:int,host:string,path:string,verdict:string>"))
+        return urls.withColumn("__best", F.lit(None).cast("struct<n:int,host:string,path:string,verdict:string>"))
     if len(rules) <= MAX_INLINE_RULES:
         table = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict")) for r in rules])
         fits = F.filter(
             table,
             lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["path"]),
         )
-        return urls.withColumn("best", _longest(fits))
+        return urls.withColumn("__best", _longest(fits))
     known = urls.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, rule_host string, rule_path string")
     parts = F.split("host", "\\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     places = urls.select("host", "path").distinct()
     found = places.select("host", "path", F.explode(suffixes).alias("rule_host")).join(known, "rule_host").where(F.startswith("path", F.col("rule_path")))
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.col("rule_host").alias("host"), F.col("rule_path").alias("path"), "verdict")
-    best = found.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    best = found.groupBy("host", "path").agg(F.max(rank).alias("__best"))
     return urls.join(best, ["host", "path"], "left")
 
 
@@ -158,8 +158,8 @@ def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RU
     spare = [c for c in made if c in pages.columns and c != url_col]
     cutted = pages.drop(*spare).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     judged = match_rules(cutted, rules)
-    judged = judged.withColumn("rule", F.concat(F.col("best.host"), F.col("best.path")))
+    judged = judged.withColumn("rule", F.concat(F.col("__best.host"), F.col("__best.path")))
     judged = judged.withColumn("block_score", probability(gram_ids(F.col("host"), F.col("path")), weights))
-    verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("block_score") >= cut, "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).drop("best")
+    verdict = F.coalesce(F.col("__best.verdict"), F.when(F.col("block_score") >= cut, "block").otherwise("allow"))
+    return judged.withColumn("verdict", verdict).drop("__best")
 
