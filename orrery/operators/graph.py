@@ -170,17 +170,30 @@ def health(n: Column, cyclic: Column, cycles: Column, upper: Column, prop: Colum
     return F.least(F.greatest(100.0 - ring - 20.0 * upper - 15.0 * prop - 15.0 * cost - 5.0 * coupling, F.lit(0.0)), F.lit(100.0))
 
 
-def dsm_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of all matrix metrics of ``nodes(id, group)`` and ``edges``."""
+def dsm_report(nodes: DataFrame, edges: DataFrame, partitioned: bool = False) -> DataFrame:
+    """One row of all matrix metrics of ``nodes(id, group)`` and ``edges``.
+
+    Elements stand by (group, id), or foundations first if ``partitioned``.  Where no node has
+    a group, clusters are merged greedily.
+    """
+    from orrery.operators import layering
+
     elements = checkpoint(matrix_elements(nodes, edges))
+    inner = checkpoint(simple_edges(edges, elements))
+    if partitioned:
+        elements = checkpoint(elements.drop("idx").join(layering.partition_order(elements, inner), "id"))
     cells = checkpoint(matrix_cells(edges, elements))
-    inner = simple_edges(edges, elements)
     parts = strong_components(inner, elements).where("cyclic")
     rings = parts.agg(F.count("*").alias("cyclic_nodes"), F.countDistinct("component").alias("cycles"))
     size = elements.count()
     buses = checkpoint(bus_ids(cells, size))
     one = density(cells, elements).join(rings, F.lit(True)).join(propagation(inner, elements), F.lit(True))
-    one = one.join(clustered_cost(cells, elements, buses), F.lit(True)).join(buses.agg(F.count("*").alias("buses")), F.lit(True))
+    grouped = elements
+    if elements.where(F.col("group").isNotNull()).isEmpty():
+        merged = layering.greedy_clusters(cells, elements, buses)
+        grouped = checkpoint(elements.drop("group").join(merged, "id").withColumnRenamed("cluster", "group"))
+    priced = matrix_cells(edges, grouped)
+    one = one.join(clustered_cost(priced, grouped, buses), F.lit(True)).join(buses.agg(F.count("*").alias("buses")), F.lit(True))
     score = health(*[F.col(c) for c in ("n", "cyclic_nodes", "cycles", "upper", "propagation", "normalised", "coupling")])
     rounded = {c: F.round(c, 6) for c in ("upper", "coupling", "propagation", "normalised")}
     return one.withColumn("health", F.round(score, 6)).withColumns(rounded)
