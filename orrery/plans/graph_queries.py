@@ -59,10 +59,10 @@ def node_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(nation_edges(spark, sf_dir), nation_nodes(spark, sf_dir))
 
 
-@query(f"WITH {EDGES_SQL} SELECT target AS id, 'uses' AS direction FROM edges WHERE source = 'GERMANY' UNION SELECT source, 'used by' FROM edges WHERE target = 'GERMANY'")
+@query(f"WITH {EDGES_SQL} SELECT target AS id, 'uses' AS direction FROM edges WHERE source = 'NATION_3' UNION SELECT source, 'used by' FROM edges WHERE target = 'NATION_3'")
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules next to one module."""
-    return G.neighbourhood(nation_edges(spark, sf_dir), "GERMANY")
+    return G.neighbourhood(nation_edges(spark, sf_dir), "NATION_3")
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {REACH_SQL} SELECT source, target FROM reach")

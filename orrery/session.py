@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -78,7 +79,25 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Rows that a Python function sees at once; texts can be long.
+SLICE_ROWS = 512
+
+_KEPT: dict[str, Any] = {}
+
+
+def worker_cache(key: str, build: Callable[[], Any]) -> Any:
+    """The one large object that a Python worker keeps; another key replaces it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` for functions that use this package."""
+    """``mapInArrow`` for functions that use this package, over slices of ``SLICE_ROWS`` rows."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def sliced(batches: Iterator) -> Iterator:
+        yield from run(batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+
+    return df.mapInArrow(sliced, schema)
