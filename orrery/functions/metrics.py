@@ -7,7 +7,7 @@ treats accented letters as word characters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marker words of stale decisions, hash-comment extensions, size limits.
@@ -78,20 +78,23 @@ def cyclomatic(code: Column) -> Column:
     return (decision_points(code) + 1).cast("double")
 
 
-def halstead(code: Column) -> Column:
-    """Struct of the Halstead counts and measures of stripped text."""
+def halstead_tokens(code: Column) -> Column:
+    """Operators and operands of stripped text in order; operator words are lower-cased."""
     tokens = F.regexp_extract_all(code, F.lit(TOKENS), F.lit(0))
-    named = F.transform(tokens, lambda t: F.when(F.lower(t).isin(*OPERATOR_WORDS), F.lower(t)).otherwise(t))
+    return F.transform(tokens, lambda t: F.when(F.lower(t).isin(*OPERATOR_WORDS), F.lower(t)).otherwise(t))
+
+
+def halstead(tokens: Column) -> Column:
+    """Struct (n1, n2, t1, t2): distinct and total operators and operands, each at least 1."""
     is_operator = lambda t: ~F.regexp_like(t, F.lit("^[A-Za-z_$0-9]")) | t.isin(*OPERATOR_WORDS)
-    operators, operands = F.filter(named, is_operator), F.filter(named, lambda t: ~is_operator(t))
+    operators, operands = F.filter(tokens, is_operator), F.filter(tokens, lambda t: ~is_operator(t))
     at_least_one = lambda c: F.greatest(c, F.lit(1)).cast("long")
-    counts = F.struct(
+    return F.struct(
         at_least_one(F.size(F.array_distinct(operators))).alias("n1"),
         at_least_one(F.size(F.array_distinct(operands))).alias("n2"),
         at_least_one(F.size(operators)).alias("t1"),
         at_least_one(F.size(operands)).alias("t2"),
     )
-    return counts
 
 
 def volume(h: Column) -> Column:
@@ -196,23 +199,29 @@ def cohesion(symbols: Column, components: Column) -> Column:
     return F.when(symbols <= 1, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), 100.0 * (1.0 - (c - 1) / (symbols - 1))))
 
 
-def classic_metrics(text: Column, loc: Column) -> Column:
-    """Struct (cc, cog, vol, diff, mi, a, b, c, mag, dit); texts beyond the limits are approximated from their lines."""
-    code = strip_noise(sample(text))
-    h, x, cc = halstead(code), abc(code), cyclomatic(code)
-    n = F.greatest(loc, F.lit(1)).cast("double")
+def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "loc") -> DataFrame:
+    """``files`` plus ``m``: struct (cc, cog, vol, diff, mi, a, b, c, mag, dit).
+
+    Texts beyond the limits are approximated from their lines.  Stripped text and tokens are
+    columns of their own on the way, so that each is made once a row.
+    """
+    step = files.withColumn("__code", strip_noise(sample(F.col(text))))
+    step = step.withColumn("__tokens", halstead_tokens(F.col("__code")))
+    code = F.col("__code")
+    step = step.withColumns({"__h": halstead(F.col("__tokens")), "__x": abc(code), "__cc": cyclomatic(code), "__cog": cognitive(code), "__dit": inheritance_depth(code)})
+    n = F.greatest(F.col(loc), F.lit(1)).cast("double")
     clamp = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), F.lit(high))
     size_cc, size_vol = clamp(n / 25.0, 1.0, 200.0), n * 12.5
     half = F.floor(size_cc / 2.0 + 0.5).cast("long")
     rough = F.struct(F.floor(n / 8.0 + 0.5).cast("long").alias("a"), half.alias("b"), half.alias("c"))
-    large = (F.octet_length(text) > FULL_BYTES) | (loc > FULL_LINES)
+    large = (F.octet_length(text) > FULL_BYTES) | (F.col(loc) > FULL_LINES)
 
-    def pack(cc, cog, vol, diff, x, dit):
+    def pack(cc: Column, cog: Column, vol: Column, diff: Column, x: Column, dit: Column) -> Column:
         return F.struct(
             cc.alias("cc"), cog.alias("cog"), vol.alias("vol"), diff.alias("diff"), maintainability(vol, cc, n).alias("mi"),
             x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c"), magnitude(x).alias("mag"), dit.alias("dit"),
         )
 
-    return F.when(large, pack(size_cc, clamp(n / 20.0, 1.0, 250.0), size_vol, F.greatest(size_cc / 4.0, F.lit(1.0)), rough, F.lit(0.0))).otherwise(
-        pack(cc, cognitive(code), volume(h), difficulty(h), x, inheritance_depth(code))
-    )
+    exact = pack(F.col("__cc"), F.col("__cog"), volume(F.col("__h")), difficulty(F.col("__h")), F.col("__x"), F.col("__dit"))
+    guess = pack(size_cc, clamp(n / 20.0, 1.0, 250.0), size_vol, F.greatest(size_cc / 4.0, F.lit(1.0)), rough, F.lit(0.0))
+    return step.withColumn("m", F.when(large, guess).otherwise(exact)).drop("__code", "__tokens", "__h", "__x", "__cc", "__cog", "__dit")

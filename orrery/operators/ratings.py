@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import round_half_up
+from orrery.session import checkpoint
 
 #: Fixed value: snapshots a project keeps.
 HISTORY = 60
@@ -43,7 +44,7 @@ def peer_scores(values: DataFrame, metrics: DataFrame) -> DataFrame:
     Distinct values are counted first, so the running count orders one row per distinct
     value of a metric instead of one row per file.
     """
-    known = values.where("value IS NOT NULL")
+    known = checkpoint(values.where("value IS NOT NULL"))  # read twice; what it comes from may be dear
     counts = known.groupBy("metric", "value").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     behind = Window.partitionBy("metric").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,7 +58,7 @@ def peer_scores(values: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def weighted_rating(scores: DataFrame, key: str = "id") -> DataFrame:
     """``(key, rating)``: the rounded weighted mean of ``score``, within 0 and 100."""
-    mean = F.sum(F.col("score") * F.col("weight")) / F.sum("weight")
+    mean = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 9)  # sums in another order round alike
     return scores.groupBy(key).agg(F.least(F.greatest(round_half_up(mean), F.lit(0)), F.lit(100)).cast("long").alias("rating"))
 
 

@@ -111,9 +111,8 @@ SELECT path, package, CAST(cc AS DOUBLE) AS cyclomatic, round(vol, 6) AS halstea
 
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text metrics of every source file."""
-    files = code_files(spark, sf_dir).withColumn("b", M.line_breakdown(F.col("content"), F.col("path")))
-    files = files.withColumn("m", M.classic_metrics(F.col("content"), F.size(M.lines_of(F.col("content")))))
-    return files.select("o_orderkey", "path", "package", "content", "b.*", "m")
+    files = code_files(spark, sf_dir).withColumn("b", M.line_breakdown(F.col("content"), F.col("path"))).withColumn("lines", F.size(M.lines_of(F.col("content"))))
+    return M.with_classic_metrics(files, loc="lines").select("o_orderkey", "path", "package", "content", "b.*", "m")
 
 
 @query(CODE_METRICS_SQL)

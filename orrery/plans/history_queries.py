@@ -75,7 +75,7 @@ scored AS (SELECT path, metric, weight, floor(100.0 * CASE WHEN direction = 'low
 
 
 def peer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code_files(spark, sf_dir).select("path", M.classic_metrics(F.col("content"), F.size(M.lines_of(F.col("content")))).alias("m"), F.size(M.lines_of(F.col("content"))).alias("n"))
+    files = M.with_classic_metrics(code_files(spark, sf_dir).withColumn("n", F.size(M.lines_of(F.col("content")))), loc="n")
     wide = files.select(
         F.col("path").alias("id"), F.col("m.cc").alias("complexity"), F.round("m.mag", 6).alias("abc"), F.round("m.vol", 6).alias("halstead"),
         F.round("m.mi", 6).alias("maintainability"), F.col("n").cast("double").alias("size"),
@@ -83,7 +83,7 @@ def peer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot(["id"], ["complexity", "abc", "halstead", "maintainability", "size"], "metric", "value")
 
 
-@query(f"{PEERS_SQL} SELECT path AS id, CAST(least(greatest(floor(sum(score * weight) / sum(weight) + 0.5), 0), 100) AS BIGINT) AS rating FROM scored GROUP BY path")
+@query(f"{PEERS_SQL} SELECT path AS id, CAST(least(greatest(floor(round(sum(score * weight) / sum(weight), 9) + 0.5), 0), 100) AS BIGINT) AS rating FROM scored GROUP BY path")
 def file_peer_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted peer rating of every file."""
     return R.weighted_rating(R.peer_scores(peer_values(spark, sf_dir), R.metric_table(spark)))
@@ -97,7 +97,7 @@ abs_scored AS (SELECT mode, weight, floor(0.5 + CASE
   WHEN direction = 'lower' AND v <= healthy THEN 100 WHEN direction = 'lower' AND v <= fair THEN 100 - 50 * (v - healthy) / (fair - healthy)
   WHEN direction = 'lower' THEN greatest(0, 50 - 50 * least(1, (v - fair) / fair)) WHEN v >= healthy THEN 100 WHEN v >= fair THEN 100 - 50 * (healthy - v) / (healthy - fair)
   ELSE greatest(0, 50 - 50 * least(1, (fair - v) / fair)) END) AS s FROM stats JOIN defs USING (metric) JOIN lim USING (metric))
-SELECT mode, CAST(floor(sum(s * weight) / sum(weight) + 0.5) AS BIGINT) AS rating, CAST(floor(0.7 * floor(sum(s * weight) / sum(weight) + 0.5) + 0.3 * 50 + 0.5) AS BIGINT) AS blended
+SELECT mode, CAST(floor(round(sum(s * weight) / sum(weight), 9) + 0.5) AS BIGINT) AS rating, CAST(floor(0.7 * floor(round(sum(s * weight) / sum(weight), 9) + 0.5) + 0.3 * 50 + 0.5) AS BIGINT) AS blended
 FROM abs_scored GROUP BY mode"""
 
 
@@ -191,3 +191,30 @@ def events_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows of a day by user."""
     e = load(spark, sf_dir, "events").where("ts IS NOT NULL")
     return e.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("window_start"), "n")
+
+
+PACKAGE_PEERS_SQL = f"""{PEERS_SQL}, roll AS (SELECT package, metric, quantile_disc(value, 0.9) AS value FROM long JOIN (SELECT path, package FROM wide) USING (path) GROUP BY package, metric),
+pscored AS (SELECT package, weight, floor(100.0 * CASE WHEN direction = 'lower' THEN cume_dist() OVER (PARTITION BY metric ORDER BY value DESC) ELSE cume_dist() OVER (PARTITION BY metric ORDER BY value) END + 0.5) AS score
+  FROM roll JOIN defs USING (metric))
+SELECT package AS id, CAST(least(greatest(floor(round(sum(score * weight) / sum(weight), 9) + 0.5), 0), 100) AS BIGINT) AS rating FROM pscored GROUP BY package"""
+
+
+@query(PACKAGE_PEERS_SQL)
+def package_peer_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peer rating of every package from the 90th percentile of its files."""
+    from orrery.operators.rollups import nearest_rank
+
+    packages = code_files(spark, sf_dir).select(F.col("path").alias("id"), "package")
+    rolled = peer_values(spark, sf_dir).join(packages, "id").groupBy("package", "metric").agg(nearest_rank("value", 90).alias("value"))
+    return R.weighted_rating(R.peer_scores(rolled.withColumnRenamed("package", "id"), R.metric_table(spark)))
+
+
+@query(f"""{PEERS_SQL}, roll AS (SELECT package, metric, quantile_disc(value, 0.9) AS value FROM long JOIN (SELECT path, package FROM wide) USING (path) GROUP BY package, metric)
+SELECT metric, round(avg(value), 6) AS avg, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.8), 6) AS p80, round(quantile_disc(value, 0.9), 6) AS p90 FROM roll GROUP BY metric""")
+def project_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of package statistics: two levels of aggregation."""
+    from orrery.operators.rollups import nearest_rank, rollup_columns
+
+    packages = code_files(spark, sf_dir).select(F.col("path").alias("id"), "package")
+    rolled = peer_values(spark, sf_dir).join(packages, "id").groupBy("package", "metric").agg(nearest_rank("value", 90).alias("value"))
+    return rolled.groupBy("metric").agg(*rollup_columns("value"))

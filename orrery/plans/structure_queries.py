@@ -127,3 +127,35 @@ def file_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir).select("path", F.regexp_extract_all("content", F.lit("function (f[0-9]+)"), F.lit(1)).alias("names"))
     n, k = F.size("names"), F.size(F.array_distinct("names"))
     return files.where(n > 0).select("path", n.alias("symbols"), k.alias("components"), F.round(M.cohesion(n, k), 6).alias("cohesion"))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {REACH_SQL}, m AS (SELECT id, (SELECT min(a.target) FROM reach a JOIN reach b ON a.target = b.source WHERE a.source = id AND b.target = id) AS c FROM nodes)
+SELECT c AS component, count(*) AS size FROM m WHERE c IS NOT NULL GROUP BY c HAVING count(*) > 1""")
+def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cyclic components and their sizes."""
+    parts = G.strong_components(nation_edges(spark, sf_dir), nation_nodes(spark, sf_dir)).where("cyclic")
+    return parts.groupBy("component").agg(F.count("*").alias("size"))
+
+
+@query()
+def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk through every cyclic component."""
+    from orrery.operators.reports import cycle_paths as walks
+
+    return walks(nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir))
+
+
+@query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT a.grp AS s, b.grp AS t FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id),
+r AS (SELECT *, row_number() OVER (ORDER BY grp) AS k FROM (SELECT DISTINCT grp FROM nodes)),
+v AS (SELECT count(*) AS violations FROM g JOIN r a ON a.grp = s JOIN r b ON b.grp = t WHERE a.k < b.k)
+SELECT violations, CASE WHEN violations = 0 THEN 'pass' WHEN violations <= 5 THEN 'warn' ELSE 'fail' END AS status FROM v""")
+def architecture_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over layer violations between regions."""
+    from orrery.operators import rules
+
+    nodes, edges = nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir)
+    layers = [r["group"] for r in nodes.select("group").distinct().orderBy("group").limit(G.MAX_ELEMENTS).collect()]
+    a, b = nodes.select(F.col("id").alias("source"), F.col("group").alias("ga")), nodes.select(F.col("id").alias("target"), F.col("group").alias("gb"))
+    grouped = edges.join(F.broadcast(a), "source").join(F.broadcast(b), "target").select(F.col("ga").alias("source"), F.col("gb").alias("target")).distinct()
+    found = rules.layer_violations(grouped, layers).agg(F.count("*").alias("violations"))
+    return found.withColumn("status", rules.conformance_status(F.col("violations")))

@@ -10,13 +10,17 @@ def value(spark, text, expression, path="a.ts"):
     return df.select(expression(F.col("text"), F.col("path")).alias("x")).first()["x"]
 
 
+def classic(spark, text, loc):
+    return M.with_classic_metrics(spark.createDataFrame([(text, loc)], "content string, loc int")).first()["m"]
+
+
 SNIPPET = "function add(a, b) { if (a > b) return a + b; return a * b; }"
 
 
 def test_halstead(spark):
-    h = value(spark, SNIPPET, lambda t, p: M.halstead(M.strip_noise(t)))
+    h = value(spark, SNIPPET, lambda t, p: M.halstead(M.halstead_tokens(M.strip_noise(t))))
     assert (h["n1"], h["n2"], h["t1"], h["t2"]) == (11, 4, 15, 10)
-    m = value(spark, SNIPPET, lambda t, p: M.classic_metrics(t, F.lit(1)))
+    m = classic(spark, SNIPPET, 1)
     assert (m["vol"], m["diff"], m["vol"] * m["diff"]) == pytest.approx((97.672265, 13.75, 1342.993642), abs=1e-5)
 
 
@@ -55,7 +59,7 @@ def test_cognitive_clamps_nesting(spark):
 
 
 def test_sizes_and_samples(spark):
-    m = value(spark, "if\n" * 5000, lambda t, p: M.classic_metrics(t, F.lit(5000)))
+    m = classic(spark, "if\n" * 5000, 5000)
     assert (m["cc"], m["cog"], m["dit"]) == (200.0, 250.0, 0.0)
     assert len(value(spark, "é" * 40_000, lambda t, p: M.sample(t)).encode()) <= 48 * 1024
 
