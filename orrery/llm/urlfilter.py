@@ -9,7 +9,7 @@ table; each step is one aggregation whose result has at most ``DIMENSIONS`` rows
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 from typing import NamedTuple
 
@@ -70,9 +70,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` holds it in another function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _ngrams(text: Column, n: int) -> Column:
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: text.substr(i, F.lit(n)))
+    """All runs of ``n`` characters, in time linear in the text."""
+    starts = lambda c: F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n)).otherwise(F.array().cast("array<int>"))
+    return _once(F.split(text, ""), lambda c: F.transform(starts(c), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)])))
 
 
 def gram_ids(host: Column, path: Column) -> Column:
@@ -138,8 +144,7 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         )
         return urls.withColumn("__best", _longest(fits))
     known = urls.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, rule_host string, rule_path string")
-    parts = F.split("host", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = _once(F.split("host", "\\.", -1), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
     places = urls.select("host", "path").distinct()
     found = places.select("host", "path", F.explode(suffixes).alias("rule_host")).join(known, "rule_host").where(F.startswith("path", F.col("rule_path")))
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.col("rule_host").alias("host"), F.col("rule_path").alias("path"), "verdict")
