@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.session import map_arrow
+from orrery.session import map_arrow, worker_cache
 
 #: Fixed value: the public byte-level splitting pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -167,15 +167,9 @@ class Bpe:
         return b"".join([self.tokens.get(i, none) for i in ids]).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Bpe] = {}
-
-
 def coder(definition: str) -> Bpe:
-    """One coder a Python worker and tokenizer."""
-    key = hashlib.sha256(definition.encode()).hexdigest()
-    if key not in _CODERS:
-        _CODERS[key] = Bpe(definition)
-    return _CODERS[key]
+    """The coder of a tokenizer, kept by the Python worker."""
+    return worker_cache(hashlib.sha256(definition.encode()).hexdigest(), lambda: Bpe(definition))
 
 
 def read_tokenizer(path: str) -> str:

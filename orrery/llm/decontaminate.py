@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import checkpoint, map_arrow
+from orrery.session import checkpoint, map_arrow, worker_cache
 
 #: Bytes: A-Z become a-z, ASCII other than letters and digits becomes a space; all else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -85,16 +85,10 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(items: list[tuple[str, str | None]], window: int) -> Matcher:
-    """One automaton a Python worker and chunk."""
+    """The automaton of a chunk, kept by the Python worker."""
     key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, window)
-    return _MATCHERS[key]
+    return worker_cache(key, lambda: Matcher(items, window))
 
 
 def _scan_chunk(docs: DataFrame, items: list[tuple[str, str | None]], text_at: int, window: int) -> DataFrame:
