@@ -47,9 +47,8 @@ ROWS = [
 
 
 def test_drop_equals_brute_force(spark):
-    for min_docs in (2, 3, 5):
-        for parts in (1, 3, 5):
-            assert run(ROWS, spark, min_docs, parts) == brute(ROWS, min_docs)
+    for min_docs, parts in ((2, 1), (3, 3), (5, 2)):
+        assert run(ROWS, spark, min_docs, parts) == brute(ROWS, min_docs)
 
 
 def test_first_document_keeps_its_lines(spark):
