@@ -131,14 +131,15 @@ def score_history_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.append_history(daily.limit(0), daily, keep=10)
 
 
-@query("""SELECT e.event_id, e.user_id, (SELECT p.event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'signup' AND p.ts <= e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS last_signup
+@query("""SELECT e.event_id, e.user_id, coalesce((SELECT p.event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'signup' AND p.ts <= e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1), -1) AS last_signup
 FROM events e WHERE e.event_type = 'purchase'""")
 def asof_symbol_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest mark at or before each row: one sort within the key, no pairing."""
     e = load(spark, sf_dir, "events")
     asks = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     marks = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("last_signup"))
-    return J.asof_backward(asks, marks, ["user_id"], "ts", "last_signup").select("event_id", "user_id", "last_signup")
+    met = J.asof_backward(asks, marks, ["user_id"], "ts", "last_signup")
+    return met.select("event_id", "user_id", F.coalesce("last_signup", F.lit(-1)).alias("last_signup"))
 
 
 @query("""WITH w AS (SELECT p_partkey, p_size FROM part), c AS (SELECT p_partkey, unnest([1, 2, 3]) AS ord, unnest([p_partkey * 7 % 500, p_partkey * 3 % 900, p_size]) AS cand FROM w)

@@ -95,11 +95,11 @@ def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, nb AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
 walk AS (SELECT 'NATION_3' AS id, 0 AS depth UNION SELECT nb.b, depth + 1 FROM walk JOIN nb ON nb.a = walk.id WHERE depth < 25)
-SELECT nodes.id, min(depth) AS depth FROM nodes LEFT JOIN walk ON walk.id = nodes.id GROUP BY nodes.id""")
+SELECT nodes.id, coalesce(min(depth), -1) AS depth FROM nodes LEFT JOIN walk ON walk.id = nodes.id GROUP BY nodes.id""")
 def bfs_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every node from one root."""
     nodes = nation_nodes(spark, sf_dir)
-    return L.bfs_rings(nodes, nation_edges(spark, sf_dir), nodes.where("id = 'NATION_3'"))
+    return L.bfs_rings(nodes, nation_edges(spark, sf_dir), nodes.where("id = 'NATION_3'")).na.fill(-1, ["depth"])
 
 
 @query(f"""WITH {EDGES_SQL}, w AS (SELECT id, (SELECT count(*) FROM flows WHERE (source = id OR target = id) AND n > 5) AS deg FROM nodes)
