@@ -30,7 +30,20 @@ METRICS = (
     Metric("halstead", "lower", 1.0, 500.0, 2000.0),
     Metric("cognitive", "lower", 1.1, 15.0, 30.0),
     Metric("maintainability", "higher", 1.4, 70.0, 50.0),
-    Metric("size", "lower", 0.5, 200.0, 300.0),
+    Metric("cbo", "lower", 1.0, 5.0, 12.0),
+    Metric("cohesion", "higher", 1.0, 70.0, 40.0),
+    Metric("coverage", "higher", 1.0, 80.0, 50.0),
+    Metric("issues", "lower", 1.2, 2.0, 10.0),
+    Metric("security", "lower", 1.2, 0.0, 2.0),
+    Metric("aiQuality", "lower", 0.9, 0.0, 3.0),
+    Metric("duplicatedCode", "lower", 1.2, 5.0, 20.0),
+    Metric("deadCode", "lower", 1.1, 10.0, 40.0),
+    Metric("staleDecisions", "lower", 1.1, 1.0, 8.0),
+    Metric("nloc", "lower", 0.5, 150.0, 350.0),
+    Metric("cloc", "higher", 0.4, 8.0, 2.0),
+    Metric("codeDensity", "higher", 0.6, 60.0, 40.0),
+    Metric("commentDensity", "higher", 0.7, 10.0, 3.0),
+    Metric("size", "lower", 0.5, 200.0, 400.0),
 )
 
 

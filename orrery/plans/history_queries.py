@@ -92,7 +92,7 @@ def file_peer_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 OVERALL_SQL = f"""{PEERS_SQL}, stats AS (
   SELECT metric, 'avg' AS mode, avg(value) AS v FROM long GROUP BY metric UNION ALL SELECT metric, 'p50', quantile_disc(value, 0.5) FROM long GROUP BY metric
   UNION ALL SELECT metric, 'p80', quantile_disc(value, 0.8) FROM long GROUP BY metric UNION ALL SELECT metric, 'p90', quantile_disc(value, 0.9) FROM long GROUP BY metric),
-lim AS (SELECT * FROM (VALUES ('complexity', 10, 25), ('abc', 20, 60), ('halstead', 500, 2000), ('maintainability', 70, 50), ('size', 200, 300)) AS t(metric, healthy, fair)),
+lim AS (SELECT * FROM (VALUES ('complexity', 10, 25), ('abc', 20, 60), ('halstead', 500, 2000), ('maintainability', 70, 50), ('size', 200, 400)) AS t(metric, healthy, fair)),
 abs_scored AS (SELECT mode, weight, floor(0.5 + CASE
   WHEN direction = 'lower' AND v <= healthy THEN 100 WHEN direction = 'lower' AND v <= fair THEN 100 - 50 * (v - healthy) / (fair - healthy)
   WHEN direction = 'lower' THEN greatest(0, 50 - 50 * least(1, (v - fair) / fair)) WHEN v >= healthy THEN 100 WHEN v >= fair THEN 100 - 50 * (healthy - v) / (healthy - fair)

@@ -57,3 +57,34 @@ def persist_result(df: DataFrame, path: str, project: str) -> None:
 def read_result(spark: SparkSession, path: str, project: str) -> DataFrame:
     key = F.lower(F.hex(F.xxhash64(F.lit(project))))
     return spark.read.option("partitionColumnTypeInference", "false").parquet(path).where(F.col("project_hash").cast("string") == key).drop("project_hash")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph kept as one JSON document ``{"nodes": [...], "edges": [...]}``."""
+    nodes = "array<struct<id:string,label:string,path:string,loc:int,kind:string,line:int>>"
+    whole = spark.read.schema(f"nodes {nodes}, edges array<struct<source:string,target:string,kind:string>>").json(path, multiLine=True)
+    return whole.select(F.explode("nodes").alias("n")).select("n.*"), whole.select(F.explode("edges").alias("e")).select("e.*")
+
+
+SYMBOL_DEPTH = 4
+
+
+def document_symbols(values: DataFrame) -> DataFrame:
+    """``(path, label, kind, line, depth)`` of nested symbol lists ``(path, value)``, ``SYMBOL_DEPTH`` levels deep."""
+    fields = "name:string,kind:int,range:struct<start:struct<line:int>>"
+    nested = f"array<struct<{fields}>>"
+    for _ in range(SYMBOL_DEPTH - 1):
+        nested = f"array<struct<{fields},children:{nested}>>"
+    kinds = {5: "class", 6: "method", 8: "field", 10: "enum", 11: "interface", 12: "function", 13: "variable", 14: "constant", 23: "struct", 26: "type"}
+    level = values.select("path", F.from_json("value", nested).alias("level"))
+    out = None
+    for depth in range(SYMBOL_DEPTH):
+        here = level.select("path", F.explode("level").alias("s"))
+        kind = F.lit("symbol")
+        for code, name in kinds.items():
+            kind = F.when(F.col("s.kind") == code, F.lit(name)).otherwise(kind)
+        rows = here.select("path", F.col("s.name").alias("label"), kind.alias("kind"), (F.col("s.range.start.line") + 1).alias("line"), F.lit(depth).alias("depth"))
+        out = rows if out is None else out.unionByName(rows)
+        if depth + 1 < SYMBOL_DEPTH:
+            level = here.select("path", F.col("s.children").alias("level"))
+    return out

@@ -140,3 +140,13 @@ def test_throttled_stream_and_windows(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_graph_documents_and_nested_symbols(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({"nodes": [{"id": "a", "loc": 3}, {"id": "b"}], "edges": [{"source": "a", "target": "b", "kind": "import"}]}, indent=1))
+    nodes, edges = tree.read_graph(spark, str(tmp_path / "g.json"))
+    assert (nodes.count(), edges.first()["kind"]) == (2, "import")
+    at = {"start": {"line": 4}}
+    value = json.dumps([{"name": "A", "kind": 5, "range": at, "children": [{"name": "m", "kind": 6, "range": at, "children": [{"name": "x", "kind": 99, "range": at}]}]}])
+    got = sorted((r["depth"], r["label"], r["kind"], r["line"]) for r in tree.document_symbols(spark.createDataFrame([("p", value), ("q", "junk")], "path string, value string")).collect())
+    assert got == [(0, "A", "class", 5), (1, "m", "method", 5), (2, "x", "symbol", 5)]
