@@ -11,12 +11,12 @@ language is a parameter; the model is one table of ``DIMENSIONS`` rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +27,7 @@ BITS = 15
 DIMENSIONS = 1 << BITS
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers of the trigram hash.
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 ROUNDS, TOLERANCE = 25, 1e-4
