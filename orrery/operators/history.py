@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import is_corrective
-from orrery.operators.rollups import rollup_columns
+from orrery.operators.ranks import rollup
 
 
 def within_days(commits: DataFrame, days: int, now: Column) -> DataFrame:
@@ -45,9 +45,10 @@ def package_history(files: DataFrame, commits: DataFrame) -> DataFrame:
         "package", (F.coalesce("lines_added", F.lit(0)) + F.coalesce("lines_deleted", F.lit(0))).cast("double").alias("churn"), "ccp"
     )
     whole = F.broadcast(project_ccp(commits).select(F.col("ccp").alias("project_ccp")))
-    sums = both.groupBy("package").agg(*[c for c in rollup_columns("churn")], F.avg("ccp").alias("own_ccp"), F.count("ccp").alias("touched"))
+    shares = both.groupBy("package").agg(F.avg("ccp").alias("own_ccp"), F.count("ccp").alias("touched"))
+    sums = rollup(both, ["package"], "churn").join(shares, "package")
     return sums.join(whole, F.lit(True)).select(
-        "package", "touched", *[F.col(c).alias(f"churn_{c}") for c in ("avg", "p50", "p80", "p90")], F.round(F.coalesce("own_ccp", "project_ccp"), 6).alias("ccp")
+        "package", "touched", *[F.round(c, 6).alias(f"churn_{c}") for c in ("avg", "p50", "p80", "p90")], F.round(F.coalesce("own_ccp", "project_ccp"), 6).alias("ccp")
     )
 
 

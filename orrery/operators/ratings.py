@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import round_half_up
+from orrery.operators.ranks import running_counts, top_k
 from orrery.session import checkpoint
 
 #: Fixed value: snapshots a project keeps.
@@ -54,16 +55,13 @@ def metric_table(spark: SparkSession, metrics: tuple[Metric, ...] = METRICS) ->
 def peer_scores(values: DataFrame, metrics: DataFrame) -> DataFrame:
     """``values(id, metric, value)`` plus ``score``: the share of peers that are no better, ties included.
 
-    Distinct values are counted first, so the running count orders one row per distinct
-    value of a metric instead of one row per file.
+    Distinct values are counted first and ranked range by range.
     """
     known = checkpoint(values.where("value IS NOT NULL"))  # read twice; what it comes from may be dear
     counts = known.groupBy("metric", "value").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    behind = Window.partitionBy("metric").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("metric")
-    shares = counts.select(
-        "metric", "value", (F.sum("n").over(ahead) / F.sum("n").over(whole)).alias("up"), (F.sum("n").over(behind) / F.sum("n").over(whole)).alias("down")
+    ranked = running_counts(counts, ["metric"], "value")
+    shares = ranked.select(
+        "metric", "value", (F.col("upto") / F.col("total")).alias("up"), ((F.col("total") - F.col("upto") + F.col("n")) / F.col("total")).alias("down")
     )
     joined = known.join(shares, ["metric", "value"]).join(F.broadcast(metrics), "metric")
     return joined.withColumn("score", round_half_up(100.0 * F.when(F.col("direction") == "lower", F.col("down")).otherwise(F.col("up"))))
@@ -87,9 +85,9 @@ def absolute_score(value: Column, direction: Column, healthy: Column, fair: Colu
 
 def percentile_rank(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """``df`` plus ``percentile``: the rounded share of values up to this one within ``keys``."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    ranks = counts.select(*keys, value, round_half_up(100.0 * F.sum("__n").over(upto) / F.sum("__n").over(Window.partitionBy(*keys))).alias("percentile"))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ranked = running_counts(counts, keys, value)
+    ranks = ranked.select(*keys, value, round_half_up(100.0 * F.col("upto") / F.col("total")).alias("percentile"))
     return df.join(ranks, [*keys, value])
 
 
@@ -99,8 +97,7 @@ def blend(quality: Column, modularity: Column) -> Column:
 
 def append_history(history: DataFrame, fresh: DataFrame, keep: int = HISTORY) -> DataFrame:
     """Union of snapshots ``(project, at, ...)``, the newest ``keep`` of every project."""
-    newest = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("at"), F.desc("seq")))
-    return history.unionByName(fresh).withColumn("__k", newest).where(F.col("__k") <= keep).drop("__k")
+    return top_k(history.unionByName(fresh), ["project"], [F.desc("at"), F.desc("seq")], keep)
 
 
 def upsert(store: DataFrame, fresh: DataFrame, key: str = "key") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.ranks import rollup
+
 
 def nearest_rank(value: str, percent: int) -> Column:
     """The nearest-rank percentile; 0 for no values."""
@@ -14,7 +16,7 @@ def nearest_rank(value: str, percent: int) -> Column:
 
 
 def rollup_columns(value: str) -> list[Column]:
-    """Average and the three percentiles of one value column."""
+    """Average and the three percentiles of one value column, for groups of bounded size."""
     average = F.coalesce(F.avg(value), F.lit(0.0))
     return [F.round(average, 6).alias("avg"), *[F.round(nearest_rank(value, p), 6).alias(f"p{p}") for p in (50, 80, 90)]]
 
@@ -26,9 +28,9 @@ def unpivot(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
 
 
 def package_rollups(files: DataFrame, metrics: Sequence[str], package: str = "package") -> DataFrame:
-    """One row per package and metric: avg, p50, p80, p90 and the file count, in one aggregation."""
-    long = unpivot(files, [package], metrics).where("value IS NOT NULL")
-    return long.groupBy(package, "metric").agg(F.count("*").alias("n_files"), *rollup_columns("value"))
+    """One row per package and metric: avg, p50, p80, p90 and the file count."""
+    out = rollup(unpivot(files, [package], metrics), [package, "metric"], "value")
+    return out.select(package, "metric", F.col("n").alias("n_files"), *[F.round(c, 6).alias(c) for c in ("avg", "p50", "p80", "p90")])
 
 
 def size_band(p90: Column) -> Column:

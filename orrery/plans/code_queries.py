@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import metrics as M
 from orrery.functions import paths as P
-from orrery.operators import rollups
+from orrery.operators import ranks, rollups
 from orrery.plans.registry import query
 from orrery.sources.tables import CODE_LINES_SQL, CODE_SQL, DOC_SQL, code_files, code_lines, doc_files, load
 
@@ -27,7 +27,8 @@ FROM sized GROUP BY package
 def package_rollup_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by package with nearest-rank percentiles and a size band."""
     sized = doc_files(spark, sf_dir).select("package", F.size(M.lines_of(F.col("content"))).cast("double").alias("loc"))
-    out = sized.groupBy("package").agg(F.count("*").alias("n_files"), F.sum("loc").cast("long").alias("total_loc"), *rollups.rollup_columns("loc"))
+    out = ranks.rollup(sized, ["package"], "loc")
+    out = out.select("package", F.col("n").alias("n_files"), F.col("total").cast("long").alias("total_loc"), F.round("avg", 6).alias("avg"), "p50", "p80", "p90")
     return out.withColumn("band", rollups.size_band(F.col("p90")))
 
 
@@ -199,7 +200,7 @@ SELECT package, metric, count(*) AS n_files, round(avg(value), 6) AS avg, round(
 
 @query(QUALITY_SQL)
 def package_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average and percentiles of every metric by package: unpivot, then one aggregation."""
+    """Average and percentiles of every metric by package."""
     m = file_metrics(spark, sf_dir)
     wide = m.select(
         "package", "loc", "nloc", "cloc",

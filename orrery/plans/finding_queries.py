@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import paths as P
 from orrery.operators import rollups
+from orrery.operators.ranks import top_k
 from orrery.plans.registry import query
 from orrery.sources.tables import load
 
@@ -80,10 +81,7 @@ def file_issues_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT severity, string_agg(path, ',' ORDER BY path) AS sample FROM r WHERE k <= 20 GROUP BY severity""")
 def affected_dedup_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty distinct paths of every severity; a report of bounded size."""
-    from pyspark.sql import Window
-
-    distinct = findings(spark, sf_dir).select("severity", "path").distinct()
-    first = distinct.withColumn("k", F.row_number().over(Window.partitionBy("severity").orderBy("path"))).where("k <= 20")
+    first = top_k(findings(spark, sf_dir).select("severity", "path").distinct(), ["severity"], [F.col("path")], 20)
     return first.groupBy("severity").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("sample"))
 
 

@@ -10,6 +10,7 @@ from orrery.functions.paths import round_half_up
 from orrery.operators import history as H
 from orrery.operators import joins as J
 from orrery.operators import ratings as R
+from orrery.operators.ranks import rollup
 from orrery.plans.code_queries import CLASSIC_SQL, SQL_LINES
 from orrery.plans.registry import query
 from orrery.sources.tables import CODE_SQL, code_files, load
@@ -104,10 +105,7 @@ FROM abs_scored GROUP BY mode"""
 @query(OVERALL_SQL)
 def overall_rating_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The project's rating from absolute thresholds, for the average and each percentile."""
-    from orrery.operators.rollups import nearest_rank
-
-    values = peer_values(spark, sf_dir)
-    stats = values.groupBy("metric").agg(F.avg("value").alias("avg"), *[nearest_rank("value", p).alias(f"p{p}") for p in (50, 80, 90)])
+    stats = rollup(peer_values(spark, sf_dir), ["metric"], "value").select("metric", "avg", "p50", "p80", "p90")
     long = stats.unpivot(["metric"], ["avg", "p50", "p80", "p90"], "mode", "v").join(F.broadcast(R.metric_table(spark)), "metric")
     scored = long.withColumn("score", R.absolute_score(F.col("v"), F.col("direction"), F.col("healthy"), F.col("fair")))
     rated = R.weighted_rating(scored, "mode")
@@ -138,7 +136,7 @@ def asof_symbol_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     asks = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     marks = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("last_signup"))
-    met = J.asof_backward(asks, marks, ["user_id"], "ts", "last_signup")
+    met = J.asof_backward(asks, marks, ["user_id"], "ts", "last_signup", F.to_date("ts"))
     return met.select("event_id", "user_id", F.coalesce("last_signup", F.lit(-1)).alias("last_signup"))
 
 
@@ -203,10 +201,8 @@ SELECT package AS id, CAST(least(greatest(floor(round(sum(score * weight) / sum(
 @query(PACKAGE_PEERS_SQL)
 def package_peer_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peer rating of every package from the 90th percentile of its files."""
-    from orrery.operators.rollups import nearest_rank
-
     packages = code_files(spark, sf_dir).select(F.col("path").alias("id"), "package")
-    rolled = peer_values(spark, sf_dir).join(packages, "id").groupBy("package", "metric").agg(nearest_rank("value", 90).alias("value"))
+    rolled = rollup(peer_values(spark, sf_dir).join(packages, "id"), ["package", "metric"], "value").select("package", "metric", F.col("p90").alias("value"))
     return R.weighted_rating(R.peer_scores(rolled.withColumnRenamed("package", "id"), R.metric_table(spark)))
 
 
@@ -214,8 +210,7 @@ def package_peer_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT metric, round(avg(value), 6) AS avg, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.8), 6) AS p80, round(quantile_disc(value, 0.9), 6) AS p90 FROM roll GROUP BY metric""")
 def project_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of package statistics: two levels of aggregation."""
-    from orrery.operators.rollups import nearest_rank, rollup_columns
-
     packages = code_files(spark, sf_dir).select(F.col("path").alias("id"), "package")
-    rolled = peer_values(spark, sf_dir).join(packages, "id").groupBy("package", "metric").agg(nearest_rank("value", 90).alias("value"))
-    return rolled.groupBy("metric").agg(*rollup_columns("value"))
+    rolled = rollup(peer_values(spark, sf_dir).join(packages, "id"), ["package", "metric"], "value").select("package", "metric", F.col("p90").alias("value"))
+    out = rollup(rolled, ["metric"], "value")
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("avg", "p50", "p80", "p90")])

@@ -150,3 +150,21 @@ def test_graph_documents_and_nested_symbols(spark, tmp_path):
     value = json.dumps([{"name": "A", "kind": 5, "range": at, "children": [{"name": "m", "kind": 6, "range": at, "children": [{"name": "x", "kind": 99, "range": at}]}]}])
     got = sorted((r["depth"], r["label"], r["kind"], r["line"]) for r in tree.document_symbols(spark.createDataFrame([("p", value), ("q", "junk")], "path string, value string")).collect())
     assert got == [(0, "A", "class", 5), (1, "m", "method", 5), (2, "x", "symbol", 5)]
+
+
+def test_ranks_equal_sorting(spark):
+    import random
+
+    from orrery.operators import ranks
+
+    rng = random.Random(9)
+    rows = [(k, float(rng.choice([1, 2, 3, rng.randrange(10_000)]))) for k in "ab" for _ in range(3000)] + [("c", 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for r in ranks.rollup(df, ["k"], "v").collect():
+        values = sorted(v for k, v in rows if k == r["k"] and v is not None)
+        rank = lambda p: values[max(0, -(-p * len(values) // 100) - 1)]
+        assert (r["n"], r["p50"], r["p80"], r["p90"]) == (len(values), rank(50), rank(80), rank(90))
+        assert r["avg"] == pytest.approx(sum(values) / len(values))
+    top = ranks.top_k(df.where("v IS NOT NULL").distinct(), ["k"], [F.desc("v")], 5).collect()
+    for k in "abc":
+        assert sorted(r["v"] for r in top if r["k"] == k) == sorted({v for x, v in rows if x == k and v is not None})[-5:]
