@@ -12,12 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.session import checkpoint
+
 RANGES = 64
 SALTS = 32
 
 
 def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
-    """``counts(keys, value, n)`` with one row a value, plus ``upto`` and ``total`` of its key."""
+    """``counts(keys, value, n)`` with one row a value, plus ``upto`` and ``total`` of its key.
+
+    The counts are read three times and may come from far, so they are written once.
+    """
+    counts = checkpoint(counts)
     shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 1000).alias("__cuts"))
     ranged = counts.join(cuts, list(keys)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")

@@ -81,7 +81,15 @@ def propagation_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(G.propagation(inner, elements), F.lit(True)).select("pairs", F.round("propagation", 6).alias("propagation"))
 
 
-@query()
+PARTITION_SQL = f"""WITH RECURSIVE {EDGES_SQL}, {REACH_SQL},
+mutual AS (SELECT id, least(id, coalesce((SELECT min(a.target) FROM reach a JOIN reach b ON a.target = b.source WHERE a.source = id AND b.target = id), id)) AS component FROM nodes),
+cedges AS (SELECT DISTINCT a.component AS s, b.component AS t FROM edges e JOIN mutual a ON a.id = e.source JOIN mutual b ON b.id = e.target WHERE a.component <> b.component),
+walk AS (SELECT component AS c, 0 AS len FROM mutual UNION SELECT s, len + 1 FROM walk JOIN cedges ON t = c),
+layer AS (SELECT c, max(len) AS l FROM walk GROUP BY c), fan AS (SELECT target, count(*) AS f FROM edges GROUP BY target)
+SELECT id, CAST(row_number() OVER (ORDER BY l, component, coalesce(f, 0) DESC, id) - 1 AS INTEGER) AS idx FROM mutual JOIN layer ON c = component LEFT JOIN fan ON target = id"""
+
+
+@query(PARTITION_SQL)
 def partition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foundations first: condensed layers, then smallest member, fan-in and id."""
     return L.partition_order(nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir))
