@@ -7,6 +7,8 @@ treats accented letters as word characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,17 @@ def lines_of(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
 
 
+#: Fixed value: the characters of Unicode's white space.
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    return F.btrim(line, F.lit(BLANKS))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, also where ``use`` holds it in another function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip_noise(text: Column) -> Column:
@@ -68,14 +79,27 @@ def text_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def decision_points(code: Column) -> Column:
-    words = sum((word_count(code, w) for w in ("elif", "for", "while", "case", "catch", "switch")), word_count(code, "if"))
-    return words + text_count(code, r"else[ \t]if") + text_count(code, r"&&") + text_count(code, r"\|\|") + text_count(code, r"\?")
+#: Words that decide, that jump, and that test.
+DECIDE = ("if", "elif", "for", "while", "case", "catch", "switch")
+JUMP = ("return", "goto", "throw", "raise")
+TEST = ("if", "elif", "case", "while", "for", "catch", "except")
+KEYWORDS = "(?i)(?<![A-Za-z0-9_])(" + "|".join(sorted({*DECIDE, *JUMP, *TEST})) + ")(?![A-Za-z0-9_])"
+MARKS = r"&&|\|\||\?"
+
 
+def keywords(code: Column) -> Column:
+    """Lower-cased words of control flow in stripped text, in order."""
+    return F.transform(F.regexp_extract_all(code, F.lit(KEYWORDS), F.lit(1)), lambda w: F.lower(w))
 
-def cyclomatic(code: Column) -> Column:
+
+def _among(words: Column, names: tuple[str, ...]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*names))).cast("long")
+
+
+def cyclomatic(code: Column, words: Column | None = None) -> Column:
     """One plus the decision points of stripped text; ``else if`` counts twice by definition."""
-    return (decision_points(code) + 1).cast("double")
+    found = keywords(code) if words is None else words
+    return (_among(found, DECIDE) + text_count(code, r"else[ \t]if") + text_count(code, MARKS) + 1).cast("double")
 
 
 def halstead_tokens(code: Column) -> Column:
@@ -110,14 +134,14 @@ def maintainability(v: Column, cc: Column, loc: Column) -> Column:
     return F.least(F.greatest(raw * 100.0 / 171.0, F.lit(0.0)), F.lit(100.0))
 
 
-def abc(code: Column) -> Column:
+def abc(code: Column, words: Column | None = None) -> Column:
     """Struct (assignments, branches, conditions) of stripped text."""
+    found = keywords(code) if words is None else words
     assigned = F.filter(F.regexp_extract_all(code, F.lit(ASSIGNMENTS), F.lit(0)), lambda t: t.isin("=", "+=", "-=", "*=", "/=", "%=", "|=", "&=", "^="))
     called = F.filter(F.regexp_extract_all(code, F.lit(CALLS), F.lit(0)), lambda t: ~F.lower(F.regexp_replace(t, r"\s*\($", "")).isin(*NO_CALLS))
-    jumps = sum((word_count(code, w) for w in ("goto", "throw", "raise")), word_count(code, "return"))
-    tests = sum((word_count(code, w) for w in ("elif", "case", "while", "for", "catch", "except")), word_count(code, "if"))
-    marks = text_count(code, r"&&") + text_count(code, r"\|\|") + text_count(code, r"\?")
-    return F.struct(F.size(assigned).cast("long").alias("a"), (jumps + F.size(called)).alias("b"), (tests + marks).alias("c"))
+    return F.struct(
+        F.size(assigned).cast("long").alias("a"), (_among(found, JUMP) + F.size(called)).alias("b"), (_among(found, TEST) + text_count(code, MARKS)).alias("c")
+    )
 
 
 def magnitude(x: Column) -> Column:
@@ -127,8 +151,8 @@ def magnitude(x: Column) -> Column:
 def cognitive(code: Column) -> Column:
     """Line by line: control flow costs one plus the nesting before the line."""
 
-    def step(acc: Column, line: Column) -> Column:
-        t, nest = trimmed(line), acc["nest"]
+    def step(acc: Column, t: Column) -> Column:
+        nest = acc["nest"]
         control = F.regexp_like(t, F.lit(r"(?i)(?<![A-Za-z0-9_])(if|for|while|switch|catch|except|elif)(?![A-Za-z0-9_])")) | F.contains(t, F.lit("else if"))
         only_else = F.regexp_like(t, F.lit(r"(?i)(?<![A-Za-z0-9_])else(?![A-Za-z0-9_])")) & ~F.contains(t, F.lit("else if"))
         logical = text_count(t, r"&&") + text_count(t, r"\|\|") + text_count(t, r"\?\?")
@@ -138,7 +162,7 @@ def cognitive(code: Column) -> Column:
         return F.struct((acc["score"] + cost + logical + ternary * (nest + 1)).alias("score"), depth.alias("nest"))
 
     zero = F.struct(F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("nest"))
-    return F.aggregate(lines_of(code), zero, step, lambda acc: acc["score"].cast("double"))
+    return F.aggregate(F.transform(lines_of(code), trimmed), zero, step, lambda acc: acc["score"].cast("double"))
 
 
 def inheritance_depth(code: Column) -> Column:
@@ -153,11 +177,9 @@ def inheritance_depth(code: Column) -> Column:
 
 def line_breakdown(text: Column, path: Column) -> Column:
     """Struct (loc, nloc, cloc, blank, stale); block comments are followed across lines."""
-    hashes = F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS))
-    is_stale = lambda t: F.exists(F.array(*map(F.lit, STALE_MARKERS)), lambda m: F.contains(F.upper(t), m))
+    is_stale = lambda t: F.regexp_like(t, F.lit("(?i)" + "|".join(STALE_MARKERS)))
 
-    def step(acc: Column, line: Column) -> Column:
-        t = trimmed(line)
+    def step(acc: Column, t: Column, hashes: Column) -> Column:
         empty, opens, closes = t == "", F.contains(t, F.lit("/*")), F.contains(t, F.lit("*/"))
         marked = F.startswith(t, F.lit("//")) | (hashes & F.startswith(t, F.lit("#")))
         inside = acc["block"]
@@ -170,15 +192,14 @@ def line_breakdown(text: Column, path: Column) -> Column:
     done = lambda acc: F.struct(
         (acc["nloc"] + acc["cloc"] + acc["blank"]).cast("long").alias("loc"), *[acc[n].cast("long").alias(n) for n in ("nloc", "cloc", "blank", "stale")]
     )
-    return F.aggregate(lines_of(text), zero, step, done)
+    texts = F.transform(lines_of(text), trimmed)
+    return once(F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS)), lambda h: F.aggregate(texts, zero, lambda acc, t: step(acc, t, h), done))
 
 
 def clone_lines(text: Column, path: Column) -> Column:
     """Code lines with single blanks, at least ``CLONE_BYTES`` bytes, no imports."""
-    hashes = F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS))
 
-    def step(acc: Column, line: Column) -> Column:
-        t = trimmed(line)
+    def step(acc: Column, t: Column, hashes: Column) -> Column:
         inside, opens, closes = acc["block"], F.startswith(t, F.lit("/*")), F.contains(t, F.lit("*/"))
         norm = F.regexp_replace(t, r"(?U)\s+", " ")
         skipped = inside | opens | F.startswith(t, F.lit("//")) | (hashes & F.startswith(t, F.lit("#"))) | (F.octet_length(norm) < CLONE_BYTES)
@@ -187,7 +208,8 @@ def clone_lines(text: Column, path: Column) -> Column:
         return F.struct(block.alias("block"), F.when(skipped, acc["out"]).otherwise(F.array_append(acc["out"], norm)).alias("out"))
 
     zero = F.struct(F.lit(False).alias("block"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(lines_of(text), zero, step, lambda acc: acc["out"])
+    texts = F.transform(lines_of(text), trimmed)
+    return once(F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS)), lambda h: F.aggregate(texts, zero, lambda acc, t: step(acc, t, h), lambda acc: acc["out"]))
 
 
 def per_kloc(count: Column, loc: Column) -> Column:
@@ -206,9 +228,9 @@ def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "lo
     columns of their own on the way, so that each is made once a row.
     """
     step = files.withColumn("__code", strip_noise(sample(F.col(text))))
-    step = step.withColumn("__tokens", halstead_tokens(F.col("__code")))
-    code = F.col("__code")
-    step = step.withColumns({"__h": halstead(F.col("__tokens")), "__x": abc(code), "__cc": cyclomatic(code), "__cog": cognitive(code), "__dit": inheritance_depth(code)})
+    code, words = F.col("__code"), F.col("__words")
+    step = step.withColumns({"__tokens": halstead_tokens(code), "__words": keywords(code)})
+    step = step.withColumns({"__h": halstead(F.col("__tokens")), "__x": abc(code, words), "__cc": cyclomatic(code, words), "__cog": cognitive(code), "__dit": inheritance_depth(code)})
     n = F.greatest(F.col(loc), F.lit(1)).cast("double")
     clamp = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), F.lit(high))
     size_cc, size_vol = clamp(n / 25.0, 1.0, 200.0), n * 12.5
@@ -224,4 +246,4 @@ def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "lo
 
     exact = pack(F.col("__cc"), F.col("__cog"), volume(F.col("__h")), difficulty(F.col("__h")), F.col("__x"), F.col("__dit"))
     guess = pack(size_cc, clamp(n / 20.0, 1.0, 250.0), size_vol, F.greatest(size_cc / 4.0, F.lit(1.0)), rough, F.lit(0.0))
-    return step.withColumn("m", F.when(large, guess).otherwise(exact)).drop("__code", "__tokens", "__h", "__x", "__cc", "__cog", "__dit")
+    return step.withColumn("m", F.when(large, guess).otherwise(exact)).drop("__code", "__tokens", "__words", "__h", "__x", "__cc", "__cog", "__dit")
