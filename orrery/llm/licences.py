@@ -8,6 +8,8 @@ to those of known one-line notices.  Known texts pass through the same expressio
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,29 @@ _ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARR
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
+#: Parts of Creative Commons names: the id, and the word of the long name.
+_CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+_CC_NAMES = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+_CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_NOTICES = ("Licensed under {}.", "Licensed under the {} License.", "Released under {}.", "Released under the {} License.", "This work is licensed under {}.", "This work is licensed under a {} License.", "This work is licensed under the {} License.")
+
+
+def _creative_commons() -> tuple[tuple[str, str, str], ...]:
+    """One-line notices of every Creative Commons licence and version, in its short and long names."""
+    rows = {}
+    for name in _CC_NAMES:
+        for version, kind in _CC_VERSIONS.items():
+            long = f"Creative Commons {'-'.join(_CC_PARTS[p] for p in name.split('-'))} {version}"
+            for spelling in (f"CC {name} {version}", f"CC-{name}-{version}", f"Creative Commons {name} {version}", long, f"{long} {kind}"):
+                for notice in _NOTICES:
+                    rows["line", f"CC-{name}-{version}", notice.format(spelling)] = None
+    return tuple(rows)
+
+
+CREATIVE_COMMONS = _creative_commons()
+#: Whole texts below ``texts``, one file a licence, named by its id.
+COMMON_TEXTS = tuple(("text", path.stem, path.read_text("utf-8")) for path in sorted((Path(__file__).parent / "texts").glob("*.txt")))
+
 #: Public licence texts (kind ``text``) and one-line notices (kind ``line``).
 KNOWN = (
     ("text", "MIT", f"MIT License\n{_GRANT}\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n{_AS_IS}"),
@@ -64,6 +89,8 @@ KNOWN = (
     ("line", "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("line", "BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("line", "BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    *CREATIVE_COMMONS,
+    *COMMON_TEXTS,
 )
 
 

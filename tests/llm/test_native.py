@@ -52,3 +52,18 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert by[None, "message", None, -1]["json"] == "{}"
     assert chat_format.format_chat(df.limit(0), chat_format.tool_table(spark, TOOLS)).count() == 0
     assert chat_format.format_chat(df, chat_format.tool_table(spark, {})).where("errors = 'unknown tool'").count() == 6
+
+
+def test_every_planted_licence_line_and_common_text_is_known(spark):
+    from pyspark.sql import functions as F
+
+    lines = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
+    planted = sorted(r["line"] for r in lines.where("lower(line) RLIKE '(licensed|released) under '").distinct().collect())
+    assert "Licensed under CC BY-NC 4.0." in planted
+    texts = {i: t for k, i, t in licences.KNOWN if k == "text"}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    docs = spark.createDataFrame([*((f"line {x}", f"words\n{x}\nwords") for x in planted), *texts.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs, licences.known_licences(spark)).collect()}
+    assert all(got[f"line {x}"]["n_notices"] == 1 for x in planted)
+    assert got["line Licensed under CC BY-NC 4.0."]["notices"] == "CC-BY-NC-4.0"
+    assert all(got[i]["license_id"] == i for i in texts)
