@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import checkpoint
+from orrery.session import checkpoint, movable
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -42,8 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     label = nodes.select("node", F.xxhash64("node").alias("at"))
     for hop in hops:
         step = hop.select(F.col("a").alias("at"), "to")
-        label = label.join(step, "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+        label = label.join(step.select(movable("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
     if hops:
         label = checkpoint(label)
     lowest = label.groupBy("at").agg(F.min("node").alias("component"))
-    return label.join(lowest, "at").select("node", "component")
+    return label.join(lowest.select(movable("at"), "component"), "at").select("node", "component")

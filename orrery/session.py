@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
@@ -25,6 +26,7 @@ def get_spark(master: str = "local[*]", app: str = "orrery", partitions: int = 8
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
@@ -33,8 +35,8 @@ def get_spark(master: str = "local[*]", app: str = "orrery", partitions: int = 8
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder becomes the
-    checkpoint folder; a cluster always names one that all its nodes share.
+    Where the setting is absent a local session (tests, a laptop) gets a temporary folder;
+    on a cluster, whose nodes would not see such a folder, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -43,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes of the cluster share")
         current = tempfile.mkdtemp(prefix="orrery-checkpoints-")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -54,6 +58,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def movable(name: str) -> Column:
+    """The BIGINT column ``name`` without what Spark knows about its placement.
+
+    A join on it deals both sides anew, so that adaptive execution can split a hot key; a join
+    with an aggregate of the same rows would otherwise stay where the aggregate put the key.
+    """
+    return F.col(name).bitwiseXOR(F.lit(0)).alias(name)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
