@@ -1,25 +1,32 @@
 """Line de-duplication over levelled sorted runs of line hashes.
 
-Every batch of documents adds one run: a table of ``(h1, h2, n_docs, first_id)`` sorted by
-hash, at level 0.  When a level holds ``fanout`` runs they are merged into one run of the
-next level, so a long-lived store keeps few, growing, sorted runs.  Dropping lines is a
-merge join of a batch's line hashes against the runs.  A line's key is hashed with two
-64-bit hashes, so that distinct keys do not meet by chance in a large corpus.
+The documents are dealt into batches.  Each batch's line hashes are counted, merge-anti-joined
+with the runs written so far, so that a line that the runs already know as frequent is not
+written again, and the rest is added as a run of level 0: a bucketed table ``(h1, h2, n_docs,
+first_id)`` sorted by hash.  Runs are bucketed alike, so neither the anti-join nor the merge of two
+runs moves or sorts them.  Two runs of a level are compacted into one of the next, so a
+long-lived store keeps few, growing runs.  At last all are compacted into one, whose frequent
+lines are dropped from the texts.
+
+A line's key is hashed with two 64-bit hashes, so that distinct keys do not meet by chance.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.session import checkpoint, remove_path, scratch_path
+from orrery.session import checkpoint, movable, remove_path, scratch_path
 
 #: The white space that is stripped, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASH = ["h1", "h2"]
+#: Lets a sorted bucket of one file be merged without another sort.
+ORDERED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -44,45 +51,83 @@ def line_counts(docs: DataFrame, id_col: str, text_col: str, min_key: int) -> Da
 
 
 class LineRuns:
-    """Levelled sorted runs of line hashes below a shared folder."""
+    """Levelled sorted runs of line hashes below a shared folder.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4):
-        self.spark, self.folder, self.fanout = spark, folder or scratch_path(spark, "line-runs"), fanout
+    ``min_docs`` is the count from which on a line is frequent.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, folder: str | None = None):
+        self.spark, self.min_docs, self.folder = spark, min_docs, folder or scratch_path(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self._written = 0
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = 1) -> None:
-        """Add one batch as a run of level 0, then compact levels that are full."""
-        self._write(line_counts(docs, id_col, text_col, min_key), 0)
+        """Anti-join one batch with the runs, add the rest as a run of level 0, compact full levels.
+
+        A line that a run holds as frequent adds nothing, unless its first id comes before
+        the run's; so counts below ``min_docs`` and all first ids stay exact.
+        """
+        fresh = line_counts(docs, id_col, text_col, min_key)
+        for run in self.runs():
+            known = self.spark.table(run).where(F.col("n_docs") >= self.min_docs).select(*HASH, F.col("first_id").alias("known_id"))
+            adds_nothing = F.col("first_id").isNull() | (F.col("known_id") <= F.col("first_id"))
+            same = [fresh[h] == known[h] for h in HASH]
+            fresh = fresh.join(known.hint("merge"), [*same, adds_nothing], "left_anti")
+        self._write(fresh, 0)
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            full = self.levels[level]
-            self._write(self._merged(full), level + 1)
-            for path in full:
-                remove_path(self.spark, path)
-            self.levels[level] = []
+        while len(self.levels[level]) > 1:
+            self._compact(self.levels[level], level + 1)
             level += 1
 
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
+
+    def frequent(self) -> DataFrame:
+        """``(h1, h2, first_id)`` of the frequent lines, after all runs are compacted into one."""
+        runs = self.runs()
+        if not runs:
+            raise ValueError("no batch was added")
+        while len(runs) > 1:
+            self._compact(runs[:2], len(self.levels) - 1)
+            runs = self.runs()
+        return self.spark.table(runs[0]).where(F.col("n_docs") >= self.min_docs).select(*map(movable, HASH), "first_id")
+
+    def _compact(self, pair: list[str], level: int) -> None:
+        """Merge-join two runs into one of ``level``.  (A union would lose their buckets.)"""
+        pair = list(pair)
+        one, other = (self.spark.table(run).select(*HASH, F.col("n_docs").alias(f"n{k}"), F.col("first_id").alias(f"id{k}")) for k, run in enumerate(pair))
+        both = one.hint("merge").join(other, HASH, "full_outer")
+        count = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+        self._write(both.select(*HASH, count.alias("n_docs"), F.least("id0", "id1").alias("first_id")), level)
+        for held in self.levels:
+            for run in [r for r in pair if r in held]:
+                self._drop(run)
+                held.remove(run)
+
     def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.folder}/level-{level}/run-{self._written}"
-        counts.sortWithinPartitions(*HASH).write.parquet(path)
-        self._written += 1
+        run = f"line_run_{uuid.uuid4().hex}"
+        before = self.spark.conf.get(ORDERED_SCANS, "false")
+        self.spark.conf.set(ORDERED_SCANS, "true")
+        try:
+            counts.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", self._path(run)).saveAsTable(run)
+        finally:
+            self.spark.conf.set(ORDERED_SCANS, before)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionByName, (self.spark.read.parquet(p) for p in paths))
-        return runs.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.min("first_id").alias("first_id"))
+    def _path(self, run: str) -> str:
+        return f"{self.folder}/{run}"
 
-    def frequent(self, min_docs: int) -> DataFrame:
-        """Keys of at least ``min_docs`` documents over all runs."""
-        paths = [p for level in self.levels for p in level]
-        merged = self.spark.read.parquet(paths[0]) if len(paths) == 1 else self._merged(paths)
-        return merged.where(F.col("n_docs") >= min_docs)
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        remove_path(self.spark, self._path(run))
 
     def drop(self) -> None:
         """Delete all runs."""
+        for run in self.runs():
+            self._drop(run)
+        self.levels = [[]]
         remove_path(self.spark, self.folder)
 
 
@@ -116,35 +161,48 @@ def drop_frequent_lines(docs: DataFrame, frequent: DataFrame, id_col: str, text_
     )
 
 
-def split_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """The table as up to ``batches`` tables of whole input files, each row in exactly one."""
-    files = sorted(docs.inputFiles())
-    count = max(1, min(batches, len(files)))
-    if count == 1:
-        return [docs]
-    reader = docs.sparkSession.read.schema(docs.schema)
-    return [reader.parquet(*files[k::count]) for k in range(count)]
+def split_batches(docs: DataFrame, batches: int, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
+    """``docs`` as ``batches`` tables, each row in exactly one, by a predicate on ``docs`` itself.
+
+    Rows of a scan of many files are dealt by file, so that each file is read once in all;
+    others by id and text.
+    """
+    key = [F.col("_metadata.file_path")] if _has_files(docs, 2 * batches) else [F.col(id_col), F.col(text_col)]
+    return [docs.where(F.pmod(F.xxhash64(*key), F.lit(batches)) == k) for k in range(batches)]
+
+
+def _has_files(docs: DataFrame, count: int) -> bool:
+    try:
+        docs.select("_metadata.file_path")
+    except AnalysisException:  # no scan of files, or a union or join of several
+        return False
+    return len(docs.inputFiles()) >= count
 
 
 def dedup_lines(
-    batches: list[DataFrame], min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", min_key: int = 1, keep_first: bool = False, fanout: int = 4
+    docs: DataFrame,
+    batches: int = 4,
+    min_docs: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_key: int = 1,
+    keep_first: bool = False,
 ) -> DataFrame:
-    """Drop lines that occur in at least ``min_docs`` documents of all ``batches``.
+    """Drop lines that occur in at least ``min_docs`` documents of ``docs``.
 
-    Returns the columns of the batches plus ``n_lines``, ``n_dropped`` and ``kept_text``
-    (under those names, which replace columns of the same name).  Each row is one document,
-    so repeated rows count each; rows whose id is null keep and lose lines alike.  A null
-    text is one empty line.  Empty tables give an empty result.
+    Returns the columns of ``docs`` plus ``n_lines``, ``n_dropped`` and ``kept_text`` (under
+    those names, which replace columns of the same name).  Each row is one document, so
+    repeated rows count each; rows whose id is null keep and lose lines alike.  A null text
+    is one empty line.  Empty tables give an empty result.  ``batches`` does not change
+    the result.
     """
-    spark = batches[0].sparkSession
-    runs = LineRuns(spark, fanout=fanout)
-    for batch in batches:
+    runs = LineRuns(docs.sparkSession, min_docs)
+    for batch in split_batches(docs, batches, id_col, text_col):
         runs.add(batch, id_col, text_col, min_key)
-    frequent = checkpoint(runs.frequent(min_docs).select(*HASH, "first_id"))
+    frequent = checkpoint(runs.frequent())
     runs.drop()
-    rows = reduce(DataFrame.unionByName, batches)
     return (
-        drop_frequent_lines(rows, frequent, id_col, text_col, min_key, keep_first)
+        drop_frequent_lines(docs, frequent, id_col, text_col, min_key, keep_first)
         .withColumn("n_lines", F.size("__lines").cast("long"))
         .withColumn("n_dropped", F.col("__n_dropped"))
         .withColumn("kept_text", F.col("__kept"))

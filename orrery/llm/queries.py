@@ -75,7 +75,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = linededup.dedup_lines(linededup.split_batches(docs, LINE_BATCHES), MIN_LINE_DOCS)
+    out = linededup.dedup_lines(docs, LINE_BATCHES, MIN_LINE_DOCS)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
