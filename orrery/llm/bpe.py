@@ -46,11 +46,30 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def refuse(config: dict) -> None:
+    """Raise an error for a tokenizer file whose ids this coder would get wrong."""
+    model, steps = config["model"], config.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [steps])
+    wrong = [
+        ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+        ("a normalizer", config.get("normalizer")),
+        ("a pre-tokenizer other than the plain byte-level one", [s.get("type") for s in steps] != ["ByteLevel"] or steps[0].get("add_prefix_space") or steps[0].get("use_regex") is False),
+        ("byte fallback", model.get("byte_fallback")),
+        ("ignored merges", model.get("ignore_merges")),
+        ("dropout", model.get("dropout")),
+        ("affixes of subwords", model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        ("added tokens with flags", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and not t.get("special") for t in config.get("added_tokens", []))),
+    ]
+    if found := [what for what, bad in wrong if bad]:
+        raise ValueError(f"tokenizer files with {', '.join(found)} are not supported")
+
+
 class Bpe:
     """Encoder and decoder of one byte-level tokenizer file."""
 
     def __init__(self, definition: str):
         config = json.loads(definition)
+        refuse(config)
         model, letters = config["model"], byte_letters()
         raw = {i: bytes(letters[c] for c in token) for token, i in model["vocab"].items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -148,7 +167,7 @@ class Bpe:
         if len(memo) > MEMO_PIECES:
             memo.clear()
         out = []
-        for n, part in enumerate(self.cut.split(text) if self.cut and "<" in text else [text]):
+        for n, part in enumerate(self.cut.split(text) if self.cut and any(a in text for a in self.added) else [text]):
             if n % 2:
                 out.append(np.array([self.added[part]], "<u4").tobytes())
             elif part:

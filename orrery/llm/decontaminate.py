@@ -13,7 +13,6 @@ the spans and items found so far, so larger benchmarks are scanned exactly as we
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,53 +25,74 @@ from orrery.session import checkpoint, map_arrow, worker_cache
 
 #: Bytes: A-Z become a-z, ASCII other than letters and digits becomes a space; all else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 SEPARATOR, FIRST = "\x00", 1
-SCAN = "array<struct<first:int,last:int>>"
+#: Characters that can stand for words; a larger alphabet is matched as sequences of numbers.
+LETTERS = 0x110000 - 0x800 - FIRST
+SPAN = "struct<first:int,last:int,start:int,end:int>"
+
+
+def folded(text: str | None) -> bytes:
+    """The text as bytes, all that is no word a space; places in it are places in the UTF-8 text."""
+    return text.encode("utf-8", "surrogatepass").translate(FOLD) if text else b""
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
+    return folded(text).split()
+
+
+def places_of(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-but-one character of each word of a folded text, counted in characters."""
+    codes = np.frombuffer(b" " + line + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff((codes != 32).astype(np.int8)))
+    chars = np.append(0, np.cumsum((codes[1:-1] & 0xC0) != 0x80))
+    return chars[edges[::2]], chars[edges[1::2]]
 
 
 class Matcher:
     """The automaton over the windows of ``items``, pairs of (id as string, text)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = 10):
-        self.alphabet: dict[bytes, str] = {}
-        found: dict[str, list[str]] = {}
-        for item, text in items:
-            chars = [self.alphabet.setdefault(w, self._letter(len(self.alphabet))) for w in words_of(text)]
-            if chars:
-                for at in range(max(1, len(chars) - window + 1)):
-                    owners = found.setdefault("".join(chars[at : at + window]), [])
-                    if item not in owners:
-                        owners.append(item)
-        self.automaton = ahocorasick.Automaton()
+    def __init__(self, items: list[tuple[str, str | None]], window: int = 10, letters: int = LETTERS):
+        self.alphabet: dict[bytes, int] = {}
+        texts = [(item, [self.alphabet.setdefault(w, len(self.alphabet) + FIRST) for w in words_of(text)]) for item, text in items]
+        self.wide = len(self.alphabet) > letters
+        found: dict[str | tuple[int, ...], list[str]] = {}
+        for item, codes in texts:
+            for at in range(max(1, len(codes) - window + 1) if codes else 0):
+                owners = found.setdefault(self._joined(codes[at : at + window]), [])
+                if item not in owners:
+                    owners.append(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if self.wide else ahocorasick.Automaton()
         for pattern, owners in found.items():
             self.automaton.add_word(pattern, (len(pattern), tuple(owners)))
         if found:
             self.automaton.make_automaton()
         self.empty = not found
+        self._letters = {} if self.wide else {w: self._joined([c]) for w, c in self.alphabet.items()}
 
-    @staticmethod
-    def _letter(n: int) -> str:
-        code = FIRST + n
-        return chr(code if code < 0xD800 else code + 0x800)  # surrogates are no characters
+    def _joined(self, codes: list[int]) -> str | tuple[int, ...]:
+        """The words as characters, surrogates left out, or as numbers."""
+        return tuple(codes) if self.wide else "".join([chr(c if c < 0xD800 else c + 0x800) for c in codes])
 
-    def scan(self, text: str | None) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word spans [first, last] of all matches, merged, and the items that occur."""
-        words = words_of(text)
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, int, int]], set[str]]:
+        """Number of words; spans of all matches, merged, as (first word, last word, start, end) with character offsets; items that occur."""
+        line = folded(text)
+        words = line.split()
         if self.empty or not words:
-            return [], set()
-        get = self.alphabet.get
-        line = "".join([get(w, SEPARATOR) for w in words])
+            return len(words), [], set()
+        if self.wide:
+            coded: str | tuple[int, ...] = tuple([self.alphabet.get(w, 0) for w in words])
+        else:
+            get = self._letters.get
+            coded = "".join([get(w, SEPARATOR) for w in words])
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        for end, (length, owners) in self.automaton.iter(line):
+        for end, (length, owners) in self.automaton.iter(coded):
             spans.append((end - length + 1, end))
             items.update(owners)
-        return merge(spans), items
+        if not spans:
+            return len(words), [], items
+        starts, ends = places_of(line)
+        return len(words), [(a, b, int(starts[a]), int(ends[b])) for a, b in merge(spans)], items
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -85,6 +105,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def united(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """Spans with character offsets, overlapping and adjoining ones merged."""
+    starts, ends = {x["first"]: x["start"] for x in spans}, {x["last"]: x["end"] for x in spans}
+    return [{"first": a, "last": b, "start": starts[a], "end": ends[b]} for a, b in merge([(x["first"], x["last"]) for x in spans])]
+
+
 def _matcher(items: list[tuple[str, str | None]], window: int) -> Matcher:
     """The automaton of a chunk, kept by the Python worker."""
     key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
@@ -102,11 +128,11 @@ def _scan_chunk(docs: DataFrame, items: list[tuple[str, str | None]], text_at: i
             spans, owners = batch.column(width - 2).to_pylist(), batch.column(width - 1).to_pylist()
             counts = np.array(batch.column(width - 3).to_pylist(), np.int64)
             for k, text in enumerate(batch.column(text_at).to_pylist()):
-                counts[k] = len(words_of(text))
-                more, names = matcher.scan(text)
+                counts[k], more, names = matcher.scan(text)
                 if more:
-                    old = [(s["first"], s["last"]) for s in spans[k]]
-                    spans[k] = [{"first": a, "last": b} for a, b in merge(old + more)]
+                    old = {(x["first"], x["last"]): x for x in spans[k]}
+                    new = [dict(zip(("first", "last", "start", "end"), x)) for x in more]
+                    spans[k] = united([*old.values(), *new])
                     owners[k] = sorted({*owners[k], *names})
             kinds = [batch.schema.field(width - j).type for j in (3, 2, 1)]
             added = [pa.array(v, t) for v, t in zip((counts.tolist(), spans, owners), kinds)]
@@ -134,7 +160,10 @@ def find_contamination(
     window: int = 10,
     chunk_chars: int = 8_000_000,
 ) -> DataFrame:
-    """``docs`` plus ``n_words``, ``hit_spans`` (word indexes, merged) and ``hit_items``.
+    """``docs`` plus ``n_words``, ``hit_spans`` and ``hit_items``.
+
+    A span has the indexes of its first and last word, and ``start`` and ``end`` (exclusive)
+    of its characters in the original text; overlapping and adjoining spans are merged.
 
     The three columns replace columns of the same name.  Texts without words (null, empty,
     punctuation) have no hits; items without words never occur; items whose id repeats
@@ -144,7 +173,7 @@ def find_contamination(
     out = kept.withColumns(
         {
             "n_words": F.lit(0).cast("long"),
-            "hit_spans": F.from_json(F.lit("[]"), SCAN),
+            "hit_spans": F.from_json(F.lit("[]"), f"array<{SPAN}>"),
             "hit_items": F.from_json(F.lit("[]"), "array<string>"),
         }
     )
@@ -156,21 +185,3 @@ def find_contamination(
 
 def n_hit(spans: str = "hit_spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
-
-
-def char_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``char_spans``: ``hit_spans`` as [start, end) offsets into the original text."""
-    schema = found.drop("char_spans").withColumn("char_spans", F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")).schema
-    source = found.drop("char_spans")
-    text_at, spans_at = source.columns.index(text_col), source.columns.index("hit_spans")
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()):
-                places = [m.span() for m in WORD.finditer(text)] if spans else []
-                out.append([{"start": places[s["first"]][0], "end": places[s["last"]][1]} for s in spans])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "char_spans"])
-
-    return map_arrow(source, run, schema)

@@ -58,11 +58,16 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """``shares[f, l]``: probability of trigram ``f`` in language ``l``; the last column is the background."""
+    """``shares[f, l]``: probability of trigram ``f`` in language ``l``; the last column is the background.
+
+    ``breadth`` bounds how many languages are tried at a step, those first whose share would
+    raise the likelihood fastest; None tries every one that would raise it.
+    """
 
     languages: list[str]
     shares: np.ndarray
     penalty: float = 4.0
+    breadth: int | None = None
 
     def mixture(self, text: str | None) -> dict[str, float]:
         """Shares of the selected languages, the background under an empty name; empty without letters."""
@@ -79,7 +84,7 @@ class LanguageModel:
         while len(chosen) < table.shape[1]:
             density = table[:, chosen] @ weights
             gain = (counts / density) @ table - total
-            others = [l for l in np.argsort(-gain) if gain[l] > 0 and l not in chosen][:3]
+            others = [l for l in np.argsort(-gain) if gain[l] > 0 and l not in chosen][: self.breadth]
             fits = [(*self._fit(table[:, [*chosen, l]], counts, weights), int(l)) for l in others]
             if not fits:
                 break

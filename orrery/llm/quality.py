@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression with FTRL-proximal updates.
 
-A word gives a lexical unigram and a shape (case, punctuation, length); shapes give unigrams
-and bigrams, and words that repeat an earlier one at a short distance give a repeat marker.
+A word gives a lexical hash and a shape (case, punctuation, length); both give unigrams and
+bigrams, and words that repeat an earlier one at a short distance give a repeat marker.
 All are hashed into one weight vector.  Training follows the regularised leader per
 coordinate over a bounded sample of labelled rows; scoring is a sparse dot product.
 """
@@ -52,8 +52,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     both = np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
     lexical, shape = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
     pairs = shape[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ shape[1:]
+    bigrams = lexical[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ lexical[1:]
     repeats = [np.full(int((lexical[k:] == lexical[:-k]).sum()), 977 + k, np.uint64) for k in LAGS if k < len(words)]
-    families = [lexical, shape * np.uint64(3) + np.uint64(1), pairs * np.uint64(5) + np.uint64(2), *repeats]
+    families = [lexical, shape * np.uint64(3) + np.uint64(1), pairs * np.uint64(5) + np.uint64(2), bigrams * np.uint64(7) + np.uint64(3), *repeats]
     ids = np.concatenate(families) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)
     ids, counts = np.unique(ids, return_counts=True)
     return np.append(bias, ids.astype(np.int64) + 1), np.append(1.0, np.sqrt(counts / len(words)))

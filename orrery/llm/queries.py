@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, chat_format, decontaminate, langid, licences, linededup, quality, simhash, urlfilter, vecdedup
+from orrery.session import checkpoint
 
 TOKENIZER = "byte_bpe_50k.json"
 LINE_BATCHES = 4
@@ -13,8 +14,25 @@ MIN_LINE_DOCS = 10
 
 #: Tools that the query knows; calls of others are reported as unknown.
 TOOLS = {
-    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
-    "calculator": {"properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+    "search": {
+        "properties": {
+            "query": {"type": "string", "minLength": 1},
+            "limit": {"type": ["integer", "null"], "minimum": 1, "maximum": 50},
+            "sort": {"enum": ["date", "size"]},
+        },
+        "required": ["query"],
+        "additionalProperties": False,
+    },
+    "calculator": {
+        "properties": {
+            "expression": {
+                "type": "object",
+                "properties": {"op": {"type": "string", "enum": ["add", "mul"]}, "values": {"type": "array", "items": {"type": "integer"}}},
+                "required": ["op", "values", "unit"],
+            }
+        },
+        "required": ["expression"],
+    },
 }
 
 
@@ -28,8 +46,51 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def tool_conversations(conversations: DataFrame) -> DataFrame:
+    """``conversations`` as chats with tools: every turn is kept, and calls and answers are made of the turns.
+
+    The table itself holds plain text only.  With ``n`` the length of a text:
+
+    * An assistant turn becomes ``{"content", "tool_calls"}`` with one call, two if 5 divides
+      ``n``.  Call ``k`` has the id ``c<turn>-<k>``, or ``again`` if ``n % 7 = 3``, and is of
+      ``search`` (``(n + k) % 4`` is 0 or 1), ``calculator`` (2) or ``translate``, which no
+      schema knows.  A search has the text's first 20 characters as ``query`` (none if 11
+      divides ``n``), a ``limit`` of ``n % 60`` (as a string if 6 divides ``n``) and a ``sort``
+      by ``n % 3``; a calculation has ``op`` by ``n % 2`` and the values ``n``, ``k``, ``n / 2``.
+    * A user turn after the first stays, and is followed by a ``tool`` message of the same
+      turn and text that answers ``c<turn - 1>-0``, ``lost`` if 9 divides ``n``, or ``again``
+      if 10 does.
+    """
+    n, turn = F.coalesce(F.length("text"), F.lit(0)), F.col("turn").cast("string")
+
+    def call(k: int):
+        search = F.struct(
+            F.when(n % 11 != 0, F.substring("text", 1, 20)).alias("query"),
+            F.when(n % 6 != 0, n % 60).alias("limit"),
+            F.when(n % 3 == 0, "date").when(n % 3 == 1, "size").otherwise("none").alias("sort"),
+        )
+        spoilt = F.struct(search["query"].alias("query"), (n % 60).cast("string").alias("limit"), search["sort"].alias("sort"))
+        values = F.array(n.cast("double"), F.lit(float(k)), n / 2)
+        calculation = F.struct(F.struct(values.alias("values"), F.when(n % 2 == 0, "add").otherwise("pow").alias("op")).alias("expression"))
+        which = (n + k) % 4
+        arguments = F.when(which == 2, F.to_json(calculation)).when(n % 6 == 0, F.to_json(spoilt)).otherwise(F.to_json(search))
+        name = F.when(which < 2, "search").when(which == 2, "calculator").otherwise("translate")
+        call_id = F.when(n % 7 == 3, "again").otherwise(F.concat(F.lit("c"), turn, F.lit(f"-{k}")))
+        return F.struct(name.alias("name"), call_id.alias("id"), arguments.alias("arguments"))
+
+    calls = F.when(n % 5 == 0, F.array(call(0), call(1))).otherwise(F.array(call(0)))
+    made = F.concat(F.lit("\n "), F.to_json(F.struct(calls.alias("tool_calls"), F.col("text").alias("content"))))
+    said = conversations.select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", made).otherwise(F.col("text")).alias("text"))
+    answered = F.when(n % 9 == 0, "lost").when(n % 10 == 0, "again").otherwise(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"), F.lit("-0")))
+    answers = conversations.where("role = 'user' AND turn > 0").select(
+        "conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(F.col("text").alias("content"), answered.alias("tool_call_id"))).alias("text")
+    )
+    return said.unionByName(answers)
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chat(table(spark, sf_dir, "conversations"), chat_format.tool_table(spark, TOOLS))
+    chats = checkpoint(tool_conversations(table(spark, sf_dir, "conversations")))
+    return chat_format.format_chat(chats, chat_format.tool_table(spark, TOOLS))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +246,45 @@ FROM whole w LEFT JOIN known k ON k.kind = 'text' AND k.c = w.c LEFT JOIN named
 """
 
 
-#: Messages without calls, which is all that the conversations table holds.
+#: The rules of ``tool_conversations`` and of ``TOOLS``, written out.
 CHAT_SQL = """
+WITH said AS (
+  SELECT *, coalesce(length(text), 0) AS n FROM conversations
+), calls AS (
+  SELECT conv_id, turn, text, n, k, CASE WHEN n % 7 = 3 THEN 'again' ELSE 'c' || turn || '-' || k END AS id, (n + k) % 4 AS which
+  FROM said, (VALUES (0), (1)) AS t(k) WHERE role = 'assistant' AND (k = 0 OR n % 5 = 0)
+), answers AS (
+  SELECT conv_id, turn, text, CASE WHEN n % 9 = 0 THEN 'lost' WHEN n % 10 = 0 THEN 'again' ELSE 'c' || (turn - 1) || '-0' END AS id
+  FROM said WHERE role = 'user' AND turn > 0
+), firsts AS (
+  SELECT conv_id, id, min(turn * 2 + k) AS place FROM calls GROUP BY ALL
+), answered AS (
+  SELECT conv_id, id, min(turn) AS at FROM answers GROUP BY ALL
+)
 SELECT conv_id, 'message' AS kind, turn, -1 AS item, CAST(NULL AS VARCHAR) AS call_id, turn AS at_turn, 0 AS step, 'ok' AS status, '' AS errors,
        '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN role IS NULL THEN '' ELSE ',' END END
            || CASE WHEN role IS NULL THEN '' ELSE '"role":' || CAST(to_json(role) AS VARCHAR) END || '}' AS json
-FROM conversations
+FROM said
+UNION ALL
+SELECT c.conv_id, 'call', turn, k, c.id, turn, 1,
+       CASE WHEN place < turn * 2 + k THEN 'duplicate' WHEN a.id IS NULL THEN 'unanswered' ELSE 'ok' END,
+       CASE WHEN which = 3 THEN 'unknown tool'
+            WHEN which = 2 THEN array_to_string(list_filter([CASE WHEN n % 2 = 1 THEN 'enum of expression.op' END, 'missing expression.unit',
+                 CASE WHEN n % 2 = 1 THEN 'type of expression.values[]' END], lambda x: x IS NOT NULL), ',')
+            ELSE array_to_string(list_filter([CASE WHEN n % 3 = 2 THEN 'enum of sort' END, CASE WHEN n % 6 <> 0 AND n % 60 > 50 THEN 'maximum of limit' END,
+                 CASE WHEN n % 11 = 0 THEN 'missing query' END, CASE WHEN n % 6 = 0 THEN 'type of limit' END], lambda x: x IS NOT NULL), ',') END,
+       '{"arguments":' || CASE
+         WHEN which = 2 THEN '{"expression":{"op":"' || CASE WHEN n % 2 = 0 THEN 'add' ELSE 'pow' END || '","values":[' || n || ',' || k || ',' || (n // 2) || CASE WHEN n % 2 = 1 THEN '.5' ELSE '' END || ']}}'
+         ELSE '{"limit":' || CASE WHEN n % 6 = 0 THEN '"' || (n % 60) || '"' ELSE CAST(n % 60 AS VARCHAR) END
+              || CASE WHEN n % 11 = 0 THEN '' ELSE ',"query":' || CAST(to_json(left(text, 20)) AS VARCHAR) END
+              || ',"sort":"' || CASE n % 3 WHEN 0 THEN 'date' WHEN 1 THEN 'size' ELSE 'none' END || '"}' END
+         || ',"id":"' || c.id || '","name":"' || CASE WHEN which < 2 THEN 'search' WHEN which = 2 THEN 'calculator' ELSE 'translate' END || '"}'
+FROM calls c JOIN firsts f ON c.conv_id = f.conv_id AND c.id = f.id LEFT JOIN answered a ON c.conv_id = a.conv_id AND c.id = a.id
+UNION ALL
+SELECT r.conv_id, 'result', turn, -1, r.id, CASE WHEN place // 2 > turn THEN place // 2 ELSE turn END, 2,
+       CASE WHEN place IS NULL THEN 'orphan' WHEN turn > a.at THEN 'duplicate' ELSE 'ok' END, '',
+       '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"role":"tool","tool_call_id":"' || r.id || '"}'
+FROM answers r LEFT JOIN firsts f ON r.conv_id = f.conv_id AND r.id = f.id JOIN answered a ON r.conv_id = a.conv_id AND r.id = a.id
 """
 
 

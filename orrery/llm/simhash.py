@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators.components import connected_components
-from orrery.session import checkpoint, map_arrow
+from orrery.session import checkpoint, map_arrow, movable
 
 #: Bytes A-Z become a-z; all others stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -164,6 +164,6 @@ def simhash_groups(
     links = link_fingerprints(fps.select("fp"), max_distance, bucket_rows)
     parts = connected_components(links).join(fps.withColumnRenamed("fp", "node"), "node")
     roots = parts.groupBy("component").agg(F.min("first_id").alias("root"))
-    moved = parts.join(roots, "component").select(F.col("node").alias("fp"), "root")
-    final = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "first_id").alias("component_id"))
+    moved = parts.join(roots.select(movable("component"), "root"), "component").select(F.col("node").alias("fp"), "root")
+    final = fps.join(moved, "fp", "left").select(movable("fp"), F.coalesce("root", "first_id").alias("component_id"))
     return rows.join(final, "fp").select(id_col, "fp", "component_id")

@@ -9,17 +9,17 @@ table; each step is one aggregation whose result has at most ``DIMENSIONS`` rows
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Sequence
-from itertools import product
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIMENSIONS = 16384
+DIMENSIONS = 32768
 MAX_LABELLED = 5000
 MAX_INLINE_RULES = 500
-GRAMS = (3, 4)
+GRAMS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,27 +38,59 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: The labelled hosts: unwanted ones join a topic and a lure, wanted ones two plain words.
-UNWANTED = (("adult", "ads", "bets", "casino", "cheap", "free", "loan", "pills", "poker", "spam", "xxx"), ("bets", "farm", "pills", "track", "win", "x", "cams"))
-WANTED = (
-    ("city", "daily", "earth", "garden", "history", "math", "nation", "other", "school", "station", "that", "there", "thing", "thorn", "train", "water", "with", "world"),
-    ("", "at", "book", "born", "earth", "hand", "her", "house", "land", "ring", "shore", "than", "the", "tion", "when"),
-)
-ZONES, SECTIONS = ("com", "net", "org"), ("en", "fr", "de", "es")
-
+#: The labelled hosts join a topic and a modifier; modifiers, joints, zones and plain paths are the same for both classes.
+UNWANTED = {
+    "gambling": ("casino", "poker", "slots", "betting", "bingo", "jackpot", "roulette", "lottery", "bets"),
+    "pharmacy": ("pharmacy", "viagra", "cialis", "steroids", "pills", "painkillers"),
+    "adult": ("adult", "porn", "xxx", "escorts", "nudes", "sexchat"),
+    "advertising": ("ads", "adserver", "banners", "popunder", "clicktrack", "affiliates"),
+    "spam": ("spam", "linkfarm", "clickbait", "getrich", "freecash", "bulkmail"),
+    "piracy": ("warez", "cracks", "keygen", "torrents", "phishing", "malware"),
+}
+WANTED = {
+    "press": ("news", "times", "herald", "gazette", "journal", "radio"),
+    "study": ("university", "school", "library", "museum", "academy", "science", "history", "maths"),
+    "software": ("docs", "code", "devtools", "wiki", "kernel", "linux"),
+    "leisure": ("garden", "kitchen", "travel", "weather", "music", "sports", "cinema", "books"),
+    "civic": ("council", "health", "clinic", "post", "railway", "water", "energy"),
+    "names": ("bellmore", "karston", "lindqvist", "moreau", "okafor", "hendriks", "tanaka", "silva", "novak", "mortensen", "whitaker", "rossi"),
+}
+#: Everyday words as hosts of nobody in particular, with fewer modifiers each.
+EVERYDAY = (
+    "acorn anchor apple arbour autumn bakery barley basket beacon bicycle birch blanket bottle bramble bridge bucket butter cabin candle canyon carpet "
+    "castle cathedral cedar chapel cherry chestnut clover cobble compass copper coral cottage cradle crystal dolphin dragon eagle eleven ember engine "
+    "fabric falcon farther feather fern fiddle finch forest fountain garnet ginger glacier granite hammer harbour harvest hazel heather hedge heron "
+    "hollow honest horizon island ivory jacket jasmine juniper kettle ladder lantern laurel leather lemon lighthouse linen lobster magnet mantle maple "
+    "marble meadow mellow mineral mirror mitten month mother mountain needle north nothing nutmeg oatmeal olive orchard otter paddle parchment path "
+    "pebble pepper pigeon pillow pioneer planet plover pocket python quarry quilt rabbit raven ribbon ripple river rooster saddle sailor sandal section "
+    "shadow shelter shepherd silver sister sparrow station stone summer sunrise tailor thicket thimble thistle thousand thread timber tower tractor "
+    "tulip turnip tweed valley velvet village violin walnut weather whisker willow winter within without woodland wren"
+).split()
+MODIFIERS = ("best", "city", "club", "daily", "direct", "easy", "first", "global", "home", "hub", "live", "my", "now", "online", "plus", "pro", "shop", "top", "web", "world", "zone", "24")
+JOINTS = ("{t}{m}", "{m}{t}", "{t}-{m}", "{m}-{t}", "{m}.{t}", "{t}")
+ZONES = ("com", "net", "org", "info", "biz", "io", "co.uk", "eu", "xyz", "de", "fr", "nl")
+PATHS = ("", "/", "/index.html", "/en/12", "/de/7.html", "/fr/905", "/es/41", "/page/3")
+OWN_PATHS = (("/articles/2021/05", "/about", "/docs/start.html"), ("/win-now", "/click/9", "/signup-bonus"))
+
+
+def labelled_hosts() -> list[tuple[str, str, int]]:
+    """``(url, topic, blocked)``: every topic with modifiers; joint, zone and path follow from a checksum of both."""
+    rows = []
+    for blocked, groups in ((0, WANTED | {"everyday": EVERYDAY}), (1, UNWANTED)):
+        for topic, words in groups.items():
+            for word in words:
+                for modifier in MODIFIERS[:: 4 if topic == "everyday" else 1]:
+                    draw = zlib.crc32(f"{word} {modifier}".encode())
+                    pick = lambda options, by: options[draw // by % len(options)]  # noqa: B023, E731
+                    host = f"{pick(JOINTS, 1).format(t=word, m=modifier)}.{pick(ZONES, 64)}"
+                    path = pick(OWN_PATHS[blocked] if draw % 5 == 0 else PATHS, 4096)
+                    rows.append((f"http://{pick(('', 'www.', 'm.', 'blog.'), 65536)}{host}{path}", topic, blocked))
+    return rows
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table ``(url, blocked)``: every pair of words with a zone and a section by turns.
 
-    Unwanted pairs come three times, so that both classes have about as many rows.
-    """
-    rows = []
-    for blocked, (firsts, seconds), glue, times in ((1, UNWANTED, "-", 3), (0, WANTED, "", 1)):
-        for n, (a, b) in enumerate(list(product(firsts, seconds)) * times):
-            if a != b:
-                prefix = ("", "www.", "blog.", "m.")[n % 4]
-                rows.append((f"http://{prefix}{a}{glue if b else ''}{b}.example.{ZONES[n % 3]}/{SECTIONS[(n // 3) % 4]}/{(n * 37) % 1000}", blocked))
-    return spark.createDataFrame(rows, "url string, blocked int")
+def labelled_urls(spark: SparkSession, rows: Sequence[tuple[str, str, int]] | None = None) -> DataFrame:
+    """The small labelled table ``(url, topic, blocked)``, made by rule from public everyday words."""
+    return spark.createDataFrame(rows if rows is not None else labelled_hosts(), "url string, topic string, blocked int")
 
 
 def host_of(url: Column) -> Column:
@@ -84,7 +116,8 @@ def _ngrams(text: Column, n: int) -> Column:
 def gram_ids(host: Column, path: Column) -> Column:
     """Hashed n-grams of the bounded host and of the bounded path without digits."""
     bounded = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.regexp_replace(path, "[0-9]+", "0"), F.lit("$"))))
-    grams = [F.transform(_ngrams(text, n), lambda g, tag=tag: F.concat(F.lit(tag), g)) for tag, text in bounded for n in GRAMS]
+    tagged = lambda tag: lambda g: F.concat(F.lit(tag), g)  # noqa: E731  a second parameter would be the index
+    grams = [F.transform(_ngrams(text, n), tagged(tag)) for tag, text in bounded for n in GRAMS]
     return F.transform(F.concat(*grams), lambda g: F.pmod(F.xxhash64(g), F.lit(DIMENSIONS)).cast("int"))
 
 
@@ -101,10 +134,11 @@ def probability(ids: Column, values: Sequence[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def train(labelled: DataFrame, steps: int = 15, rate: float = 0.5) -> list[float]:
+def train(labelled: DataFrame, steps: int = 40, rate: float = 0.5, l2: float = 0.01) -> list[float]:
     """Weights and intercept from ``(url, blocked)``; at most ``MAX_LABELLED`` rows, checked.
 
-    Steps are scaled per coordinate by the root of its summed squared slopes.
+    Steps are scaled per coordinate by the root of its summed squared slopes; ``l2`` draws
+    weights back to zero.
 
     Rows with a null label are left out; an empty table gives zero weights.
     """
@@ -121,8 +155,9 @@ def train(labelled: DataFrame, steps: int = 15, rate: float = 0.5) -> list[float
             terms = scaled.select(F.explode(F.concat(F.transform("ids", lambda i: F.struct(i.alias("i"), F.col("g").alias("g"))), F.array(F.struct(F.lit(DIMENSIONS).alias("i"), F.col("e").alias("g"))))).alias("t"))
             slope = terms.groupBy("t.i").agg(F.sum("t.g").alias("g")).collect()
             for r in slope:
-                squares[r["i"]] += r["g"] ** 2
-                values[r["i"]] -= rate * r["g"] / math.sqrt(squares[r["i"]])
+                g = r["g"] + l2 * values[r["i"]] * (r["i"] < DIMENSIONS)
+                squares[r["i"]] += g * g
+                values[r["i"]] -= rate * g / math.sqrt(squares[r["i"]])
         return values
     finally:
         rows.unpersist()
@@ -152,11 +187,11 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
-def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RULES, url_col: str = "url", cut: float = 0.75) -> DataFrame:
+def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RULES, url_col: str = "url", cut: float = 0.4) -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule``, ``block_score`` and ``verdict``.
 
     A null url or one without ``://`` has an empty host and path.  The longest rule that fits
-    decides (ties: the greater host, then path); else a score of at least ``cut`` blocks.
+    decides (ties: the greater host, then path); else a score above ``cut`` blocks.
     Columns of these names are replaced, rows are neither merged nor dropped.
     """
     made = ["host", "path", "rule", "block_score", "verdict"]
@@ -165,6 +200,6 @@ def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RU
     judged = match_rules(cutted, rules)
     judged = judged.withColumn("rule", F.concat(F.col("__best.host"), F.col("__best.path")))
     judged = judged.withColumn("block_score", probability(gram_ids(F.col("host"), F.col("path")), weights))
-    verdict = F.coalesce(F.col("__best.verdict"), F.when(F.col("block_score") >= cut, "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("__best.verdict"), F.when(F.col("block_score") > cut, "block").otherwise("allow"))
     return judged.withColumn("verdict", verdict).drop("__best")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators.components import connected_components
-from orrery.session import checkpoint, map_arrow
+from orrery.session import checkpoint, map_arrow, movable
 
 SKETCH_LONGS = 4
 SKETCH_BITS = 64 * SKETCH_LONGS
@@ -84,15 +84,19 @@ def near_vectors(
     are compared once and counted as often as they occur; repeated ids stay repeated rows.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
-    rows = rows.withColumn("norm", F.sqrt(_dot("v", "v")))
-    finite = F.col("norm").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf"))
-    rows = rows.withColumn("v", F.when(finite, F.col("v"))).withColumn("h", F.when(finite, F.xxhash64("v")))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    top = F.array_max(F.transform("v", F.abs))
+    # Extreme vectors are scaled, so that no finite one over- or underflows; cosines stay the same.
+    extreme = (top > 1e100) | (top < 1e-100)
+    rows = rows.withColumn("top", F.when(finite & (top > 0), F.when(extreme, top).otherwise(1.0)))
+    rows = rows.withColumn("v", F.when(F.col("top").isNotNull(), F.transform("v", lambda x: x / F.col("top"))))
+    rows = rows.withColumn("norm", F.sqrt(_dot("v", "v"))).withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     rows = checkpoint(rows.select("id", "v", "norm", "h"))
 
-    # Equal vectors once: the first id stands for them; (h, v) keeps hash collisions apart.
+    # Equal vectors once: the first id stands for them; (h, v) keeps hash collisions apart, a number of their own the groups.
     valid = rows.where(F.col("v").isNotNull())
-    groups = checkpoint(valid.groupBy("h", "v").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"), F.first("norm").alias("norm")))
-    groups = groups.withColumn("rep", F.xxhash64("v", "norm"))
+    groups = valid.groupBy("h", "v").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"), F.first("norm").alias("norm"))
+    groups = checkpoint(groups.withColumn("rep", F.monotonically_increasing_id()))
     units = groups.select("rep", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
     n = groups.count()
     bits, tables = plan_tables(n, threshold, recall)
@@ -116,12 +120,12 @@ def near_vectors(
     counts = ends.join(copies.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     parts = connected_components(links, "a", "b").join(copies.withColumnRenamed("rep", "node"), "node")
     roots = parts.groupBy("component").agg(F.min("rep_id").alias("root"))
-    moved = parts.join(roots, "component").select(F.col("node").alias("rep"), "root")
+    moved = parts.join(roots.select(movable("component"), "root"), "component").select(F.col("node").alias("rep"), "root")
     known = (
         groups.join(counts.withColumnRenamed("a", "rep"), "rep", "left")
         .join(moved, "rep", "left")
         .select(
-            F.col("h").alias("gh"),
+            movable("h").alias("gh"),
             F.col("v").alias("gv"),
             (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
             F.coalesce("root", "rep_id").alias("root"),

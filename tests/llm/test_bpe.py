@@ -54,3 +54,12 @@ def test_table_and_round_trip(spark, both):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_table(spark, docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    import json
+
+    config = json.loads(bpe.read_tokenizer(tokenizer_path()))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"model": config["model"] | {"byte_fallback": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Bpe(json.dumps(config | change))

@@ -49,8 +49,22 @@ def test_spans_and_items_equal_brute_force(spark, chunk):
 def test_offsets_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "Ab-cd: ONE, two... Three é end")], "doc_id long, text string")
     found = D.find_contamination(docs, spark.createDataFrame([(1, "one two three É"), (2, "one two three é")], "item_id long, text string"))
-    row = D.char_spans(found).first()
-    assert [row["text"][s["start"] : s["end"]] for s in row["char_spans"]] == ["ONE, two... Three é"]
+    row = found.first()
+    assert [row["text"][s["start"] : s["end"]] for s in row["hit_spans"]] == ["ONE, two... Three é"]
+
+
+@pytest.mark.parametrize("letters", [D.LETTERS, 5])
+def test_one_scan_gives_counts_and_offsets(letters):
+    """With more words than letters, words are matched as numbers."""
+    docs, items = cases()
+    matcher = D.Matcher([(str(i), t) for i, t in items], letters=letters)
+    assert matcher.wide == (letters == 5)
+    for _, text in [*docs, (0, "𝄞 é" + items[0][1] + "\x00ü " + items[3][1] + "𝄞")]:
+        n, spans, names = matcher.scan(text)
+        want = brute(text, items)
+        assert (n, sum(b - a + 1 for a, b, _, _ in spans), sorted(names)) == want
+        places = [m.span() for m in WORD.finditer((text or "").translate(FOLD))]
+        assert all((places[a][0], places[b][1]) == (start, end) for a, b, start, end in spans)
 
 
 def test_empty_tables(spark):

@@ -1,8 +1,14 @@
+import itertools
+import math
 import random
+import re
 import zlib
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from orrery.llm import langid, quality, urlfilter
 from orrery.llm.queries import queries, table
@@ -36,6 +42,79 @@ def test_mixture_shares_and_odd_texts(spark):
     assert langid.train(rows.limit(0)).languages == []
 
 
+def brute_mixture(model, text):
+    """The penalised likelihood of every set of languages, by plain expectation-maximisation to convergence."""
+    ids, counts = langid.trigrams(text)
+    rows = [(model.shares[i], n) for i, n in zip(ids, counts)]
+    names, total = [*model.languages, ""], sum(counts)
+    best = None
+    for size in range(1, len(names) + 1):
+        for chosen in itertools.combinations(range(len(names)), size):
+            if chosen == (len(names) - 1,):
+                continue
+            w = [1 / size] * size
+            for _ in range(200):
+                fresh = [0.0] * size
+                for p, n in rows:
+                    joint = [w[k] * p[l] for k, l in enumerate(chosen)]
+                    for k in range(size):
+                        fresh[k] += n * joint[k] / sum(joint)
+                w = [x / total for x in fresh]
+            fit = sum(n * math.log(sum(w[k] * p[l] for k, l in enumerate(chosen))) for p, n in rows)
+            value = fit - model.penalty * 0.5 * math.log(total + 1) * (size - 1)
+            if best is None or value > best[0]:
+                best = value, {names[l]: x for l, x in zip(chosen, w)}
+    return best[1]
+
+
+def test_mixtures_equal_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs)
+    part = {l: [r["text"] for r in docs.where(f"lang = '{l}' AND n_chars > 600").limit(3).collect()] for l in model.languages}
+    one, two, three, *_ = model.languages
+    texts = [part[one][0][:300], part[two][0][:200] + " " + part[three][0][:200], part[one][1][:150] + " " + part[two][1][:150] + " " + part[three][1][:150], part[two][2][:80]]
+    for text in texts:
+        got, want = model.mixture(text), brute_mixture(model, text)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.03 for k in want)
+
+
+def brute_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """Textbook FTRL-proximal over dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            w = {i: weight(i) for i in features}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in features.items())))
+            for i, x in features.items():
+                g = (p - label) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_weights_equal_brute_force(spark):
+    rng = random.Random(3)
+    pool = [f"word{n}" for n in range(40)]
+    texts = [(n, " ".join(rng.choice(pool[: 20 + 20 * (n % 2)]) for _ in range(30))) for n in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n, _ in texts], "doc_id long, quality int")
+    got = quality.train(docs, labels, epochs=3)
+    order = [r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()]
+    by_id = {n: quality.features(t) for n, t in texts}
+    rows = [({int(i): float(np.float32(v)) for i, v in zip(*by_id[n])}, n % 2) for n in order]
+    learner = quality.Ftrl()
+    want = brute_ftrl(rows, 3, learner.alpha, learner.beta, learner.l1, learner.l2)
+    assert set(np.flatnonzero(got)) <= set(want) and max(abs(got[i] - w) for i, w in want.items()) < 1e-4
+    score = {r["doc_id"]: r["score"] for r in quality.score(docs, got).collect()}
+    for n, t in texts:
+        ids, values = by_id[n]
+        assert abs(score[n] - 1 / (1 + math.exp(-sum(want[int(i)] * v for i, v in zip(ids, values))))) < 1e-3
+
+
 def test_quality_of_held_out_documents(spark):
     got = queries()["op10_quality"](spark, "/root/testdata/sf0.1").toPandas().set_index("doc_id")
     labels = table(spark, "/root/testdata/sf0.1", "labels").toPandas().set_index("doc_id")
@@ -98,11 +177,37 @@ def test_rules_equal_brute_force(spark, many):
         assert out[n]["verdict"] == (verdict or "allow")
 
 
-def test_url_model_separates_hosts(spark):
-    weights = urlfilter.train(urlfilter.labelled_urls(spark))
-    urls = ["https://city-library.example.net/en/5", "https://www.thornhouse.example.net/en/5", "http://m.casino-win.example.net/de/7", "https://cheap-pills.example.net/en/8", "https://free-bets.example.net/en/3"]
-    pages = spark.createDataFrame([(n, u) for n, u in enumerate(urls)], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, weights, ()).collect()}
-    assert [got[n] for n in range(5)] == ["allow", "allow", "block", "block", "block"]
+def test_labels_share_no_host_with_pages_and_hyphens_tell_nothing(spark):
+    rows = urlfilter.labelled_hosts()
+    hosts = {brute_url(u)[0] for u, _, _ in rows}
+    pages = {brute_url(r["url"])[0] for r in table(spark, "/root/testdata/sf0.1", "pages").collect()}
+    assert len(rows) <= urlfilter.MAX_LABELLED and not hosts & pages
+    planted = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+    assert not any(p in h for p in planted for h in hosts)
+    hyphens = [sum("-" in brute_url(u)[0] for u, _, b in rows if b == k) / sum(b == k for _, _, b in rows) for k in (0, 1)]
+    assert abs(hyphens[0] - hyphens[1]) < 0.05
+
+
+def test_url_scores_equal_brute_force_and_hold_on_held_out_hosts(spark):
+    rows = urlfilter.labelled_hosts()
+    held = [r for r in rows if zlib.crc32(r[0].encode()) % 4 == 0]
+    weights = urlfilter.train(urlfilter.labelled_urls(spark, [r for r in rows if r not in set(held)]))
+    odd = [(u or "", "odd", 0) for u in URLS]
+    out = urlfilter.judge(urlfilter.labelled_urls(spark, held + odd), weights, ()).collect()
+
+    def brute_score(url):
+        host, path = brute_url(url)
+        ids = []
+        for tag, text in (("h", f"^{host}$"), ("p", re.sub("[0-9]+", "0", path) + "$")):
+            ids += [tag + text[a : a + n] for n in urlfilter.GRAMS for a in range(len(text) - n + 1)]
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in ids]
+        total = sum(weights[h % urlfilter.DIMENSIONS] for h in hashes)
+        return 1 / (1 + math.exp(-(total / math.sqrt(max(len(ids), 1)) + weights[urlfilter.DIMENSIONS])))
+
+    assert max(abs(r["block_score"] - brute_score(r["url"])) for r in out) < 1e-5
+    found = [(r["blocked"], r["verdict"] == "block") for r in out if r["topic"] != "odd"]
+    hit = sum(b and v for b, v in found)
+    assert hit / sum(v for _, v in found) > 0.98 and hit / sum(b for b, _ in found) > 0.98
+    pages = urlfilter.labelled_urls(spark, held[:5])
     assert urlfilter.judge(pages.limit(0), weights).count() == 0
-    assert set(urlfilter.train(urlfilter.labelled_urls(spark).limit(0))) == {0.0}
+    assert set(urlfilter.train(pages.limit(0))) == {0.0}

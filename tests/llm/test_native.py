@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from orrery.llm import chat_format, licences
 
 
@@ -17,7 +19,57 @@ def test_licence_spellings_punctuation_and_copyright_lines(spark):
     assert licences.scan_licences(docs, licences.known_licences(spark).limit(0)).where("license_id IS NOT NULL").count() == 0
 
 
-TOOLS = {"f": {"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "required": ["a"], "additionalProperties": False}, "g": {"properties": {"x": {"type": "array"}}}}
+TOOLS = {
+    "f": {"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "required": ["a"], "additionalProperties": False},
+    "g": {"properties": {"x": {"type": "array"}}},
+    "deep": {
+        "properties": {
+            "u": {"type": ["string", "null"], "pattern": "^k", "maxLength": 3},
+            "n": {"type": "number", "minimum": 1, "maximum": 2.5},
+            "e": {"enum": ["a", 1, None, {"z": [1.0]}]},
+            "o": {
+                "type": "object",
+                "required": ["p"],
+                "additionalProperties": False,
+                "properties": {"p": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["q.r"], "properties": {"q.r": {"const": "ok"}}}}},
+            },
+        }
+    },
+}
+DEEP = [
+    ({}, ""),
+    ({"u": None, "n": 2, "e": {"z": [1]}, "o": {"p": [{"q.r": "ok"}]}}, ""),
+    ({"u": "kkk", "n": 2.5, "e": None}, ""),
+    ({"u": "kkkk", "n": 0.5, "e": "b"}, "enum of e,length of u,minimum of n"),
+    ({"u": "x", "n": 3, "e": 1.0}, "maximum of n,pattern of u"),
+    ({"u": 3, "n": "2", "o": {}}, "missing o.p,type of n,type of u"),
+    ({"o": {"p": [], "w": 1}}, "items of o.p,unknown o.w"),
+    ({"o": {"p": [{"q.r": "ok"}, {}, 5, {"q.r": "no"}]}}, "enum of o.p[].q~1r,missing o.p[].q.r,type of o.p[]"),
+    ({"o": [1]}, "type of o"),
+]
+
+
+def test_schemas_are_checked_at_every_level(spark):
+    calls = [call(str(k), "deep", arguments) for k, (arguments, _) in enumerate(DEEP)]
+    calls += [call("text", "deep", json.dumps({"n": 9})), call("list", "deep", [1]), call("broken", "deep", "{"), call("long", "g", {"x": ["y" * 300_000]})]
+    text = " \n\t" + json.dumps({"content": None, "tool_calls": calls})
+    df = spark.createDataFrame([(1, 0, "assistant", text)] * 2, "conv_id long, turn long, role string, text string")
+    got = chat_format.format_chat(df, chat_format.tool_table(spark, TOOLS)).where("kind = 'call'").collect()
+    errors = {r["call_id"]: r["errors"] for r in got}
+    assert len(got) == 2 * len(calls) and {r["status"] for r in got} == {"unanswered"}
+    assert [errors[str(k)] for k in range(len(DEEP))] == [want for _, want in DEEP]
+    assert errors["text"] == "maximum of n" and errors["list"] == errors["broken"] == "arguments are no JSON object" and errors["long"] == ""
+    assert chat_format.tool_table(spark, TOOLS).depth == 4
+    for bad in ({"properties": {"a": {"anyOf": []}}}, {"additionalProperties": {}}, {"items": [1]}):
+        with pytest.raises(ValueError):
+            chat_format.tool_table(spark, {"t": bad})
+
+
+def test_later_answers_to_a_call_are_duplicates(spark):
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call("a", "g", {})]})), *((1, t, "tool", json.dumps({"tool_call_id": "a", "content": f"{t}"})) for t in (1, 1, 2))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.format_chat(df, chat_format.tool_table(spark, TOOLS)).where("kind = 'result'").collect()
+    assert sorted((r["turn"], r["status"]) for r in got) == [(1, "ok"), (1, "ok"), (2, "duplicate")]
 
 
 def call(i, name, arguments):

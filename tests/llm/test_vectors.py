@@ -43,6 +43,13 @@ def test_links_and_components_equal_brute_force(spark):
     assert got == brute(rows, 0.95)
 
 
+def test_extreme_components_neither_overflow_nor_vanish(spark):
+    rows = [(1, [1e200, 1e200]), (2, [3e300, 3e300]), (3, [1e-200, 1e-200]), (4, [5e-324, 0.0]), (5, [1.0, 1.0]), (6, [1.0, 0.0]), (7, [1e200, -1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vecdedup.near_vectors(df, recall=0.99999).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (1, 4), 6: (1, 4), 7: (0, 7)}
+
+
 def test_recall_over_the_planned_tables():
     for n in (1000, 10**6, 10**10):
         bits, tables = vecdedup.plan_tables(n, 0.95, 0.999)
