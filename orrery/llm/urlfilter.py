@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIMENSIONS = 32768
+DIMENSIONS = 16384
 MAX_LABELLED = 5000
 MAX_INLINE_RULES = 500
 GRAMS = (3, 4, 5)
@@ -134,7 +134,7 @@ def probability(ids: Column, values: Sequence[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def train(labelled: DataFrame, steps: int = 40, rate: float = 0.5, l2: float = 0.01) -> list[float]:
+def train(labelled: DataFrame, steps: int = 20, rate: float = 0.5, l2: float = 0.01) -> list[float]:
     """Weights and intercept from ``(url, blocked)``; at most ``MAX_LABELLED`` rows, checked.
 
     Steps are scaled per coordinate by the root of its summed squared slopes; ``l2`` draws
