@@ -154,7 +154,7 @@ SELECT path, CAST(sum(CASE WHEN control THEN 1 + nest WHEN only_else THEN 1 ELSE
 def code_cognitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cognitive complexity: a fold over the lines that clamps the nesting at zero."""
     files = code_files(spark, sf_dir)
-    return files.select("path", M.cognitive(M.strip_noise(M.sample(F.col("content")))).alias("cognitive"))
+    return files.select("path", M.cognitive(M.strip_noise(F.col("content"))).alias("cognitive"))
 
 
 CLONES_SQL = f"""

@@ -66,25 +66,16 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return whole.select(F.explode("nodes").alias("n")).select("n.*"), whole.select(F.explode("edges").alias("e")).select("e.*")
 
 
-SYMBOL_DEPTH = 4
-
-
 def document_symbols(values: DataFrame) -> DataFrame:
-    """``(path, label, kind, line, depth)`` of nested symbol lists ``(path, value)``, ``SYMBOL_DEPTH`` levels deep."""
-    fields = "name:string,kind:int,range:struct<start:struct<line:int>>"
-    nested = f"array<struct<{fields}>>"
-    for _ in range(SYMBOL_DEPTH - 1):
-        nested = f"array<struct<{fields},children:{nested}>>"
+    """``(path, label, kind, line, depth)`` of nested symbol lists ``(path, value)``, level by level until none is left."""
     kinds = {5: "class", 6: "method", 8: "field", 10: "enum", 11: "interface", 12: "function", 13: "variable", 14: "constant", 23: "struct", 26: "type"}
-    level = values.select("path", F.from_json("value", nested).alias("level"))
-    out = None
-    for depth in range(SYMBOL_DEPTH):
-        here = level.select("path", F.explode("level").alias("s"))
-        kind = F.lit("symbol")
-        for code, name in kinds.items():
-            kind = F.when(F.col("s.kind") == code, F.lit(name)).otherwise(kind)
-        rows = here.select("path", F.col("s.name").alias("label"), kind.alias("kind"), (F.col("s.range.start.line") + 1).alias("line"), F.lit(depth).alias("depth"))
+    named = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    get = lambda at, kind: F.try_variant_get("s", at, kind)
+    listed = lambda v: F.explode(F.try_variant_get(v, "$", "array<variant>")).alias("s")
+    level, out, depth = values.select("path", listed(F.try_parse_json("value"))), None, 0
+    while out is None or not level.isEmpty():
+        kind = F.coalesce(F.element_at(named, get("$.kind", "int")), F.lit("symbol"))
+        rows = level.select("path", get("$.name", "string").alias("label"), kind.alias("kind"), (get("$.range.start.line", "int") + 1).alias("line"), F.lit(depth).alias("depth"))
         out = rows if out is None else out.unionByName(rows)
-        if depth + 1 < SYMBOL_DEPTH:
-            level = here.select("path", F.col("s.children").alias("level"))
+        level, depth = level.select("path", listed(get("$.children", "variant"))), depth + 1
     return out

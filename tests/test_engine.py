@@ -150,6 +150,10 @@ def test_graph_documents_and_nested_symbols(spark, tmp_path):
     value = json.dumps([{"name": "A", "kind": 5, "range": at, "children": [{"name": "m", "kind": 6, "range": at, "children": [{"name": "x", "kind": 99, "range": at}]}]}])
     got = sorted((r["depth"], r["label"], r["kind"], r["line"]) for r in tree.document_symbols(spark.createDataFrame([("p", value), ("q", "junk")], "path string, value string")).collect())
     assert got == [(0, "A", "class", 5), (1, "m", "method", 5), (2, "x", "symbol", 5)]
+    deep = {"name": "7", "range": at}
+    for k in range(6, -1, -1):
+        deep = {"name": str(k), "range": at, "children": [deep]}
+    assert tree.document_symbols(spark.createDataFrame([("p", json.dumps([deep]))], "path string, value string")).count() == 8
 
 
 def test_ranks_equal_sorting(spark):
