@@ -72,6 +72,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again: no lineage, and the size of its files as statistics."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file systems, so that any store works."""
     jvm = spark.sparkContext._jvm
