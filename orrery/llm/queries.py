@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat_format, decontaminate, langid, licences, linededup, quality, simhash, urlfilter, vecdedup
+from orrery.llm import bpe, chat_format, decontaminate, langid, licences, linededup, periodic, quality, resample, simhash, substrings, urlfilter, vecdedup
 from orrery.session import checkpoint
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -156,8 +156,60 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, longest=1, seed=2024)
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """``docs`` with periodic tails in every tenth text, by the rule of the query.
+
+    With ``h`` the checksum of the id and ``g = h // 10``, a text of ``n`` words whose ``h`` ends in 0
+    repeats the ``p`` words from word ``a`` on up to its end; ``a = g % n``,
+    ``p = 1 + (n - a) // (3 + g % 8)``.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def tailed(words):
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    made = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tailed(w))), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, made).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.detect_runs(docs, min_length=6, copies=4)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_decontaminate, op4_language, op5_bpe, op6_url_filter, op7_line_dedup, op8_embedding_dedup, op9_license_scan, op10_quality)}
+    own = (
+        op1_chat_format,
+        op2_simhash,
+        op3_decontaminate,
+        op4_language,
+        op5_bpe,
+        op6_url_filter,
+        op7_line_dedup,
+        op8_embedding_dedup,
+        op9_license_scan,
+        op10_quality,
+        op11_resample,
+        op12_periodic_runs,
+        op13_substring_dedup,
+    )
+    return {f.__name__: f for f in own}
 
 
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
