@@ -255,6 +255,92 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id
 """
 
+#: The checksum of bytes by its table, which is made by rule.
+CHECKSUM_TABLE = """
+crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS c FROM range(256) AS r(n))
+)"""
+BYTES = "list_transform(range(octet_length(encode({0}))), lambda k: CAST('0x' || substr(hex(encode({0})), 2 * k + 1, 2) AS BIGINT))"
+CHECKSUM = "xor(list_reduce(" + BYTES + ", lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+RESAMPLE_SQL = f"""
+WITH {CHECKSUM_TABLE},
+doc_words AS (SELECT doc_id, unnest({WORDS_SQL}) AS word FROM documents),
+item_words AS (SELECT unnest({WORDS_SQL}) AS word FROM benchmark),
+buckets AS (
+  SELECT word, {CHECKSUM.format("word")} % 10000 AS bucket FROM (SELECT word FROM doc_words UNION SELECT word FROM item_words), crc_table
+), s AS (
+  SELECT bucket, count(*) AS s FROM doc_words JOIN buckets USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM item_words JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+         / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM doc_words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN drawn ON scored.doc_id = drawn.doc_id
+"""
+
+BLANK_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+RUNS_SQL = f"""
+WITH {CHECKSUM_TABLE},
+given AS (
+  SELECT doc_id, {BLANK_WORDS} AS w, {CHECKSUM.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc_table
+), cut AS (
+  SELECT doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM given
+), tailed AS (
+  SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) AS w FROM cut
+), words AS (
+  SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM tailed
+), pairs AS (
+  SELECT a.doc_id, b.i - a.i AS p, a.i FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), stretches AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length
+  FROM (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM pairs) GROUP BY doc_id, p, g
+), runs AS (
+  SELECT doc_id, start, length, min(p) AS p FROM stretches WHERE length >= greatest(6, 4 * p) GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / p DESC, start, p) = 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + p, start + length)) AS i FROM runs
+), kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i WHERE g.i IS NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, p AS period, 1000 * length // p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed ON d.doc_id = listed.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+SUBSTRING_SQL = f"""
+WITH given AS (SELECT doc_id, {BLANK_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM given)
+), twice AS (
+  SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS i FROM windows JOIN twice USING (win)
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM given
+), kept AS (
+  SELECT w.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 VECTORS_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -347,4 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": LINES_SQL,
         "op8_embedding_dedup": VECTORS_SQL,
         "op9_license_scan": _licence_sql(),
+        "op11_resample": RESAMPLE_SQL,
+        "op12_periodic_runs": RUNS_SQL,
+        "op13_substring_dedup": SUBSTRING_SQL,
     }
