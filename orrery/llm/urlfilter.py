@@ -2,8 +2,9 @@
 
 Everything is column expressions: hosts and paths are cut by regular expressions, rules are
 matched in the row (or by an equi-join on host suffixes if there are many), and the model is
-a weight array in the plan.  Training is full-batch gradient descent over a small labelled
-table; each step is one aggregation whose result has at most ``DIMENSIONS`` rows.
+a broadcast table of one row, an array of ``DIMENSIONS`` weights and the intercept.  Training is
+full-batch gradient descent over a small labelled table; each step is one aggregation whose
+result has at most ``DIMENSIONS`` rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIMENSIONS = 16384
+DIMENSIONS = 32768
 MAX_LABELLED = 5000
 MAX_INLINE_RULES = 500
 GRAMS = (3, 4, 5)
@@ -40,11 +41,11 @@ RULES = (
 
 #: The labelled hosts join a topic and a modifier; modifiers, joints, zones and plain paths are the same for both classes.
 UNWANTED = {
-    "gambling": ("casino", "poker", "slots", "betting", "bingo", "jackpot", "roulette", "lottery", "bets"),
-    "pharmacy": ("pharmacy", "viagra", "cialis", "steroids", "pills", "painkillers"),
-    "adult": ("adult", "porn", "xxx", "escorts", "nudes", "sexchat"),
-    "advertising": ("ads", "adserver", "banners", "popunder", "clicktrack", "affiliates"),
-    "spam": ("spam", "linkfarm", "clickbait", "getrich", "freecash", "bulkmail"),
+    "gambling": ("poker", "slots", "betting", "bingo", "jackpot", "roulette", "lottery", "blackjack", "baccarat", "sportsbook"),
+    "pharmacy": ("pharmacy", "viagra", "cialis", "steroids", "painkillers", "tramadol"),
+    "explicit": ("porn", "xxx", "escorts", "nudes", "sexchat", "erotica"),
+    "advertising": ("advertising", "banners", "popunder", "affiliates", "sponsored", "clickfraud"),
+    "bulk": ("clickbait", "getrich", "quickcash", "bulkmail", "linkexchange", "ponzi"),
     "piracy": ("warez", "cracks", "keygen", "torrents", "phishing", "malware"),
 }
 WANTED = {
@@ -55,22 +56,24 @@ WANTED = {
     "civic": ("council", "health", "clinic", "post", "railway", "water", "energy"),
     "names": ("bellmore", "karston", "lindqvist", "moreau", "okafor", "hendriks", "tanaka", "silva", "novak", "mortensen", "whitaker", "rossi"),
 }
-#: Everyday words as hosts of nobody in particular, with fewer modifiers each.
+#: Chemical elements, countries, months, colours, trees and animals as hosts of nobody in particular, with fewer modifiers each.
 EVERYDAY = (
-    "acorn anchor apple arbour autumn bakery barley basket beacon bicycle birch blanket bottle bramble bridge bucket butter cabin candle canyon carpet "
-    "castle cathedral cedar chapel cherry chestnut clover cobble compass copper coral cottage cradle crystal dolphin dragon eagle eleven ember engine "
-    "fabric falcon farther feather fern fiddle finch forest fountain garnet ginger glacier granite hammer harbour harvest hazel heather hedge heron "
-    "hollow honest horizon island ivory jacket jasmine juniper kettle ladder lantern laurel leather lemon lighthouse linen lobster magnet mantle maple "
-    "marble meadow mellow mineral mirror mitten month mother mountain needle north nothing nutmeg oatmeal olive orchard otter paddle parchment path "
-    "pebble pepper pigeon pillow pioneer planet plover pocket python quarry quilt rabbit raven ribbon ripple river rooster saddle sailor sandal section "
-    "shadow shelter shepherd silver sister sparrow station stone summer sunrise tailor thicket thimble thistle thousand thread timber tower tractor "
-    "tulip turnip tweed valley velvet village violin walnut weather whisker willow winter within without woodland wren"
+    "hydrogen helium lithium beryllium boron carbon nitrogen oxygen fluorine neon sodium magnesium aluminium silicon phosphorus sulfur chlorine argon "
+    "potassium calcium titanium chromium manganese iron cobalt nickel copper zinc gallium krypton silver platinum gold mercury "
+    "argentina australia austria belgium bolivia brazil bulgaria canada chile colombia croatia denmark ecuador egypt estonia ethiopia finland france "
+    "germany ghana greece hungary iceland india indonesia ireland italy jamaica japan kenya latvia lebanon lithuania malta mexico morocco nepal nigeria "
+    "norway panama paraguay peru poland portugal romania senegal slovakia slovenia spain sweden thailand tunisia turkey uganda ukraine uruguay vietnam "
+    "january february march april june july august september october november december "
+    "black blue brown crimson green grey orange pink purple red scarlet turquoise violet white yellow "
+    "alder ash beech birch cedar cherry chestnut elm hazel larch linden maple oak pine poplar rowan spruce sycamore willow yew "
+    "badger beaver buffalo camel dolphin eagle falcon giraffe hamster heron horse kangaroo leopard lion monkey otter owl panda penguin rabbit salmon seal "
+    "sheep sparrow squirrel swan tiger tortoise walrus whale wolf zebra"
 ).split()
 MODIFIERS = ("best", "city", "club", "daily", "direct", "easy", "first", "global", "home", "hub", "live", "my", "now", "online", "plus", "pro", "shop", "top", "web", "world", "zone", "24")
 JOINTS = ("{t}{m}", "{m}{t}", "{t}-{m}", "{m}-{t}", "{m}.{t}", "{t}")
 ZONES = ("com", "net", "org", "info", "biz", "io", "co.uk", "eu", "xyz", "de", "fr", "nl")
 PATHS = ("", "/", "/index.html", "/en/12", "/de/7.html", "/fr/905", "/es/41", "/page/3")
-OWN_PATHS = (("/articles/2021/05", "/about", "/docs/start.html"), ("/win-now", "/click/9", "/signup-bonus"))
+OWN_PATHS = (("/articles/2021/05", "/about", "/docs/start.html"), ("/instant-bonus", "/click/9", "/signup-offer"))
 
 
 def labelled_hosts() -> list[tuple[str, str, int]]:
@@ -121,26 +124,26 @@ def gram_ids(host: Column, path: Column) -> Column:
     return F.transform(F.concat(*grams), lambda g: F.pmod(F.xxhash64(g), F.lit(DIMENSIONS)).cast("int"))
 
 
-def _weights(values: Sequence[float]) -> Column:
-    """The weights as one constant array."""
-    return F.split(F.lit(",".join(f"{v:.8g}" for v in values)), ",").cast("array<double>")
+def with_model(rows: DataFrame, values: Sequence[float]) -> DataFrame:
+    """``rows`` plus ``__model``, the weights and the intercept, joined as a broadcast table of one row."""
+    model = rows.sparkSession.createDataFrame([(0, list(map(float, values)))], "__one int, __model array<float>")
+    return rows.withColumn("__one", F.pmod(F.spark_partition_id(), F.lit(1))).join(F.broadcast(model), "__one").drop("__one")
 
 
-def probability(ids: Column, values: Sequence[float]) -> Column:
-    """Logistic score of the mean-scaled sum of weights; ``values`` ends with the intercept."""
-    table = _weights(values[:DIMENSIONS])
-    total = F.aggregate(ids, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
-    margin = total / F.sqrt(F.greatest(F.size(ids), F.lit(1))) + F.lit(float(values[DIMENSIONS]))
+def probability(ids: Column, model: Column) -> Column:
+    """Logistic score of the mean-scaled sum of weights; ``model`` ends with the intercept."""
+    total = F.aggregate(ids, F.lit(0.0), lambda acc, i: acc + F.get(model, i).cast("double"))
+    margin = total / F.sqrt(F.greatest(F.size(ids), F.lit(1))) + F.get(model, F.lit(DIMENSIONS)).cast("double")
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def train(labelled: DataFrame, steps: int = 20, rate: float = 0.5, l2: float = 0.01) -> list[float]:
+def train(labelled: DataFrame, steps: int = 40, rate: float = 0.5, l2: float = 0.01) -> list[float]:
     """Weights and intercept from ``(url, blocked)``; at most ``MAX_LABELLED`` rows, checked.
 
     Steps are scaled per coordinate by the root of its summed squared slopes; ``l2`` draws
     weights back to zero.
 
-    Rows with a null label are left out; an empty table gives zero weights.
+    Rows with a null label are left out; an empty table gives zero weights, which block nothing.
     """
     rows = labelled.where(F.col("blocked").isin(0, 1)).select("blocked", gram_ids(host_of(F.col("url")), path_of(F.col("url"))).alias("ids"))
     rows = rows.coalesce(1).cache()
@@ -150,9 +153,10 @@ def train(labelled: DataFrame, steps: int = 20, rate: float = 0.5, l2: float = 0
             raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
         values, squares = [0.0] * (DIMENSIONS + 1), [1e-12] * (DIMENSIONS + 1)
         for _ in range(steps if size else 0):
-            error = probability(F.col("ids"), values) - F.col("blocked")
-            scaled = rows.select("ids", error.alias("e"), (error / F.sqrt(F.greatest(F.size("ids"), F.lit(1)))).alias("g"))
-            terms = scaled.select(F.explode(F.concat(F.transform("ids", lambda i: F.struct(i.alias("i"), F.col("g").alias("g"))), F.array(F.struct(F.lit(DIMENSIONS).alias("i"), F.col("e").alias("g"))))).alias("t"))
+            error = probability(F.col("ids"), F.col("__model")) - F.col("blocked")
+            scaled = with_model(rows, values).select("ids", error.alias("e"))
+            each = (F.col("e") / F.sqrt(F.greatest(F.size("ids"), F.lit(1)))).alias("g")
+            terms = scaled.select(F.explode(F.concat(F.transform("ids", lambda i: F.struct(i.alias("i"), each)), F.array(F.struct(F.lit(DIMENSIONS).alias("i"), F.col("e").alias("g"))))).alias("t"))
             slope = terms.groupBy("t.i").agg(F.sum("t.g").alias("g")).collect()
             for r in slope:
                 g = r["g"] + l2 * values[r["i"]] * (r["i"] < DIMENSIONS)
@@ -187,11 +191,12 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
-def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RULES, url_col: str = "url", cut: float = 0.4) -> DataFrame:
+def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RULES, url_col: str = "url", cut: float = 0.5) -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule``, ``block_score`` and ``verdict``.
 
     A null url or one without ``://`` has an empty host and path.  The longest rule that fits
-    decides (ties: the greater host, then path); else a score above ``cut`` blocks.
+    decides (ties: the greater host, then path); else a score above ``cut`` blocks, so a model
+    without weights, which scores one half, blocks nothing.
     Columns of these names are replaced, rows are neither merged nor dropped.
     """
     made = ["host", "path", "rule", "block_score", "verdict"]
@@ -199,7 +204,8 @@ def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[Rule] = RU
     cutted = pages.drop(*spare).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     judged = match_rules(cutted, rules)
     judged = judged.withColumn("rule", F.concat(F.col("__best.host"), F.col("__best.path")))
-    judged = judged.withColumn("block_score", probability(gram_ids(F.col("host"), F.col("path")), weights))
+    score = probability(gram_ids(F.col("host"), F.col("path")), F.col("__model"))
+    judged = with_model(judged, weights).withColumn("block_score", score).drop("__model")
     verdict = F.coalesce(F.col("__best.verdict"), F.when(F.col("block_score") > cut, "block").otherwise("allow"))
     return judged.withColumn("verdict", verdict).drop("__best")
 
