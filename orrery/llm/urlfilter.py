@@ -3,13 +3,12 @@
 Everything is column expressions: hosts and paths are cut by regular expressions, rules are
 matched in the row (or by an equi-join on host suffixes if there are many), and the model is
 a broadcast table of one row, an array of ``DIMENSIONS`` weights and the intercept.  Training is
-full-batch gradient descent over a small labelled table; each step is one aggregation whose
-result has at most ``DIMENSIONS`` rows.
+full-batch gradient descent over a small labelled table; each step is one aggregation, joined
+with the table of weights, which has ``DIMENSIONS + 1`` rows.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
@@ -17,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.session import remove_path, scratch_path, write_table
+
 DIMENSIONS = 32768
 MAX_LABELLED = 5000
 MAX_INLINE_RULES = 500
@@ -124,16 +125,22 @@ def gram_ids(host: Column, path: Column) -> Column:
     return F.transform(F.concat(*grams), lambda g: F.pmod(F.xxhash64(g), F.lit(DIMENSIONS)).cast("int"))
 
 
+def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` plus ``__model`` of the one row of ``model``, which is broadcast."""
+    one = F.pmod(F.spark_partition_id(), F.lit(1))
+    return rows.withColumn("__one", one).join(F.broadcast(model.withColumn("__one", F.lit(0))), "__one").drop("__one")
+
+
 def with_model(rows: DataFrame, values: Sequence[float]) -> DataFrame:
-    """``rows`` plus ``__model``, the weights and the intercept, joined as a broadcast table of one row."""
-    model = rows.sparkSession.createDataFrame([(0, list(map(float, values)))], "__one int, __model array<float>")
-    return rows.withColumn("__one", F.pmod(F.spark_partition_id(), F.lit(1))).join(F.broadcast(model), "__one").drop("__one")
+    """``rows`` plus ``__model``, the weights and the intercept as an array."""
+    text = F.lit(",".join(f"{v:.9g}" for v in values))
+    return _joined(rows, rows.sparkSession.range(1).select(F.split(text, ",").cast("array<double>").alias("__model")))
 
 
 def probability(ids: Column, model: Column) -> Column:
     """Logistic score of the mean-scaled sum of weights; ``model`` ends with the intercept."""
-    total = F.aggregate(ids, F.lit(0.0), lambda acc, i: acc + F.get(model, i).cast("double"))
-    margin = total / F.sqrt(F.greatest(F.size(ids), F.lit(1))) + F.get(model, F.lit(DIMENSIONS)).cast("double")
+    total = F.aggregate(ids, F.lit(0.0), lambda acc, i: acc + F.get(model, i))
+    margin = total / F.sqrt(F.greatest(F.size(ids), F.lit(1))) + F.get(model, F.lit(DIMENSIONS))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
@@ -143,28 +150,34 @@ def train(labelled: DataFrame, steps: int = 40, rate: float = 0.5, l2: float = 0
     Steps are scaled per coordinate by the root of its summed squared slopes; ``l2`` draws
     weights back to zero.
 
-    Rows with a null label are left out; an empty table gives zero weights, which block nothing.
+    Weights of all steps are tables of ``DIMENSIONS + 1`` rows below the shared folder; the
+    last ones are returned.  Rows with a null label are left out; an empty table gives zero
+    weights, which block nothing.
     """
+    spark, folder = labelled.sparkSession, scratch_path(labelled.sparkSession, "url-model")
     rows = labelled.where(F.col("blocked").isin(0, 1)).select("blocked", gram_ids(host_of(F.col("url")), path_of(F.col("url"))).alias("ids"))
     rows = rows.coalesce(1).cache()
+    values = spark.range(0, DIMENSIONS + 1, 1, 1).select(F.col("id").cast("int").alias("i"), F.lit(0.0).alias("w"), F.lit(1e-12).alias("squares"))
     try:
         size = rows.count()
         if size > MAX_LABELLED:
             raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
-        values, squares = [0.0] * (DIMENSIONS + 1), [1e-12] * (DIMENSIONS + 1)
-        for _ in range(steps if size else 0):
+        for step in range(steps if size else 0):
+            placed = F.array_sort(F.collect_list(F.struct("i", "w")))
+            model = values.agg(F.transform(placed, lambda x: x["w"]).alias("__model"))
             error = probability(F.col("ids"), F.col("__model")) - F.col("blocked")
-            scaled = with_model(rows, values).select("ids", error.alias("e"))
+            scaled = _joined(rows, model).select("ids", error.alias("e"))
             each = (F.col("e") / F.sqrt(F.greatest(F.size("ids"), F.lit(1)))).alias("g")
             terms = scaled.select(F.explode(F.concat(F.transform("ids", lambda i: F.struct(i.alias("i"), each)), F.array(F.struct(F.lit(DIMENSIONS).alias("i"), F.col("e").alias("g"))))).alias("t"))
-            slope = terms.groupBy("t.i").agg(F.sum("t.g").alias("g")).collect()
-            for r in slope:
-                g = r["g"] + l2 * values[r["i"]] * (r["i"] < DIMENSIONS)
-                squares[r["i"]] += g * g
-                values[r["i"]] -= rate * g / math.sqrt(squares[r["i"]])
-        return values
+            slope = terms.groupBy("t.i").agg(F.sum("t.g").alias("g"))
+            g = F.col("g") + l2 * F.col("w") * (F.col("i") < DIMENSIONS).cast("int")
+            drawn = values.join(slope, "i", "left").withColumn("g", F.coalesce(g, F.lit(0.0))).withColumn("squares", F.col("squares") + F.col("g") * F.col("g"))
+            moved = drawn.select("i", (F.col("w") - rate * F.col("g") / F.sqrt("squares")).alias("w"), "squares")
+            values = write_table(moved.coalesce(1), f"{folder}/{step}")
+        return [r["w"] for r in values.orderBy("i").collect()]
     finally:
         rows.unpersist()
+        remove_path(spark, folder)
 
 
 def _longest(fits: Column) -> Column:
