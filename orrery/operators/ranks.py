@@ -7,7 +7,7 @@ rows, and the exact running count continues inside each range.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,3 +50,32 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     first = df.withColumn("__salt", salt).withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))).where(F.col("__k") <= k)
     last = first.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__k") <= k)
     return last.drop("__salt", "__k")
+
+
+def scanned(rows: DataFrame, order: Sequence[Column], sums: Mapping[str, Column] | None = None, xors: Mapping[str, Column] | None = None, number: str | None = None) -> DataFrame:
+    """``rows`` plus running sums and xors in one global order, each row itself included.
+
+    Rows are dealt by ranges of ``order`` and scanned inside their range; what stands before a
+    range follows from one row a range, so no task sees more than a range.  ``number`` names a
+    column of row numbers from 0.  Rows that ``order`` leaves equal are told apart by
+    their place, so many of them do not meet in one range either.
+    """
+    sums, xors = dict(sums or {}), dict(xors or {})
+    if number:
+        sums[number] = F.lit(1)
+    held = {f"__v{k}": expr for k, expr in enumerate([*sums.values(), *xors.values()])}
+    keys = [*order, F.col("__tie")]
+    placed = rows.withColumns({**held, "__tie": F.monotonically_increasing_id()})
+    ranges = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    fixed = checkpoint(ranges.drop("__tie"))
+    folds = [*[F.sum] * len(sums), *[F.bit_xor] * len(xors)]
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = fixed.groupBy("__range").agg(*[f(v).alias(v) for f, v in zip(folds, held, strict=True)])
+    totals = totals.select("__range", *[F.coalesce(f(v).over(before), F.lit(0)).alias(f"{v}b") for f, v in zip(folds, held, strict=True)])
+    made = {name: f(v).over(inside) for name, f, v in zip([*sums, *xors], folds, held, strict=True)}
+    out = fixed.withColumns(made).join(F.broadcast(totals), "__range")
+    whole = {name: (F.col(name) + F.col(f"{v}b")) if f is F.sum else F.col(name).bitwiseXOR(F.col(f"{v}b")) for name, f, v in zip([*sums, *xors], folds, held, strict=True)}
+    if number:
+        whole[number] = whole[number] - 1
+    return out.withColumns(whole).drop("__range", "__at", *held, *[f"{v}b" for v in held])
