@@ -1,7 +1,8 @@
 """Directed-graph operators over ``(source, target)`` edges.
 
 Iterations are driver loops over DataFrames: each round is an equi-join and a distinct, its
-result is written to the shared checkpoint folder, and only a row count comes back.
+result is written as a table below the shared folder, and only a row count comes back.  What
+rounds add up to is the union of their tables, so nothing is written twice.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.session import checkpoint
+from orrery.session import checkpoint, remove_path, scratch_path, write_table
 
 #: Elements of a matrix, elements whose propagation is measured, the share of a bus.
 MAX_ELEMENTS, PROPAGATION_ELEMENTS, BUS_SHARE = 150, 80, 0.1
@@ -45,64 +46,124 @@ def neighbourhood(edges: DataFrame, centre: str) -> DataFrame:
     return out.unionByName(into).where(F.col("id") != centre).distinct()
 
 
+def grown(start: DataFrame, step, keys: list[str], name: str) -> DataFrame:
+    """All rows of ``start`` and of ``step(rows of the last round)`` again and again, each of ``keys`` once.
+
+    A row found by several rounds keeps the columns of the first.
+    """
+    spark, folder = start.sparkSession, scratch_path(start.sparkSession, name)
+    fresh = write_table(start.distinct(), f"{folder}/0")
+    rounds = 1
+    while not fresh.isEmpty():
+        seen = spark.read.schema(fresh.schema).parquet(*[f"{folder}/{k}" for k in range(rounds)])
+        fresh = write_table(step(fresh).distinct().join(seen.select(*keys), keys, "left_anti"), f"{folder}/{rounds}")
+        rounds += 1
+    out = checkpoint(spark.read.schema(fresh.schema).parquet(*[f"{folder}/{k}" for k in range(rounds)]))
+    remove_path(spark, folder)
+    return out
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(source, target)`` joined by a path of at least one edge; semi-naive."""
-    edges = checkpoint(edges.select("source", "target").distinct())
-    reached, fresh = edges, edges
-    while not fresh.isEmpty():
-        longer = fresh.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
-        fresh = checkpoint(longer.join(reached, ["source", "target"], "left_anti"))
-        reached = checkpoint(reached.unionByName(fresh))
-    return reached
+    plain = checkpoint(edges.select("source", "target").distinct())
+    on = plain.select(F.col("source").alias("target"), F.col("target").alias("next"))
+    return grown(plain, lambda fresh: fresh.join(on, "target").select("source", F.col("next").alias("target")), ["source", "target"], "closure")
 
 
-def _spread(start: DataFrame, edges: DataFrame, better) -> DataFrame:
-    """Spread the best label along ``edges`` until nothing changes; ``start`` is (id, label)."""
-    labels = checkpoint(start)
-    while True:
-        sent = labels.join(edges.withColumnRenamed("source", "id"), "id").select(F.col("target").alias("id"), "label")
-        best = sent.groupBy("id").agg(better("label").alias("new"))
-        after = checkpoint(labels.join(best, "id", "left").withColumn("changed", F.col("new").isNotNull() & (F.col("new") > F.col("label"))))
-        moved = not after.where("changed").isEmpty()
-        labels = after.select("id", F.when(F.col("changed"), F.col("new")).otherwise(F.col("label")).alias("label"))
-        if not moved:
-            return labels
+def _colours(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """``(id, label)``: the greatest id that reaches each node; only nodes whose label grew send it on."""
+    labels = write_table(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("grew")), f"{folder}/0")
+    k = 1
+    while not labels.where("grew").isEmpty():
+        sent = labels.where("grew").join(edges.withColumnRenamed("source", "id"), "id").select(F.col("target").alias("id"), "label")
+        best = sent.groupBy("id").agg(F.max("label").alias("new"))
+        grew = F.coalesce(F.col("new") > F.col("label"), F.lit(False))
+        labels = write_table(labels.join(best, "id", "left").select("id", F.when(grew, F.col("new")).otherwise(F.col("label")).alias("label"), grew.alias("grew")), f"{folder}/{k}")
+        k += 1
+    return labels.select("id", "label")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(id, component, size, cyclic)``; a component is named after its smallest node.
+def _kernel_components(edges: DataFrame, folder: str) -> DataFrame:
+    """``(id, component)`` by colouring: a node that keeps its own id is a root, what its colour reaches it with is its component.
 
-    Colouring: every round spreads the greatest id forwards; a node that keeps its own id is
-    a root, and the nodes of its colour that reach it are its component.  Components are
-    taken out and the rest goes on.  A component is cyclic if it has two nodes or a loop.
+    All roots of a round are pivots at once; components are taken out and the rest goes on.
     """
-    loops = edges.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
-    rest_edges, rest = checkpoint(simple_edges(edges, nodes)), checkpoint(nodes.select("id").distinct())
-    done = rest.select("id", F.col("id").alias("component")).limit(0)
-    while not rest.isEmpty():
-        colours = _spread(rest.select("id", F.col("id").alias("label")), rest_edges, F.max)
+    rest_edges, found_all, k = edges, [], 0
+    while not rest_edges.isEmpty():
+        nodes = rest_edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        colours = _colours(nodes, rest_edges, f"{folder}/colours-{k}")
         same = (
             rest_edges.join(colours.select(F.col("id").alias("source"), F.col("label").alias("ls")), "source")
             .join(colours.select(F.col("id").alias("target"), F.col("label").alias("lt")), "target")
             .where("ls = lt")
-            .select(F.col("target").alias("source"), F.col("source").alias("target"))
-        )
-        frontier = found = checkpoint(colours.where("id = label").select("id", "label"))
-        back = checkpoint(same)
-        while not frontier.isEmpty():
-            step = frontier.join(back.withColumnRenamed("source", "id"), "id").select(F.col("target").alias("id"), "label").distinct()
-            frontier = checkpoint(step.join(found, "id", "left_anti"))
-            found = checkpoint(found.unionByName(frontier))
-        done = checkpoint(done.unionByName(found.withColumnRenamed("label", "component")))
-        rest = checkpoint(rest.join(found, "id", "left_anti"))
-        gone = found.select("id")
-        rest_edges = checkpoint(
-            rest_edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+            .select(F.col("target").alias("id"), F.col("source").alias("next"))
         )
-    sizes = done.groupBy("component").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    named = done.join(sizes, "component").join(loops, "id", "left")
+        back = write_table(same, f"{folder}/back-{k}")
+        found = grown(colours.where("id = label"), lambda fresh: fresh.join(back, "id").select(F.col("next").alias("id"), "label"), ["id", "label"], "component")  # noqa: B023
+        found_all.append(found.select("id", F.col("label").alias("component")))
+        for end in ("source", "target"):
+            rest_edges = rest_edges.join(found.select(F.col("id").alias(end)), end, "left_anti")
+        rest_edges = write_table(rest_edges, f"{folder}/rest-{k}")
+        k += 1
+    out = found_all[0]
+    for more in found_all[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _bypassed(edges: DataFrame, k: int) -> DataFrame:
+    """``(id, on)``: nodes with one edge out, to ``on``, no two of them neighbours, those of the locally highest hash."""
+    single = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.min("target").alias("on")).where("n = 1")
+    single = single.join(edges.select(F.col("target").alias("id")), "id", "left_semi").select("id", "on", F.xxhash64("id", F.lit(k)).alias("h"))
+    into = single.groupBy(F.col("on").alias("id")).agg(F.max("h").alias("before"))
+    beyond = single.select(F.col("id").alias("on"), F.col("h").alias("after"))
+    highest = single.join(into, "id", "left").join(beyond, "on", "left")
+    return highest.where("coalesce(h > before, TRUE) AND coalesce(h > after, TRUE)").select("id", "on")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(id, component, size, cyclic)``; a component is named after its smallest node.
+
+    A component is cyclic if it has two nodes or a loop.  The graph is shrunk first:
+
+    * Trim: a node without edges in or out is a component of its own and goes.
+    * Contract: a node with one edge out is taken off its paths, which go straight on to its target, a
+      third of a chain in a round.  Afterwards it belongs to its target's component if one of those that led to
+      it does, else it is alone.
+
+    What is left, where every node has a choice, is coloured from many pivots at once.
+    """
+    spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "strong")
+    loops = edges.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
+    rounds = [write_table(simple_edges(edges, nodes), f"{folder}/edges-0")]
+    before, now = -1, rounds[0].count()
+    while now and now != before:
+        live, k = rounds[-1], len(rounds)
+        gone = _bypassed(live, k)
+        inner = live.join(live.select(F.col("target").alias("source")), "source", "left_semi").join(live.select(F.col("source").alias("target")), "target", "left_semi")
+        inner = inner.join(gone.select(F.col("id").alias("source")), "source", "left_anti")
+        onward = inner.join(gone.select(F.col("id").alias("target"), "on"), "target", "left").select("source", F.coalesce("on", "target").alias("target"))
+        rounds.append(write_table(onward.where("source <> target").distinct(), f"{folder}/edges-{k}"))
+        before, now = now, rounds[-1].count()
+    found = nodes.select("id", F.col("id").alias("component")).limit(0)
+    if now:
+        found = write_table(_kernel_components(rounds[-1], f"{folder}/kernel"), f"{folder}/kernel-found")
+    for k in range(len(rounds) - 1, 0, -1):
+        gone = _bypassed(rounds[k - 1], k)
+        named = found.select("id", "component")
+        into = gone.join(rounds[k - 1].select(F.col("target").alias("id"), F.col("source").alias("by")), "id")
+        into = into.join(named.select(F.col("id").alias("on"), F.col("component").alias("c")), "on", "left").withColumn("c", F.coalesce("c", "on"))
+        into = into.join(named.select(F.col("id").alias("by"), F.col("component").alias("d")), "by", "left").withColumn("d", F.coalesce("d", "by"))
+        more = into.where("c = d").select("id", F.col("c").alias("component")).distinct()
+        more = write_table(more, f"{folder}/found-{k}")
+        found = found.unionByName(more)
+    lone = nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("at"))
+    lone = checkpoint(lone)
+    remove_path(spark, folder)
+    sizes = lone.groupBy("at").agg(F.min("id").alias("component"), F.count("*").alias("size"))
+    named = lone.join(sizes, "at").join(loops, "id", "left")
     cyclic = (F.col("size") > 1) | F.coalesce("loop", F.lit(False))
-    return named.select("id", F.col("first").alias("component"), "size", cyclic.alias("cyclic"))
+    return named.select("id", "component", "size", cyclic.alias("cyclic"))
 
 
 def matrix_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:

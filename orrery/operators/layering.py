@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.components import connected_components
-from orrery.operators.graph import simple_edges, strong_components
+from orrery.operators.graph import grown, simple_edges, strong_components
+from orrery.operators.ranks import scanned
 from orrery.session import checkpoint
 
 ROUNDS = 24
@@ -52,18 +53,15 @@ def partition_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     layers = longest_path_layers(parts.select(F.col("component").alias("id")), checkpoint(between)).withColumnRenamed("id", "component")
     fan_in = plain.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("fan_in"))
     placed = parts.join(layers, "component").join(fan_in, "id", "left").na.fill(0, ["fan_in"])
-    order = Window.orderBy("layer", "component", F.desc("fan_in"), "id")
-    return placed.select("id", (F.row_number().over(order) - 1).alias("idx"))
+    order = [F.col("layer"), F.col("component"), F.desc("fan_in"), F.col("id")]
+    return scanned(placed, order, number="idx").select("id", F.col("idx").cast("int").alias("idx"))
 
 
 def bfs_rings(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``(id, depth)`` by breadth-first search over either direction; unreached nodes have depth null."""
     both = checkpoint(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    seen = frontier = checkpoint(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    while not frontier.isEmpty():
-        step = frontier.join(both.withColumnRenamed("source", "id"), "id").select(F.col("target").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = checkpoint(step.join(seen, "id", "left_anti"))
-        seen = checkpoint(seen.unionByName(frontier))
+    start = roots.select("id").distinct().withColumn("depth", F.lit(0))
+    seen = grown(start, lambda fresh: fresh.join(both.withColumnRenamed("source", "id"), "id").select(F.col("target").alias("id"), (F.col("depth") + 1).alias("depth")), ["id"], "rings")
     return nodes.select("id").distinct().join(seen, "id", "left")
 
 

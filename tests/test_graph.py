@@ -116,3 +116,39 @@ def test_roles(spark):
     assert got == {"a": "hub", "b": "withDependencies", "c": "withDependencies", "d": "independent"}
     placed = L.place_on_rings(nodes.withColumn("ring", F.lit(1)), "ring").collect()
     assert len({(r["x"], r["y"]) for r in placed}) == 4
+
+
+def tables_written(monkeypatch):
+    paths, real = [], G.write_table
+    monkeypatch.setattr(G, "write_table", lambda df, path: (paths.append(path), real(df, path))[1])
+    return paths
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_long_chain_takes_few_tables(spark, monkeypatch, ring):
+    paths, n = tables_written(monkeypatch), 1000
+    edges = spark.range(n - 1 + ring).selectExpr(f"lpad({n} - id, 5, '0') AS source", f"lpad(({n} - id - 2 + {n}) % {n} + 1, 5, '0') AS target")
+    nodes = spark.range(1, n + 1).selectExpr("lpad(id, 5, '0') AS id")
+    out = G.strong_components(edges, nodes)
+    assert out.where("size = 1").count() == (0 if ring else n) and out.where("size = 1000 AND component = '00001' AND cyclic").count() == (n if ring else 0)
+    assert len(paths) < 40
+
+
+def test_strong_components_of_random_graphs(spark):
+    rng = random.Random(4)
+    for n, m in ((40, 50), (30, 90), (50, 60)):
+        ids = [f"n{k:02}" for k in range(n)]
+        edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(m)]
+        reach = brute_reach(ids, edges)
+        out = G.strong_components(spark.createDataFrame(edges, E), spark.createDataFrame([(i, None) for i in ids], N)).collect()
+        same = {i: {j for j in ids if j == i or (j in reach[i] and i in reach[j])} for i in ids}
+        assert {(r["id"], r["component"], r["size"], r["cyclic"]) for r in out} == {(i, min(same[i]), len(same[i]), i in reach[i]) for i in ids}
+
+
+def test_hundred_thousand_edges_of_a_file_graph(spark):
+    """Blocks of ten nodes in a ring, chained one after the other."""
+    ring = spark.range(60_000).selectExpr("CAST(id AS STRING) AS source", "CAST(id DIV 10 * 10 + (id + 1) % 10 AS STRING) AS target")
+    chain = spark.range(5999).selectExpr("CAST(id * 10 AS STRING) AS source", "CAST(id * 10 + 13 AS STRING) AS target")
+    nodes = spark.range(60_000).selectExpr("CAST(id AS STRING) AS id")
+    out = G.strong_components(ring.unionByName(chain), nodes)
+    assert out.where("size = 10 AND cyclic").count() == 60_000 and out.select("component").distinct().count() == 6000
