@@ -89,19 +89,8 @@ def verdict(findings: Column) -> Column:
     return F.when(findings > 0, "fail").otherwise("pass")
 
 
-REVIEW = "array<struct<rule_id:string,status:string,message:string,affected:array<string>>>"
-
-
 def repaired_reviews(values: DataFrame) -> DataFrame:
-    """``(rule_id, status, message, affected)`` of model answers that hold a JSON array.
-
-    The answer itself, the content of its first fence, its outermost brackets, and the part
-    up to the last whole object with the bracket closed are tried in turn.
-    """
-    text = F.trim("value")
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    outer = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    cut = F.concat(F.regexp_extract(text, r"(?s)(\[.*\})", 1), F.lit("]"))
-    tries = [F.from_json(x, REVIEW) for x in (text, fence, outer, cut)]
-    usable = [F.when(F.exists(t, lambda r: r["rule_id"].isNotNull()), t) for t in tries]
-    return values.select(F.explode(F.coalesce(*usable)).alias("r")).select("r.*").where("rule_id IS NOT NULL")
+    """``(rule_id, status, message, affected)`` of model answers (column ``value``), broken ones repaired."""
+    from orrery.sources.answers import repaired
+
+    return repaired(values.select("value"))
