@@ -221,13 +221,14 @@ def cohesion(symbols: Column, components: Column) -> Column:
     return F.when(symbols <= 1, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), 100.0 * (1.0 - (c - 1) / (symbols - 1))))
 
 
-def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "loc") -> DataFrame:
+def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "loc", guard: bool = True) -> DataFrame:
     """``files`` plus ``m``: struct (cc, cog, vol, diff, mi, a, b, c, mag, dit).
 
-    Texts beyond the limits are approximated from their lines.  Stripped text and tokens are
-    columns of their own on the way, so that each is made once a row.
+    With ``guard`` texts beyond ``FULL_BYTES`` or ``FULL_LINES`` are approximated from their lines, as
+    a viewer that must answer at once does; without it whole texts are measured.  Stripped text and
+    tokens are columns of their own on the way, so that each is made once a row.
     """
-    step = files.withColumn("__code", strip_noise(sample(F.col(text))))
+    step = files.withColumn("__code", strip_noise(sample(F.col(text)) if guard else F.col(text)))
     code, words = F.col("__code"), F.col("__words")
     step = step.withColumns({"__tokens": halstead_tokens(code), "__words": keywords(code)})
     step = step.withColumns({"__h": halstead(F.col("__tokens")), "__x": abc(code, words), "__cc": cyclomatic(code, words), "__cog": cognitive(code), "__dit": inheritance_depth(code)})
@@ -246,4 +247,4 @@ def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "lo
 
     exact = pack(F.col("__cc"), F.col("__cog"), volume(F.col("__h")), difficulty(F.col("__h")), F.col("__x"), F.col("__dit"))
     guess = pack(size_cc, clamp(n / 20.0, 1.0, 250.0), size_vol, F.greatest(size_cc / 4.0, F.lit(1.0)), rough, F.lit(0.0))
-    return step.withColumn("m", F.when(large, guess).otherwise(exact)).drop("__code", "__tokens", "__words", "__h", "__x", "__cc", "__cog", "__dit")
+    return step.withColumn("m", F.when(large, guess).otherwise(exact) if guard else exact).drop("__code", "__tokens", "__words", "__h", "__x", "__cc", "__cog", "__dit")

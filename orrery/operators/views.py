@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from orrery.functions import paths as P
 
-MAX_VIOLATIONS = 10_000
 #: Bounds of a text search and hops of the automatic descent.
 GREP_DEFAULT, GREP_MOST, HOPS = 50, 200, 8
 #: The deterministic rules by id.
@@ -72,15 +71,15 @@ def highlighted(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def cell_violations(cells: DataFrame, violations: DataFrame) -> DataFrame:
     """``cells(source, target)`` plus ``violated``: a violation's ends are those of the cell, or end with them.
 
-    ``violations(from, to)`` is checked to hold at most ``MAX_VIOLATIONS`` rows, then broadcast.
+    The ends of ``violations(from, to)`` are all their suffixes on one side, so sources meet
+    them in an equi-join, and targets are compared only where the sources fit.
     """
-    if violations.limit(MAX_VIOLATIONS + 1).count() > MAX_VIOLATIONS:
-        raise ValueError(f"more than {MAX_VIOLATIONS} violations")
-    ends = violations.select(F.col("from").alias("__from"), F.col("to").alias("__to")).distinct()
-    hit = cells.join(F.broadcast(ends), F.endswith("__from", F.col("source")) & F.endswith("__to", F.col("target")), "left_semi")
-    return cells.join(hit.select("source", "target", F.lit(True).alias("__hit")).distinct(), ["source", "target"], "left").select(
-        *cells.columns, F.coalesce("__hit", F.lit(False)).alias("violated")
-    )
+    ends = violations.select(F.col("from"), F.col("to").alias("__to")).where("length(from) > 0").distinct()
+    suffix = F.explode(F.expr("transform(sequence(1, length(from)), i -> substring(from, i))"))
+    places = cells.select("source", "target").distinct()
+    hit = places.join(ends.select(suffix.alias("source"), "__to"), "source").where(F.endswith("__to", F.col("target")))
+    hit = hit.select("source", "target", F.lit(True).alias("__hit")).distinct()
+    return cells.join(hit, ["source", "target"], "left").select(*cells.columns, F.coalesce("__hit", F.lit(False)).alias("violated"))
 
 
 def with_issues(files: DataFrame, issues: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -77,10 +77,20 @@ def gitleaks(values: DataFrame) -> DataFrame:
     return _rows(each, "gitleaks", F.col("f.File"), F.col("f.StartLine"), F.lit("error"), F.coalesce("f.Description", "f.RuleID"))
 
 
-def trufflehog(lines: DataFrame, only_verified: bool = False) -> DataFrame:
-    x = _parsed(lines, "trufflehog").where("x IS NOT NULL")
+def trufflehog(lines: DataFrame, only_verified: bool = False, strict: bool = False) -> DataFrame:
+    """Secrets of an object a line, or of a whole array in one value.
+
+    Lines that are no JSON are log output and left out; with ``strict`` a broken line that begins
+    like an object or array is an error.
+    """
+    schema = SCHEMAS["trufflehog"]
+    text = F.trim("value")
+    many, broken = F.startswith(text, F.lit("[")), F.try_parse_json(text).isNull() & F.regexp_like(text, F.lit(r"^[\[{]"))
+    refused = F.raise_error(F.concat(F.lit("broken secret report: "), F.substring(text, 1, 80))).cast(f"array<{schema}>")
+    one = F.when(F.startswith(text, F.lit("{")) & ~broken, F.array(F.from_json(text, schema)))
+    each = lines.select(F.explode(F.when(broken & F.lit(strict), refused).when(many, F.from_json(text, f"array<{schema}>")).otherwise(one)).alias("x"))
     place = F.col("x.SourceMetadata.Data.Filesystem")
-    out = _rows(x, "trufflehog", place["file"], place["line"], F.lit("error"), F.col("x.DetectorName"), F.col("x.Verified"))
+    out = _rows(each, "trufflehog", place["file"], place["line"], F.lit("error"), F.col("x.DetectorName"), F.col("x.Verified"))
     return out.where("verified") if only_verified else out
 
 
