@@ -128,6 +128,8 @@ def _complaints(node: Column) -> Column:
     named = F.when(path == "", "arguments").otherwise(F.substring(path, 2, 1 << 30))
     kind = F.schema_of_variant(value)
     number = F.when(F.regexp_like(kind, F.lit(f"^({NUMBER})$")), F.try_variant_get(value, "$", "double"))
+    # Numbers are allowed by value, however they are written, as far as a double tells them apart.
+    exact = F.when(F.abs(number) < float(1 << 53), True)
     text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     items = F.size(F.try_variant_get(value, "$", "array<variant>"))
     keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
@@ -136,7 +138,7 @@ def _complaints(node: Column) -> Column:
     none = F.array().cast("array<string>")
     single = F.array(
         wrong(~(F.regexp_like(kind, rule["types"]) | (rule["whole"] & F.coalesce(number == F.floor(number), F.lit(False)))), "type"),
-        wrong(~F.array_contains(rule["allowed"], F.to_json(value)), "enum"),
+        wrong(~F.exists(rule["allowed"], lambda a: F.coalesce((a.try_cast("double") == number) & exact, a == F.to_json(value))), "enum"),
         wrong(number < rule["minimum"], "minimum"),
         wrong(number > rule["maximum"], "maximum"),
         wrong((F.length(text) < rule["min_length"]) | (F.length(text) > rule["max_length"]), "length"),
@@ -166,7 +168,7 @@ def format_chat(messages: DataFrame, tools: Tools, conv_col: str = "conv_id", tu
     topological order.  ``status`` is ``ok``; for calls ``unanswered`` or ``duplicate`` (a
     later call of the same id), for results ``orphan`` or ``duplicate`` (of a later turn than
     the first answer of the same id).  ``errors`` lists schema complaints, comma-joined.
-    Keys are sorted, white space is dropped.
+    Keys are sorted, white space is dropped; a null id or name of a call is ``null``.
 
     Text that is no such JSON is content.  A null text is null content (left out of the
     JSON); null conversations, turns and roles stay null and link with nothing.  Repeated
@@ -208,7 +210,7 @@ def format_chat(messages: DataFrame, tools: Tools, conv_col: str = "conv_id", tu
     own = F.struct("turn", "item")
     status = F.when(F.col("first").isNotNull() & (own != F.col("first")), "duplicate").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
     shown = F.coalesce(F.to_json("args"), F.to_json(F.struct(F.col("raw").alias("raw"))))
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    quoted = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
     call_json = F.concat(F.lit('{"arguments":'), F.coalesce(shown, F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("tool")), F.lit("}"))
     call_rows = checked.select(
         "conv_id", F.lit("call").alias("kind"), "turn", "item", "call_id", F.col("turn").alias("at_turn"), F.lit(1).alias("step"),

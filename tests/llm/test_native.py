@@ -119,3 +119,16 @@ def test_every_planted_licence_line_and_common_text_is_known(spark):
     assert all(got[f"line {x}"]["n_notices"] == 1 for x in planted)
     assert got["line Licensed under CC BY-NC 4.0."]["notices"] == "CC-BY-NC-4.0"
     assert all(got[i]["license_id"] == i for i in texts)
+
+
+def test_enum_compares_numbers_by_value(spark):
+    import json
+
+    from orrery.llm import chat_format
+
+    tools = chat_format.tool_table(spark, {"t": {"properties": {"v": {"enum": [100, 0.5, "100", None, 9007199254740993]}}}})
+    values = ["100", "1e2", "100.0", "0.5", "5e-1", '"100"', "null", "101", '"0.5"', '"1e2"', "true", "9007199254740993", "9007199254740992"]
+    rows = [(n, 0, "assistant", json.dumps({"tool_calls": [{"id": None if n else "a", "name": "t", "arguments": f'{{"v": {v}}}'}]})) for n, v in enumerate(values)]
+    out = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).where("kind = 'call'").orderBy("conv_id").collect()
+    assert [r["errors"] for r in out] == [""] * 7 + ["enum of v"] * 4 + ["", "enum of v"]
+    assert '"id":"a"' in out[0]["json"] and '"id":null' in out[1]["json"]
