@@ -110,7 +110,7 @@ def place_on_rings(ranked: DataFrame, ring: str, gap: float = 160.0) -> DataFram
 
 
 def _greedy(weights: np.ndarray, bus: np.ndarray) -> np.ndarray:
-    """Cluster numbers after merging the best pair again and again while the cost drops."""
+    """Cluster numbers after merging the best pair again and again while the cost drops; a bus stays alone."""
     n = len(weights)
     cluster = np.arange(n)
     linked = (weights > 0) & ~bus[None, :]
@@ -121,7 +121,7 @@ def _greedy(weights: np.ndarray, bus: np.ndarray) -> np.ndarray:
 
     best = cost(cluster)
     while True:
-        tried = [(cost(np.where(cluster == b, a, cluster)), a, b) for a in np.unique(cluster) for b in np.unique(cluster) if a < b and _touch(linked, cluster, a, b)]
+        tried = [(cost(np.where(cluster == b, a, cluster)), a, b) for a in np.unique(cluster[~bus]) for b in np.unique(cluster[~bus]) if a < b and _touch(linked, cluster, a, b)]
         if not tried or min(tried)[0] >= best - 1e-9:
             return cluster
         best, a, b = min(tried)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import crossings, graph, trees
+from orrery.operators import circular, crossings, graph, trees
+from orrery.operators.ranks import scanned
 from orrery.plans.registry import query
 from orrery.sources.tables import load
 
@@ -96,3 +97,17 @@ def trade_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = load(spark, sf_dir, file).select(name(kind, key).alias("id"), F.lit(layer).alias("layer"), F.col(key).cast("long").alias("pos"))
         order = row if order is None else order.unionByName(row)
     return crossings.layer_crossings(order, edges)
+
+
+@query("""WITH ring AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS pos FROM supplier),
+links AS (SELECT DISTINCT least(x.l_suppkey, y.l_suppkey) AS a, greatest(x.l_suppkey, y.l_suppkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
+  WHERE x.l_suppkey <> y.l_suppkey),
+spans AS (SELECT least(p.pos, q.pos) AS lo, greatest(p.pos, q.pos) AS hi FROM links JOIN ring p ON p.node = a JOIN ring q ON q.node = b)
+SELECT (SELECT count(*) FROM spans) AS links, (SELECT count(*) FROM spans x JOIN spans y ON x.lo < y.lo AND y.lo < x.hi AND x.hi < y.hi) AS crossings""")
+def supplier_ring_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossing chords if suppliers stand on a circle by nation, and those of neighbouring lines of an order are linked."""
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("long").alias("src"))
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("src").alias("dst"))
+    suppliers = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("node"), "s_nationkey")
+    ring = scanned(suppliers, [F.col("s_nationkey"), F.col("node")], number="pos").select("node", "pos")
+    return circular.crossing_count(ring, lines.join(after, ["l_orderkey", "l_linenumber"]).select("src", "dst"))
