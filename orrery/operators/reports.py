@@ -14,15 +14,20 @@ PATH_NODES, SAMPLE_GROUPS, STORED_AFFECTED = 16, 10, 80
 
 
 def cycle_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(component, size, path)`` of every cyclic component.
+    """``(component, size, path)`` of every cyclic component."""
+    return component_walks(strong_components(edges, nodes).where("cyclic"), simple_edges(edges, nodes))
+
+
+def component_walks(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(component, size, path)`` of the components of ``parts(id, component)``, along ``edges(source, target)``.
 
     The walk starts at the smallest member and goes to the smallest unvisited neighbour in
     the component, up to ``PATH_NODES`` nodes; the start is added where an edge leads back,
     and a single node is shown twice.
     """
-    parts = checkpoint(strong_components(edges, nodes).where("cyclic"))
+    parts = checkpoint(parts)
     label = parts.select("id", "component")
-    inner = simple_edges(edges, nodes).join(label.withColumnRenamed("id", "source"), "source")
+    inner = edges.where("source <> target").join(label.withColumnRenamed("id", "source"), "source")
     inner = checkpoint(inner.join(label.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target").where("component = c2").select("component", "source", "target"))
     walks = parts.groupBy("component").agg(F.count("*").alias("size")).select("component", "size", F.array("component").alias("path"))
     for _ in range(PATH_NODES - 1):

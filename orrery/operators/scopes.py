@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.paths import ancestors, package_label
+from orrery.functions.paths import ancestors, basename, package_label
+from orrery.operators.graph import MAX_ELEMENTS, degrees
+from orrery.operators.views import manifest_edges, mention_edges
 
 
 def package_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -64,6 +69,58 @@ def navigation(files: DataFrame, imports: DataFrame, symbols: DataFrame, level:
     return found.select("id", F.lit(0).cast("long").alias("loc")).distinct(), imports.sparkSession.createDataFrame([], "source string, target string")
 
 
+def package_graph(files: DataFrame, imports: DataFrame, manifests: DataFrame, contents: DataFrame, core: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(id, label, loc, kind)`` and edges ``(source, target, kind)`` of all packages.
+
+    Edges come from ``manifests(package, line)``, from imports between files, and from texts
+    (``contents(package, text)``) that mention a spelling of ``core``.  A pair of packages has
+    one edge, of the first of these kinds that has it.
+    """
+    nodes = files.groupBy(F.col("package").alias("id")).agg(F.sum("loc").cast("long").alias("loc"))
+    found = [
+        manifest_edges(manifests),
+        package_edges(files, imports).withColumn("kind", F.lit("import")),
+        mention_edges(contents, nodes.select(F.col("id").alias("package")), core),
+    ]
+    edges = reduce(DataFrame.unionByName, [e.withColumn("rank", F.lit(k)) for k, e in enumerate(found)])
+    best = edges.groupBy("source", "target").agg(F.min_by("kind", "rank").alias("kind"))
+    return nodes.select("id", package_label(F.col("id")).alias("label"), "loc", F.lit("package").alias("kind")), best
+
+
+def matrix_scope(files: DataFrame, imports: DataFrame, edges: DataFrame, level: str = "package", scope: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """Elements ``(id, label, group)`` and edges ``(source, target)`` of a dependency matrix, and whether it was cut.
+
+    * ``package`` without a scope: the packages and their ``edges(source, target)``, without groups.
+    * ``package`` with a scope, or where there is one package: the children of that folder (of the
+      first package, ``.`` without any), grouped under it.
+    * ``file``: the files of the package ``scope`` or all, grouped by package; beyond
+      ``MAX_ELEMENTS`` those with most imports in either direction, over all files, ties to the smaller path.
+
+    ``files(path, package, loc)``, ``imports(source, target)``.  An unknown scope has no elements.
+    """
+    if level == "file":
+        nodes = files.where(F.col("package") == scope) if scope is not None else files
+        nodes = nodes.select(F.col("path").alias("id"), basename(F.col("path")).alias("label"), F.col("package").alias("group")).distinct()
+        if cut := nodes.limit(MAX_ELEMENTS + 1).count() > MAX_ELEMENTS:
+            most = degrees(imports, nodes).select("id", (F.col("out_degree") + F.col("in_degree")).alias("n"))
+            nodes = nodes.join(most, "id").orderBy(F.desc("n"), "id").limit(MAX_ELEMENTS).drop("n")
+        return nodes, between(imports, nodes), cut
+    packages = [r["package"] for r in files.select("package").distinct().orderBy("package").limit(2).collect()]
+    if scope is None and len(packages) > 1:
+        nodes = files.select(F.col("package").alias("id"), package_label(F.col("package")).alias("label"), F.lit(None).cast("string").alias("group")).distinct()
+        return nodes, between(edges, nodes), False
+    at = scope or (packages or ["."])[0]
+    nodes = scope_nodes(files).where(F.col("scope") == at).select("id", "label", F.col("scope").alias("group"))
+    return nodes, between(scope_edges(files, imports).where(F.col("scope") == at), nodes), False
+
+
+def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``(source, target)`` whose two ends are different ones of ``nodes(id)``, as often as they occur."""
+    ids = nodes.select("id").distinct()
+    inside = edges.where("source <> target").join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
+    return inside.select("source", "target")
+
+
 def from_graph(nodes: DataFrame) -> DataFrame:
     """``files(path, label, loc, package)`` of graph nodes: the first path segment is the package."""
     top = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(F.lit("."))
