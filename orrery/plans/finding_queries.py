@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import paths as P
-from orrery.operators import rollups
+from orrery.functions.display import tool_language
+from orrery.operators import linters, rollups
 from orrery.operators.ranks import top_k
 from orrery.plans.registry import query
-from orrery.sources.tables import load
+from orrery.sources.tables import CODE_LINES_SQL, code_lines, load
 
 FINDINGS_SQL = """found AS (SELECT conv_id, turn AS line, concat('conv', CAST(conv_id AS STRING), '.ts') AS path,
   CASE role WHEN 'user' THEN 'warning' WHEN 'assistant' THEN 'info' ELSE 'error' END AS severity, text AS message FROM conversations)"""
@@ -125,3 +126,32 @@ def unreferenced_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that nothing refers to."""
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return c.join(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+
+
+LINTERS = (
+    ("typescript", "TypeScript / JavaScript", "eslint", "warning", 20, True, True, None),
+    ("rust", "Rust", "clippy", "error", 5, True, True, None),
+    ("python", "Python", "ruff", "info", 10, True, False, None),
+    ("go", "Go", "staticcheck", "warning", 20, True, True, None),
+)
+
+
+@query(f"""WITH {CODE_LINES_SQL}, found AS (
+  SELECT CASE WHEN path LIKE '%.ts' OR path LIKE '%.js' THEN 'typescript' WHEN path LIKE '%.rs' THEN 'rust' ELSE 'python' END AS language, path, line_no,
+    CASE WHEN contains(line, '}} else if') THEN 'error' WHEN contains(line, 'total +=') THEN 'warning' ELSE 'info' END AS severity, trim(line) AS message
+  FROM lines WHERE contains(line, '}} else if') OR contains(line, 'total +=') OR contains(line, 'TODO')),
+entries AS (SELECT DISTINCT language, concat(path, ':', line_no, ' — [', severity, '] ', message) AS entry FROM found WHERE severity = 'error' OR (severity = 'warning' AND language <> 'rust')),
+shown AS (SELECT language, list(entry ORDER BY entry) AS l FROM entries GROUP BY language),
+n AS (SELECT language, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM found GROUP BY language)
+SELECT 'linter:typescript' AS rule_id, 'TypeScript / JavaScript (eslint)' AS rule_name, 'fail' AS status, concat(e, ' error(s), ', w, ' warning(s), 0 info — level ≥ warning') AS message, array_to_string(l[:20], chr(10)) AS affected FROM n JOIN shown USING (language) WHERE language = 'typescript'
+UNION ALL SELECT 'linter:rust', 'Rust (clippy)', 'fail', concat(e, ' error(s), 0 warning(s), 0 info — level ≥ error'), array_to_string(l[:5], chr(10)) FROM n JOIN shown USING (language) WHERE language = 'rust'
+UNION ALL SELECT 'linter:python', 'Python (ruff)', 'warn', 'ruff is not installed. Install it from Settings → Language Linters.', ''
+UNION ALL SELECT 'linter:go', 'Go (staticcheck)', 'pass', 'No issues reported by staticcheck', ''""")
+def language_linters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of four linters over the findings that the lines of the code base give."""
+    line = F.col("line")
+    severity = F.when(F.contains(line, F.lit("} else if")), "error").when(F.contains(line, F.lit("total +=")), "warning").when(F.contains(line, F.lit("TODO")), "info")
+    found = code_lines(spark, sf_dir).select(tool_language(F.col("path"), "lint").alias("language"), "path", F.col("line_no").alias("line"), severity.alias("severity"), F.trim(line).alias("message"))
+    settings = spark.createDataFrame(LINTERS, "language string, label string, linter string, min_level string, sample_limit int, enabled boolean, installed boolean, error string")
+    verdicts = linters.linter_verdicts(settings, found.where("severity IS NOT NULL"))
+    return verdicts.withColumn("affected", F.array_join("affected", "\n"))

@@ -27,7 +27,7 @@ def scope_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCOPE_IMPORTS_SQL = """imp AS (SELECT DISTINCT concat('r', a.c_nationkey % 5, '/n', a.c_nationkey, '/c', a.c_custkey) AS source, concat('r', s_nationkey % 5, '/n', s_nationkey, '/s', s_suppkey) AS target,
-  a.c_nationkey AS cn, s_nationkey AS sn FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer a ON o_custkey = a.c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 48)"""
+  a.c_nationkey AS cn, s_nationkey AS sn FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer a ON o_custkey = a.c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +35,7 @@ def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = lambda nation, kind, key: F.concat(F.lit("r"), F.col(nation) % 5, F.lit("/n"), F.col(nation), F.lit(f"/{kind}"), F.col(key))
     customer = load(spark, sf_dir, "customer").select("c_custkey", path("c_nationkey", "c", "c_custkey").alias("source"))
     supplier = load(spark, sf_dir, "supplier").select("s_suppkey", path("s_nationkey", "s", "s_suppkey").alias("target"))
-    lines = load(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_suppkey")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     pairs = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("o_custkey", "l_suppkey").distinct()
     edges = pairs.join(customer, pairs.o_custkey == customer.c_custkey).join(supplier, pairs.l_suppkey == supplier.s_suppkey).select("source", "target")
@@ -110,11 +110,11 @@ def bfs_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.bfs_rings(nodes, nation_edges(spark, sf_dir), nodes.where("id = 'NATION_3'")).na.fill(-1, ["depth"])
 
 
-@query(f"""WITH {EDGES_SQL}, w AS (SELECT id, (SELECT count(*) FROM flows WHERE (source = id OR target = id) AND n > 5) AS deg FROM nodes)
+@query(f"""WITH {EDGES_SQL}, w AS (SELECT id, (SELECT count(*) FROM flows WHERE source = id OR target = id) AS deg FROM nodes)
 SELECT id, deg AS connections FROM w ORDER BY deg DESC, id LIMIT 10""")
 def matrix_top_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best connected elements, as a matrix of bounded size keeps them."""
-    edges = flows(spark, sf_dir).where("n > 5")
+    edges = flows(spark, sf_dir)
     d = G.degrees(edges, nation_nodes(spark, sf_dir)).select("id", (F.col("out_degree") + F.col("in_degree")).alias("connections"))
     return d.orderBy(F.desc("connections"), "id").limit(10)
 
@@ -167,3 +167,32 @@ def architecture_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = edges.join(F.broadcast(a), "source").join(F.broadcast(b), "target").select(F.col("ga").alias("source"), F.col("gb").alias("target")).distinct()
     found = rules.layer_violations(grouped, layers).agg(F.count("*").alias("violations"))
     return found.withColumn("status", rules.conformance_status(F.col("violations")))
+
+
+@query(f"""WITH {SCOPE_IMPORTS_SQL}, packs AS (SELECT concat('r', n_nationkey % 5, '/n', n_nationkey) AS p, n_nationkey AS n FROM nation),
+found AS (
+  SELECT concat('r', s_nationkey % 5, '/n', s_nationkey) AS source, 'r0/n0' AS target, 0 AS k FROM supplier WHERE s_acctbal < 0
+  UNION ALL SELECT concat('r', cn % 5, '/n', cn), concat('r', sn % 5, '/n', sn), 1 FROM imp WHERE cn <> sn
+  UNION ALL SELECT concat('r', cn % 5, '/n', cn), 'r2/n7', 2 FROM imp WHERE contains(target, 'n7'))
+SELECT source, target, ['manifest', 'import', 'wasm'][min(k) + 1] AS kind FROM found GROUP BY source, target""")
+def package_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One graph of nations as packages: from manifests of indebted suppliers, imports, and texts that mention a package."""
+    from orrery.functions.paths import parent_dir
+
+    files, edges = imports(spark, sf_dir)
+    supplier = load(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("r"), F.col("s_nationkey") % 5, F.lit("/n"), "s_nationkey").alias("package"))
+    manifests = supplier.withColumn("line", F.lit('  "./r0/n1/../n0": "file:../n0",'))
+    contents = edges.select(parent_dir(F.col("source")).alias("package"), F.concat(F.lit("import "), "target").alias("text"))
+    return S.package_graph(files.withColumn("package", parent_dir(F.col("path"))), edges, manifests, contents, ["n7"])[1]
+
+
+@query(f"""WITH {SCOPE_IMPORTS_SQL}, files AS (SELECT concat('r', c_nationkey % 5, '/n', c_nationkey, '/c', c_custkey) AS path, concat('r', c_nationkey % 5, '/n', c_nationkey) AS package FROM customer
+  UNION ALL SELECT concat('r', s_nationkey % 5, '/n', s_nationkey, '/s', s_suppkey), concat('r', s_nationkey % 5, '/n', s_nationkey) FROM supplier),
+ends AS (SELECT source AS path FROM imp UNION ALL SELECT target FROM imp), degrees AS (SELECT path, count(*) AS n FROM ends GROUP BY path)
+SELECT path AS id, regexp_extract(path, '([^/]*)$', 1) AS label, package AS "group" FROM files LEFT JOIN degrees USING (path) ORDER BY coalesce(n, 0) DESC, path LIMIT 150""")
+def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a matrix of all files shows: by definition the 150 with most imports."""
+    from orrery.functions.paths import parent_dir
+
+    files, edges = imports(spark, sf_dir)
+    return S.matrix_scope(files.withColumn("package", parent_dir(F.col("path"))), edges, edges, "file")[0]

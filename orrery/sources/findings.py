@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<file_name:string,line_start:int>>"
+PLACE = "struct<path:string,file:string,line:int,start:struct<line:int>>"
+DIAGNOSTIC = f"severity:string,description:string,message:string,span:{PLACE},location:{PLACE}"
 SCHEMAS = {
     "eslint": "array<struct<filePath:string,messages:array<struct<line:int,severity:int,message:string>>>>",
     "cargo": f"struct<reason:string,message:struct<level:string,message:string,code:struct<code:string>,spans:{SPAN}>>",
     "ruff": "array<struct<filename:string,message:string,code:string,location:struct<row:int>>>",
     "pylint": "array<struct<path:string,line:int,type:string,message:string>>",
     "golangci": "struct<Issues:array<struct<Text:string,Severity:string,Pos:struct<Filename:string,Line:int>>>>",
+    "diagnostics": f"array<struct<{DIAGNOSTIC}>>",
     "gitleaks": "array<struct<File:string,StartLine:int,RuleID:string,Description:string>>",
     "trufflehog": "struct<DetectorName:string,Verified:boolean,SourceMetadata:struct<Data:struct<Filesystem:struct<file:string,line:int>>>>",
 }
@@ -72,6 +75,31 @@ def golangci(values: DataFrame) -> DataFrame:
     return _rows(each, "golangci", F.col("i.Pos.Filename"), F.col("i.Pos.Line"), F.coalesce(F.nullif("i.Severity", F.lit("")), F.lit("warning")), F.col("i.Text"))
 
 
+def severity_of(name: Column) -> Column:
+    """``error``, ``warning`` or ``info`` from what a tool calls them; a warning where it names none."""
+    low = F.lower(name)
+    return F.when(low.isNull() | low.isin("warn", "warning"), "warning").when(low.isin("err", "error", "fatal"), "error").otherwise("info")
+
+
+def _diagnostics(values: DataFrame, tool: str, message: Column, bare: bool) -> DataFrame:
+    """Rows of ``{"diagnostics": [...]}``, or of the bare array; a diagnostic without a place has an empty path and line 1."""
+    text = F.trim("value")
+    held = F.from_json(text, f"struct<diagnostics:{SCHEMAS['diagnostics']}>")["diagnostics"]
+    whole = F.when(F.startswith(text, F.lit("[")), F.from_json(text, SCHEMAS["diagnostics"]) if bare else None).otherwise(held)
+    each = values.select(F.explode(whole).alias("d"))
+    place = F.coalesce("d.span", "d.location")
+    path = F.replace(F.coalesce(place["path"], place["file"], F.lit("")), F.lit("\\"), F.lit("/"))
+    return _rows(each, tool, path, F.coalesce(place["line"], place["start"]["line"]), severity_of(F.col("d.severity")), F.coalesce(message, F.lit("lint issue")))
+
+
+def biome(values: DataFrame) -> DataFrame:
+    return _diagnostics(values, "biome", F.coalesce("d.description", "d.message"), bare=False)
+
+
+def oxlint(values: DataFrame) -> DataFrame:
+    return _diagnostics(values, "oxlint", F.col("d.message"), bare=True)
+
+
 def gitleaks(values: DataFrame) -> DataFrame:
     each = _parsed(values, "gitleaks").select(F.explode("x").alias("f"))
     return _rows(each, "gitleaks", F.col("f.File"), F.col("f.StartLine"), F.lit("error"), F.coalesce("f.Description", "f.RuleID"))
