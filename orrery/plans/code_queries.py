@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import extract as X
 from orrery.functions import metrics as M
 from orrery.functions import paths as P
+from orrery.operators import quality_index as Q
 from orrery.operators import ranks, rollups
 from orrery.plans.registry import query
 from orrery.sources.tables import CODE_LINES_SQL, CODE_SQL, DOC_SQL, code_files, code_lines, doc_files, load
@@ -354,3 +356,43 @@ def language_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = orders.join(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select(F.expr(CODE_PATH).alias("path"))
     pairs = files.select(F.explode(F.concat(P.ancestors(F.col("path")), F.array(F.lit(".")))).alias("folder"), P.language_of(F.col("path")).alias("lang")).distinct()
     return pairs.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
+
+
+INDEX_SQL = f"""
+WITH {CODE_SQL}, {BREAKDOWN_SQL}, {CLASSIC_SQL},
+f AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_replace(path, '/[^/]*$', '') AS dir FROM src),
+tests AS (SELECT path, regexp_matches(lower(name), '[.]test[.]|[.]spec[.]|_test[.](go|rs|py)$|^test_') OR contains(path, '/__tests__/') OR contains(path, '/tests/') AS is_test, dir, regexp_replace(name, '[.][^.]*$', '') AS stem FROM f),
+covered AS (SELECT path, is_test OR EXISTS (SELECT 1 FROM f WHERE f.path IN (concat(dir, '/', stem, '.test.ts'), concat(dir, '/', stem, '.spec.ts'), concat(dir, '/', stem, '.test.tsx'), concat(dir, '/', stem, '.spec.tsx'),
+  concat(dir, '/', stem, '.test.js'), concat(dir, '/', stem, '_test.go'), concat(dir, '/', stem, '_test.py'), concat('tests/', stem, '.rs'), concat(dir, '/__tests__/', stem, '.ts'))) AS yes FROM tests),
+syms AS (SELECT path, count(*) AS n FROM parts WHERE regexp_matches(path, '[.](ts|js)$') AND starts_with(trim(line), 'function ') GROUP BY path),
+found AS (SELECT path, max(CASE WHEN contains(line, 'flag == "R"') THEN 2 ELSE 0 END) AS security, max(CASE WHEN contains(line, 'comment') THEN 1 ELSE 0 END) AS docs FROM parts GROUP BY path)
+SELECT b.path, b.package, b.loc, CASE WHEN b.nloc > 0 THEN b.nloc ELSE b.loc END AS nloc, b.cloc, round(100.0 * b.nloc / b.loc, 6) AS code_density,
+  round(CASE WHEN b.nloc + b.cloc = 0 THEN 0 ELSE 100.0 * b.cloc / (b.nloc + b.cloc) END, 6) AS comment_density, CAST(cc AS DOUBLE) AS cyclomatic, round(vol, 6) AS halstead_volume, round(mi, 6) AS maintainability,
+  round(mag, 6) AS abc_magnitude, round(cc / (CASE WHEN b.nloc > 0 THEN b.nloc ELSE b.loc END)::DOUBLE, 6) AS cyclomatic_density, CASE WHEN yes THEN 100.0 ELSE 0.0 END AS coverage, coalesce(n, 0) AS symbols,
+  round(stale * 1000.0 / b.loc, 6) AS stale_density, round((security + docs) * 1000.0 / b.loc, 6) AS issue_density, round(security * 1000.0 / b.loc, 6) AS security_density, CASE WHEN docs > 0 THEN 75.0 END AS documentation_score
+FROM broken b JOIN classic c USING (path) JOIN covered USING (path) JOIN found USING (path) LEFT JOIN syms USING (path)
+"""
+INDEX_COLUMNS = ("loc", "nloc", "cloc", "code_density", "comment_density", "cyclomatic", "halstead_volume", "maintainability", "abc_magnitude", "cyclomatic_density", "coverage", "symbols", "stale_density", "issue_density", "security_density", "documentation_score")
+
+
+def quality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the code base: imports, symbols and edges from its texts, issues from two findings on its lines."""
+    files = code_files(spark, sf_dir).select("path", "package", "content")
+    imports = X.resolve_imports(X.extract_imports(files), files)
+    lines = code_lines(spark, sf_dir)
+    rule = lambda mark, rule_id, status: lines.where(F.contains("line", F.lit(mark))).select(F.lit(rule_id).alias("rule_id"), F.lit(rule_id).alias("rule_name"), F.lit(status).alias("status"), "path")
+    items = rule('flag == "R"', "secret_flags", "fail").unionByName(rule("comment", "comment_blocks", "warn")).distinct()
+    return Q.file_index(files, imports, X.extract_symbols(files), X.symbol_edges(files), rollups.issue_buckets(items))
+
+
+@query(INDEX_SQL)
+def file_quality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of the quality index, those metrics that SQL can check."""
+    index = quality_index(spark, sf_dir)
+    return index.select("path", "package", *[F.round(c, 6).alias(c) if dict(index.dtypes)[c] == "double" else F.col(c) for c in INDEX_COLUMNS])
+
+
+@query()
+def package_quality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 22 metrics of the quality index by package."""
+    return Q.package_index(quality_index(spark, sf_dir))
