@@ -66,9 +66,11 @@ def file_index(files: DataFrame, imports: DataFrame, symbols: DataFrame, edges:
     What is missing counts as nothing: no symbols mean no dead code and full cohesion, no issues no
     density; ``documentation_score`` is null without hits.  An empty or null text has no lines.
     """
+    # Each is read several times and may be made from texts.
+    symbols, edges, imports = checkpoint(symbols.select("id", "file")), checkpoint(edges.select("source", "target")), checkpoint(imports.select("source", "target").distinct())
     placed = checkpoint(symbol_edge_files(edges, symbols))
     paths = files.select("path")
-    sources = imports.select("source", "target").distinct().groupBy(F.col("source").alias("path")).agg(F.count("*").alias("imports"))
+    sources = imports.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("imports"))
     covered = with_companion_test(paths).select("path", F.when(F.col("covered"), 100.0).otherwise(0.0).alias("coverage"))
     parts = [
         coupling_counts(imports, placed), sources, dead_symbols(symbols, edges), duplicated_lines(files),
