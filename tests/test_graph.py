@@ -152,3 +152,13 @@ def test_hundred_thousand_edges_of_a_file_graph(spark):
     nodes = spark.range(60_000).selectExpr("CAST(id AS STRING) AS id")
     out = G.strong_components(ring.unionByName(chain), nodes)
     assert out.where("size = 10 AND cyclic").count() == 60_000 and out.select("component").distinct().count() == 6000
+
+
+def test_a_bus_is_not_merged(spark):
+    from orrery.operators import layering
+
+    elements = spark.createDataFrame([(k, name) for k, name in enumerate("abcz")], "idx int, id string")
+    cells = spark.createDataFrame([(0, 1, 1), (1, 0, 1), (3, 2, 1), (0, 3, 1)], "row_idx int, col_idx int, weight long")
+    merged = lambda buses: {r["id"]: r["cluster"] for r in layering.greedy_clusters(cells, elements, spark.createDataFrame(buses, "target string")).collect()}
+    assert merged([("z",)]) == {"a": 0, "b": 0, "c": 2, "z": 3}
+    assert merged([]) != merged([("z",)])
