@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from orrery.operators.components import connected_components
 from orrery.operators.graph import grown, simple_edges, strong_components
 from orrery.operators.ranks import scanned
-from orrery.session import checkpoint
+from orrery.session import checkpoint, remove_path, scratch_path, write_table
 
+#: Fixed value: rounds of label propagation.
 ROUNDS = 24
 
 
@@ -28,16 +29,21 @@ def longest_path_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``edges`` must have no cycle; a loop that does not end within as many rounds as there are
     nodes is an error.
     """
-    layers, limit, rounds = checkpoint(nodes.select("id").distinct().withColumn("layer", F.lit(0))), nodes.count() + 1, 0
-    while True:
-        up = edges.join(layers.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg((F.max("layer") + 1).alias("need"))
-        after = checkpoint(layers.join(up, "id", "left").withColumn("need", F.coalesce("need", F.lit(0))))
-        if after.where("need > layer").isEmpty():
-            return layers
-        layers = after.select("id", F.greatest("layer", "need").alias("layer"))
+    folder, limit, rounds = scratch_path(nodes.sparkSession, "layers"), nodes.count() + 1, 0
+    arcs = write_table(edges.select("source", "target").distinct(), f"{folder}/edges")
+    layers = write_table(nodes.select("id").distinct().withColumns({"layer": F.lit(0), "rose": F.lit(True)}), f"{folder}/0")
+    while not layers.where("rose").isEmpty():
         rounds += 1
         if rounds > limit:
             raise ValueError("the graph has a cycle")
+        rising = layers.where("rose").select(F.col("id").alias("target"), "layer")
+        up = arcs.join(rising, "target").groupBy(F.col("source").alias("id")).agg((F.max("layer") + 1).alias("need"))
+        rose = F.coalesce(F.col("need") > F.col("layer"), F.lit(False))
+        met = layers.drop("rose").join(up, "id", "left")
+        layers = write_table(met.select("id", F.greatest("layer", "need").alias("layer"), rose.alias("rose")), f"{folder}/{rounds}")
+    out = checkpoint(layers.select("id", "layer"))
+    remove_path(nodes.sparkSession, folder)
+    return out
 
 
 def partition_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,20 +71,25 @@ def bfs_rings(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     return nodes.select("id").distinct().join(seen, "id", "left")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(id, community)`` by label propagation: the commonest label next door, ties to the smallest."""
-    both = checkpoint(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target"))
-    labels = checkpoint(nodes.select("id", F.col("id").alias("community")).distinct())
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id"), "community").agg(F.count("*").alias("n"))
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """``(id, community)`` by label propagation: the commonest label next door, the own one included, ties to the smallest.
+
+    All nodes take their labels at once.  ``rounds`` is part of the definition, since labels of
+    some graphs swing for ever; with None it goes on until no label changes.
+    """
+    spark, folder, k = nodes.sparkSession, scratch_path(nodes.sparkSession, "communities"), 0
+    both = write_table(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target"), f"{folder}/edges")
+    labels = write_table(nodes.select("id", F.col("id").alias("community"), F.lit(True).alias("changed")).distinct(), f"{folder}/0")
+    while (rounds is None or k < rounds) and not labels.where("changed").isEmpty():
+        votes = both.join(labels.select(F.col("id").alias("source"), "community"), "source").groupBy(F.col("target").alias("id"), "community").agg(F.count("*").alias("n"))
         own = labels.select("id", "community", F.lit(1).cast("long").alias("n"))
         tally = votes.unionByName(own).groupBy("id", "community").agg(F.sum("n").alias("n"))
         best = tally.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select("id", F.col("m.community").alias("new"))
-        after = checkpoint(labels.join(best, "id"))
-        labels = after.select("id", F.col("new").alias("community"))
-        if after.where("new <> community").isEmpty():
-            break
-    return labels
+        k += 1
+        labels = write_table(labels.join(best, "id").select("id", F.col("new").alias("community"), (F.col("new") != F.col("community")).alias("changed")), f"{folder}/{k}")
+    out = checkpoint(labels.select("id", "community"))
+    remove_path(spark, folder)
+    return out
 
 
 def file_cohesion(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.paths import round_half_up
 from orrery.operators.graph import simple_edges, strong_components
-from orrery.session import checkpoint
+from orrery.session import checkpoint, remove_path, scratch_path, write_table
 
 #: Nodes of a shown cycle, groups of a sample, affected entries that are stored.
 PATH_NODES, SAMPLE_GROUPS, STORED_AFFECTED = 16, 10, 80
@@ -25,22 +25,26 @@ def component_walks(parts: DataFrame, edges: DataFrame) -> DataFrame:
     the component, up to ``PATH_NODES`` nodes; the start is added where an edge leads back,
     and a single node is shown twice.
     """
-    parts = checkpoint(parts)
-    label = parts.select("id", "component")
-    inner = edges.where("source <> target").join(label.withColumnRenamed("id", "source"), "source")
-    inner = checkpoint(inner.join(label.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target").where("component = c2").select("component", "source", "target"))
-    walks = parts.groupBy("component").agg(F.count("*").alias("size")).select("component", "size", F.array("component").alias("path"))
-    for _ in range(PATH_NODES - 1):
-        ahead = walks.withColumn("source", F.element_at("path", -1)).join(inner, ["component", "source"]).where(~F.array_contains("path", F.col("target")))
+    spark, folder = parts.sparkSession, scratch_path(parts.sparkSession, "walks")
+    parts = write_table(parts.select("id", "component"), f"{folder}/parts")
+    inner = edges.where("source <> target").join(parts.withColumnRenamed("id", "source"), "source")
+    inner = inner.join(parts.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target").where("component = c2")
+    inner = write_table(inner.select("component", "source", "target"), f"{folder}/edges")
+    walks = parts.groupBy("component").agg(F.count("*").alias("size")).select("component", "size", F.array("component").alias("path"), F.lit(True).alias("grew"))
+    walks = write_table(walks, f"{folder}/0")
+    for k in range(1, PATH_NODES):
+        ahead = walks.where("grew").withColumn("source", F.element_at("path", -1)).join(inner, ["component", "source"]).where(~F.array_contains("path", F.col("target")))
         following = ahead.groupBy("component").agg(F.min("target").alias("next"))
-        after = checkpoint(walks.join(following, "component", "left"))
-        walks = after.select("component", "size", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"))
-        if after.where("next IS NOT NULL").isEmpty():
+        path = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("next")))
+        walks = write_table(walks.join(following, "component", "left").select("component", "size", path.alias("path"), F.col("next").isNotNull().alias("grew")), f"{folder}/{k}")
+        if walks.where("grew").isEmpty():
             break
     back = inner.select("component", "source", F.lit(True).alias("closed")).where("target = component").distinct()
     ended = walks.withColumn("source", F.element_at("path", -1)).join(back, ["component", "source"], "left")
     closes = (F.col("size") == 1) | F.coalesce("closed", F.lit(False))
-    return ended.select("component", "size", F.when(closes, F.array_append("path", F.col("component"))).otherwise(F.col("path")).alias("path"))
+    out = checkpoint(ended.select("component", "size", F.when(closes, F.array_append("path", F.col("component"))).otherwise(F.col("path")).alias("path")))
+    remove_path(spark, folder)
+    return out
 
 
 def circular_status(file_groups: Column, other_groups: Column) -> Column:

@@ -95,7 +95,10 @@ def partition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.partition_order(nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES_SQL}, nb AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges UNION ALL SELECT id, id FROM nodes),
+labels AS (SELECT 0 AS k, id, id AS community FROM nodes UNION ALL
+  SELECT k + 1, id, min({{'n': -n, 'c': community}}).c FROM (SELECT k, b AS id, community, count(*) AS n FROM labels JOIN nb ON a = id WHERE k < {L.ROUNDS} GROUP BY k, b, community) GROUP BY k, id)
+SELECT id, community FROM labels WHERE k = {L.ROUNDS}""")
 def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the dependency graph by label propagation."""
     return L.communities(nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir))
@@ -145,12 +148,18 @@ def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("component").agg(F.count("*").alias("size"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {REACH_SQL}, m AS (SELECT id, (SELECT min(a.target) FROM reach a JOIN reach b ON a.target = b.source WHERE a.source = id AND b.target = id) AS c FROM nodes),
+parts AS (SELECT id, c, count(*) OVER (PARTITION BY c) AS size FROM m WHERE c IS NOT NULL),
+inside AS (SELECT a.c, e.source, e.target FROM edges e JOIN parts a ON a.id = e.source JOIN parts b ON b.id = e.target WHERE a.c = b.c),
+walk AS (SELECT DISTINCT c, size, [c] AS path FROM parts UNION ALL
+  SELECT w.c, w.size, list_append(w.path, min(i.target)) FROM walk w JOIN inside i ON i.c = w.c AND i.source = w.path[-1] WHERE NOT list_contains(w.path, i.target) AND len(w.path) < 16 GROUP BY w.c, w.size, w.path),
+ends AS (SELECT c, any_value(size) AS size, arg_max(path, len(path)) AS path FROM walk GROUP BY c)
+SELECT c AS component, size, array_to_string(CASE WHEN size = 1 OR EXISTS (SELECT 1 FROM inside i WHERE i.c = ends.c AND i.source = path[-1] AND i.target = ends.c) THEN list_append(path, c) ELSE path END, ' > ') AS path FROM ends""")
 def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A walk through every cyclic component."""
+    """A walk through every cyclic component, as text."""
     from orrery.operators.reports import cycle_paths as walks
 
-    return walks(nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir))
+    return walks(nation_nodes(spark, sf_dir), nation_edges(spark, sf_dir)).withColumn("path", F.array_join("path", " > "))
 
 
 @query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT a.grp AS s, b.grp AS t FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id),
