@@ -120,8 +120,9 @@ def single_default(rows: DataFrame) -> DataFrame:
 
 
 def compact_count(n: Column) -> Column:
-    """12400 as ``12.4k``."""
-    return F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.format_number(n / 1000.0, 1), F.lit("k")))
+    """12400 as ``12.4k``, 1240 as ``1.24k``."""
+    short = lambda form: F.format_string(form, n / 1000.0)
+    return F.when(n < 1000, n.cast("string")).when(n < 10_000, short("%.2fk")).otherwise(short("%.1fk"))
 
 
 def structural_proxy(files: DataFrame) -> DataFrame:

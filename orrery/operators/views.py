@@ -11,20 +11,6 @@ from orrery.functions import paths as P
 
 #: Bounds of a text search and hops of the automatic descent.
 GREP_DEFAULT, GREP_MOST, HOPS = 50, 200, 8
-#: The deterministic rules by id.
-RULE_NAMES = {
-    "modularity": "Modularity",
-    "dependency_depth": "Dependency Depth",
-    "circular_dependencies": "Circular Dependencies",
-    "type_coverage": "Type Coverage",
-    "test_coverage": "Test Coverage",
-    "file_size": "File Size",
-    "naming": "Naming Conventions",
-    "language_linters": "Language Linters",
-    "lsp_diagnostics": "Language Diagnostics",
-    "gitleaks": "Secret Scan (gitleaks)",
-    "trufflehog": "Secret Scan (TruffleHog)",
-}
 #: Files that mark the root of a language.
 MARKERS = {
     "typescript": ("tsconfig.json", "jsconfig.json", "package.json"),
@@ -207,12 +193,6 @@ def circular_verdict(graphs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataF
     return total.select(*graphs, sum(map(F.col, graphs), F.lit(0)).cast("long").alias("groups"), status.alias("status"))
 
 
-def rule_catalogue(spark: SparkSession, settings: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
-    """``(rule_id, rule_name, settings)`` of the deterministic rules."""
-    rows = [(k, v, dict((settings or {}).get(k, {}))) for k, v in RULE_NAMES.items()]
-    return spark.createDataFrame(rows, "rule_id string, rule_name string, settings map<string,string>")
-
-
 def run_rules(spark: SparkSession, wanted: Sequence[str], callables: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
     """``(rule_id, status, message)`` of the wanted rules by their callables; an unknown one passes as ``Unknown rule``."""
     parts = [callables[w]().select("rule_id", "status", "message") for w in wanted if w in callables]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.metrics import lines_of
@@ -19,7 +19,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     base = root.split("://", 1)[-1].rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^.*?{base}/", "")
     folders = F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1)
-    hidden = F.exists(folders, lambda d: F.startswith(d, F.lit(".")) | d.isin(*SKIPPED))
+    hidden = F.exists(folders, _hidden_folder)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     kept = files.select(rel.alias("path"), text.alias("content"), hidden.alias("hidden")).where("NOT hidden")
     return kept.select("path", F.coalesce(F.size(lines_of(F.col("content"))), F.lit(0)).alias("loc"), "content")
@@ -30,22 +30,52 @@ def contents(tree: DataFrame) -> DataFrame:
     return tree.where("content IS NOT NULL").select("path", "content")
 
 
+def _manifests(files: DataFrame) -> DataFrame:
+    """``(package, name, lib)`` of every manifest that makes a package."""
+    kind = basename(F.col("path"))
+    found = files.where((kind == "package.json") | ((kind == "Cargo.toml") & F.contains("content", F.lit("[package]"))))
+    section = lambda name: F.regexp_extract("content", rf"(?s)(?:^|\n)\s*\[{name}\][^\n]*\n(.*?)(?=\n\s*\[|\z)", 1)
+    toml = lambda name: F.regexp_extract(section(name), r'(?m)^\s*name\s*=\s*"([^"]*)"', 1)
+    name = F.when(kind == "Cargo.toml", toml("package")).otherwise(F.regexp_extract("content", r'"name"\s*:\s*"([^"]*)"', 1))
+    return found.select(parent_dir(F.col("path")).alias("package"), name.alias("name"), F.when(kind == "Cargo.toml", toml("lib")).alias("lib"))
+
+
 def package_roots(files: DataFrame) -> DataFrame:
     """``(package, name)``: folders with a package.json or a Cargo.toml that has ``[package]``; ``.`` if there is none."""
-    kind = basename(F.col("path"))
-    manifests = files.where((kind == "package.json") | ((kind == "Cargo.toml") & F.contains("content", F.lit("[package]"))))
-    name = F.when(kind == "Cargo.toml", F.regexp_extract("content", r'(?m)^name\s*=\s*"([^"]*)"', 1)).otherwise(F.regexp_extract("content", r'"name"\s*:\s*"([^"]*)"', 1))
-    found = manifests.groupBy(parent_dir(F.col("path")).alias("package")).agg(F.min(name).alias("name"))
+    found = _manifests(files).groupBy("package").agg(F.min("name").alias("name"))
     return found if not found.isEmpty() else files.sparkSession.createDataFrame([(".", "")], "package string, name string")
 
 
+def package_names(files: DataFrame) -> DataFrame:
+    """``(name, package)``: what imports may call a package by: its name, the name with ``_`` for ``-``, and that of its ``[lib]``.
+
+    Of several folders that claim a name the smallest has it; manifests without a name have none.
+    """
+    spelt = F.explode(F.array_distinct(F.array_compact(F.array("name", F.replace("name", F.lit("-"), F.lit("_")), "lib"))))
+    return _manifests(files).select("package", spelt.alias("name")).where("name <> ''").groupBy("name").agg(F.min("package").alias("package"))
+
+
+def _hidden_folder(name: Column) -> Column:
+    return F.startswith(name, F.lit(".")) | name.isin(*SKIPPED)
+
+
 def list_folder(paths: DataFrame, folder: str = ".") -> DataFrame:
-    """``(name, kind, has_children)`` right below a folder: folders first, then by lower-cased name."""
-    prefix = "" if folder == "." else folder + "/"
-    below = paths.where(F.startswith("path", F.lit(prefix))).select(F.substr("path", F.lit(len(prefix) + 1)).alias("rest"))
-    deep = F.contains("rest", F.lit("/"))
-    rows = below.select(F.split_part("rest", F.lit("/"), F.lit(1)).alias("name"), F.when(deep, "directory").otherwise("file").alias("kind")).distinct()
-    return rows.withColumn("has_children", F.col("kind") == "directory").orderBy(F.col("kind") != "directory", F.lower("name"))
+    """``(name, kind, has_children)`` right below a folder: folders first, then by lower-cased name.
+
+    Hidden files, and folders that are hidden or skipped, are not listed; ``has_children`` says whether
+    a folder holds anything that would be.  A path that ends in ``/`` is an empty folder.  A folder
+    outside the root is an error.
+    """
+    if ".." in folder.split("/") or folder.startswith("/"):
+        raise ValueError(f"the folder {folder} is outside the root")
+    prefix = "" if folder in ("", ".") else folder.rstrip("/") + "/"
+    parts = F.split(F.substr("path", F.lit(len(prefix) + 1)), "/")
+    below = paths.where(F.startswith("path", F.lit(prefix))).select(parts.alias("p"))
+    listed = lambda at: (F.get("p", F.lit(at)) != "") & F.when(F.size("p") > at + 1, ~_hidden_folder(F.get("p", F.lit(at)))).otherwise(~F.startswith(F.get("p", F.lit(at)), F.lit(".")))
+    kind = F.when(F.size("p") > 1, "directory").otherwise("file")
+    rows = below.where(listed(0)).groupBy(F.get("p", F.lit(0)).alias("name"), kind.alias("kind"))
+    found = rows.agg(F.max((F.size("p") > 1) & F.coalesce(listed(1), F.lit(False))).alias("has_children"))
+    return found.orderBy(F.col("kind") != "directory", F.lower("name"), "name")
 
 
 def persist_result(df: DataFrame, path: str, project: str) -> None:
