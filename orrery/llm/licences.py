@@ -121,28 +121,29 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 
 def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, text_sha256, license_id, notices, n_notices)`` for every distinct (id, canonical text).
+    """``(id_col, text_sha256, license_id, notices, n_notices)`` of every row.
 
     ``license_id`` is the licence whose text is the whole document (the smallest, if several
     share a text), else null; ``notices`` are the licences that single lines name, sorted and
-    comma-joined.  Rows that repeat an id and a canonical text are one row.  Null texts and
-    texts without words have a null digest and match nothing.
+    comma-joined.  Rows that repeat an id keep a result each, equal ones are looked up once.  Null
+    texts and texts without words have a null digest and match nothing.
     """
     prints = known.withColumn("lines", canonical_lines(F.col("text"))).select("kind", "license_id", digest_of(F.col("lines")).alias("digest")).where("digest is not null")
     prints = prints.groupBy("kind", "digest").agg(F.min("license_id").alias("known_id"))
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         prints = F.broadcast(prints)
     rows = docs.select(F.col(id_col).alias("__id"), canonical_lines(F.col(text_col)).alias("lines"))
-    rows = rows.select("__id", digest_of(F.col("lines")).alias("whole"), F.array_distinct("lines").alias("lines"))
+    rows = rows.select("__id", digest_of(F.col("lines")).alias("whole"), F.array_distinct("lines").alias("lines")).withColumn("same", F.xxhash64("lines"))
     line_keys = F.transform("lines", lambda x: F.struct(F.lit("line").alias("kind"), F.sha2(x, 256).alias("digest")))
     keys = F.concat(F.array(F.struct(F.lit("text").alias("kind"), F.col("whole").alias("digest"))), line_keys)
-    each = rows.select("__id", "whole", F.explode(keys).alias("k")).select("__id", "whole", "k.kind", "k.digest")
+    each = rows.select("__id", "whole", "same", F.explode(keys).alias("k")).select("__id", "whole", "same", "k.kind", "k.digest")
     met = each.join(prints, ["kind", "digest"], "left")
-    out = met.groupBy("__id", "whole").agg(
+    out = met.groupBy("__id", "whole", "same").agg(
+        F.count_if(F.col("kind") == "text").cast("int").alias("copies"),  # each row has one key of this kind
         F.min(F.when(F.col("kind") == "text", F.col("known_id"))).alias("license_id"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "line", F.col("known_id")))).alias("names"),
     )
-    return out.select(
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
         F.col("__id").alias(id_col),
         F.col("whole").alias("text_sha256"),
         "license_id",
