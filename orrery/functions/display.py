@@ -39,7 +39,10 @@ BANDS = {
     "cloc": ("higher", 5, 1),
     "codeDensity": ("higher", 60, 40),
     "commentDensity": ("higher", 10, 3),
+    "coverage": ("higher", 100, 100),
 }
+#: Bands of packages that differ from those of files.
+PACKAGE_BANDS = {"coverage": ("higher", 80, 50)}
 
 
 def node_class(kind: Column) -> Column:
@@ -113,15 +116,20 @@ def documentation_score(hits: Column) -> Column:
 
 
 def metric_band(metric: str, value: Column) -> Column:
-    """``healthy``, ``fair`` or ``poor`` in the detail view; ``unknown`` for null."""
-    direction, healthy, fair = BANDS[metric]
-    within = (lambda limit: value <= limit) if direction == "lower" else (lambda limit: value >= limit)
-    return F.when(value.isNull() | F.isnan(value.cast("double")), "unknown").when(within(healthy), "healthy").when(within(fair), "fair").otherwise("poor")
+    """``healthy``, ``fair`` or ``poor`` in the detail view of a file; ``unknown`` for null."""
+    return _band(BANDS[metric], value)
 
 
 def package_band(metric: str, p50: Column, p90: Column) -> Column:
     """The band of a package: metrics where less is better are judged by p90, others by p50."""
-    return metric_band(metric, p90 if BANDS[metric][0] == "lower" else p50)
+    limits = PACKAGE_BANDS.get(metric, BANDS[metric])
+    return _band(limits, p90 if limits[0] == "lower" else p50)
+
+
+def _band(limits: tuple[str, float, float], value: Column) -> Column:
+    direction, healthy, fair = limits
+    within = (lambda limit: value <= limit) if direction == "lower" else (lambda limit: value >= limit)
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "unknown").when(within(healthy), "healthy").when(within(fair), "fair").otherwise("poor")
 
 
 def grouped_number(value: Column, digits: int = 0) -> Column:

@@ -127,5 +127,5 @@ def compact_count(n: Column) -> Column:
 
 def structural_proxy(files: DataFrame) -> DataFrame:
     """``files(path, loc, symbols, imports, calls)`` plus measures for files without source text."""
-    volume = 2 * F.col("loc") * F.log2(F.greatest(F.lit(2), F.col("symbols") + F.col("imports") + 8).cast("double"))
+    volume = F.greatest(F.lit(2), 2 * F.col("loc")) * F.log2(F.greatest(F.lit(2), F.col("symbols") + F.col("imports") + 8).cast("double"))
     return files.withColumns({"structural": 1 + F.col("symbols") + F.col("calls") + F.col("imports"), "volume": F.round(volume, 6)})

@@ -55,8 +55,12 @@ def scope_peers(files: DataFrame, imports: DataFrame) -> DataFrame:
     return out.select("scope", F.col("sc").alias("source"), F.array_join(F.slice(other, F.lit(1), shared + 1), "/").alias("target")).distinct()
 
 
-def navigation(files: DataFrame, imports: DataFrame, symbols: DataFrame, level: str, scope: str = ".") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of one view: ``packages``, the files of a ``package``, or the symbols of a ``file``."""
+def navigation(files: DataFrame, imports: DataFrame, symbols: DataFrame, level: str, scope: str = ".", symbol_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one view: ``packages``, the files of a ``package``, or the symbols of a ``file``.
+
+    A file's edges are those of ``symbol_edges(source, target)`` with both ends in it; a symbol
+    that refers to itself has one, and without a table there are none.
+    """
     if level == "packages":
         nodes = files.groupBy(F.col("package").alias("id")).agg(F.sum("loc").cast("long").alias("loc"))
         return nodes, package_edges(files, imports)
@@ -65,8 +69,11 @@ def navigation(files: DataFrame, imports: DataFrame, symbols: DataFrame, level:
         own = inside.select("path")
         edges = imports.join(own.withColumnRenamed("path", "source"), "source", "left_semi").join(own.withColumnRenamed("path", "target"), "target", "left_semi")
         return inside.select(F.col("path").alias("id"), "loc"), edges.select("source", "target").distinct()
-    found = symbols.where(F.col("file") == scope)
-    return found.select("id", F.lit(0).cast("long").alias("loc")).distinct(), imports.sparkSession.createDataFrame([], "source string, target string")
+    found = symbols.where(F.col("file") == scope).select("id").distinct()
+    known = imports.where(F.lit(False)) if symbol_edges is None else symbol_edges
+    for end in ("source", "target"):
+        known = known.join(found.withColumnRenamed("id", end), end, "left_semi")
+    return found.withColumn("loc", F.lit(0).cast("long")), known.select("source", "target").distinct()
 
 
 def package_graph(files: DataFrame, imports: DataFrame, manifests: DataFrame, contents: DataFrame, core: Sequence[str]) -> tuple[DataFrame, DataFrame]:

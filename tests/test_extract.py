@@ -57,4 +57,9 @@ def test_scope_graphs_and_navigation(spark):
     symbols = spark.createDataFrame([("src/a/x.ts::f", "src/a/x.ts")], "id string, file string")
     assert {tuple(r) for r in scopes.navigation(files, imports, symbols, "packages")[1].collect()} == {("src/a", "src/b"), (".", "src/a")}
     assert scopes.navigation(files, imports, symbols, "package", "src/a")[1].count() == 1
-    assert scopes.navigation(files, imports, symbols, "file", "src/a/x.ts")[0].count() == 1
+    assert [scopes.navigation(files, imports, symbols, "file", "src/a/x.ts")[k].count() for k in (0, 1)] == [1, 0]
+    more = symbols.union(spark.createDataFrame([("src/a/x.ts::g", "src/a/x.ts"), ("src/a/x.ts::g", "src/a/x.ts"), ("src/b/z.ts::h", "src/b/z.ts")], "id string, file string"))
+    uses = spark.createDataFrame([("src/a/x.ts::f", "src/a/x.ts::g"), ("src/a/x.ts::f", "src/a/x.ts::g"), ("src/a/x.ts::f", "src/b/z.ts::h"), (None, "src/a/x.ts::g")], "source string, target string")
+    nodes, edges = scopes.navigation(files, imports, more, "file", "src/a/x.ts", uses)
+    assert nodes.count() == 2 and [tuple(r) for r in edges.collect()] == [("src/a/x.ts::f", "src/a/x.ts::g")]
+    assert scopes.navigation(files, imports, more, "file", "nowhere", uses)[1].count() == 0

@@ -19,7 +19,7 @@ def test_locations_ranges_and_schedules(spark):
     assert rows == [("src/a.ts", 12, 12), ("src/a.ts", 3, 3), ("src/a.ts", 4, 9), ("src/a.ts", None, None), ("src/a.ts", None, None), ("src/a.ts", 2, 2)]
     assert [one(spark, R.line_range(F.lit("a\nb\nc"), F.lit(a), F.lit(b))) for a, b in ((2, 3), (0, 1), (2, 99), (5, 6))] == ["b\nc", "a", "b\nc", ""]
     assert [one(spark, R.normalised_cron(F.lit(c))) for c in ("0 * * * *", "0 */30 * * * *")] == ["0 0 * * * *", "0 */30 * * * *"]
-    assert [one(spark, R.compact_count(F.lit(n))) for n in (12, 12400)] == ["12", "12.4k"]
+    assert [one(spark, R.compact_count(F.lit(n))) for n in (12, 1240, 12400)] == ["12", "1.24k", "12.4k"]
     assert one(spark, R.one_decimal(F.lit(0.12345))) == 12.3
 
 

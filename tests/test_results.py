@@ -2,6 +2,9 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from orrery.functions import display as D
 from orrery.operators import catalogue as C
 from orrery.operators import results as R
 from orrery.operators.layering import communities, longest_path_layers
@@ -117,3 +120,14 @@ def test_layers_and_communities_keep_to_their_rounds(spark):
         longest_path_layers(nodes, table(spark, "source string, target string", ("a", "b"), ("b", "a")))
     assert {r["id"]: r["community"] for r in communities(nodes, chain, None).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
     assert {r["id"] for r in communities(nodes, chain.limit(0)).collect()} == set("abcd")
+
+
+def test_bands_versions_and_models(spark):
+    x, y = F.col("x"), F.col("y")
+    rows = table(spark, "k int, x double, y double", (0, 99.0, 1.0), (1, 100.0, 0.0), (2, None, None), (3, math.nan, 60.0), (4, 79.0, 500.0))
+    got = [tuple(r) for r in rows.orderBy("k").select(D.metric_band("coverage", x), D.package_band("coverage", x, y), D.package_band("churn", x, y)).collect()]
+    assert got == [("poor", "healthy", "healthy"), ("healthy", "healthy", "healthy"), ("unknown", "unknown", "unknown"), ("unknown", "unknown", "healthy"), ("poor", "fair", "poor")]
+    names = table(spark, "v array<string>", (["1.9.0", "1.10.0", "x", None, "1.2"],), ([],), (None,))
+    assert [r[0] for r in names.select(D.newest_version(F.col("v"))).collect()] == ["1.10.0", None, None]
+    models = table(spark, "v array<string>", (["gpt", "text-Embedding", "whisper-1"],), ([],))
+    assert [r[0] for r in models.select(D.without_words(F.col("v"), ["embedding", "whisper"])).collect()] == [["gpt"], []]
