@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators.components import connected_components
-from orrery.session import checkpoint, map_arrow, movable
+from orrery.session import checkpoint, dealt, map_arrow, movable
 
 #: Bytes A-Z become a-z; all others stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -127,12 +127,12 @@ def link_fingerprints(fps: DataFrame, max_distance: int = 2, bucket_rows: int =
         raise ValueError("two segments with one deletion cover at most two differing bits")
     variants = _variants(fps)
     shared = variants.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(variants.join(shared, ["kind", "part"]))
+    members = checkpoint(variants.join(dealt(shared), ["kind", "part"]))
 
     small = members.where(F.col("n") <= bucket_rows).select("kind", "part", "fp")
     near = (
         small.withColumnRenamed("fp", "src")
-        .join(small.withColumnRenamed("fp", "dst"), ["kind", "part"])
+        .join(dealt(small.withColumnRenamed("fp", "dst")), ["kind", "part"])
         .where((F.col("src") < F.col("dst")) & (_differing("src", "dst") <= max_distance))
         .select("src", "dst")
     )
@@ -145,7 +145,7 @@ def link_fingerprints(fps: DataFrame, max_distance: int = 2, bucket_rows: int =
     key = ["kind", "part", "sub", "rest"]
     refined = _refined(large)
     leaders = refined.groupBy(*key).agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead < last")
-    star = refined.join(leaders, key).where("fp <> lead").select(F.col("lead").alias("src"), F.col("fp").alias("dst"))
+    star = refined.join(dealt(leaders), key).where("fp <> lead").select(F.col("lead").alias("src"), F.col("fp").alias("dst"))
     return near.unionByName(star).distinct()
 
 
@@ -162,8 +162,8 @@ def simhash_groups(
     rows = checkpoint(fingerprints(docs, id_col, text_col, shingle))
     fps = rows.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     links = link_fingerprints(fps.select("fp"), max_distance, bucket_rows)
-    parts = connected_components(links).join(fps.withColumnRenamed("fp", "node"), "node")
+    parts = connected_components(links).join(dealt(fps.withColumnRenamed("fp", "node")), "node")
     roots = parts.groupBy("component").agg(F.min("first_id").alias("root"))
-    moved = parts.join(roots.select(movable("component"), "root"), "component").select(F.col("node").alias("fp"), "root")
-    final = fps.join(moved, "fp", "left").select(movable("fp"), F.coalesce("root", "first_id").alias("component_id"))
-    return rows.join(final, "fp").select(id_col, "fp", "component_id")
+    moved = parts.join(dealt(roots.select(movable("component"), "root")), "component").select(F.col("node").alias("fp"), "root")
+    final = fps.join(dealt(moved), "fp", "left").select(movable("fp"), F.coalesce("root", "first_id").alias("component_id"))
+    return rows.join(dealt(final), "fp").select(id_col, "fp", "component_id")

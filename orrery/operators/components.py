@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import checkpoint, movable, remove_path, scratch_path, write_table
+from orrery.session import checkpoint, dealt, movable, remove_path, scratch_path, write_table
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -41,8 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         hop = write_table(hop, f"{folder}/hop-{len(hops)}")
         hops.append(hop)
         moved = (
-            live.join(hop.select("a", F.col("to").alias("x")), "a")
-            .join(hop.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+            live.join(dealt(hop.select("a", F.col("to").alias("x"))), "a")
+            .join(dealt(hop.select(F.col("a").alias("b"), F.col("to").alias("y"))), "b")
             .where("x <> y")
         )
         moved = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -51,9 +51,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     label = nodes.select("node", F.xxhash64("node").alias("at"))
     for hop in hops:
         step = hop.select(F.col("a").alias("at"), "to")
-        label = label.join(step.select(movable("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+        label = label.join(dealt(step.select(movable("at"), "to")), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
     # The checkpoint outlives the tables of the rounds; Spark's cleaner removes it.
     label = checkpoint(write_table(label, f"{folder}/label"))
     remove_path(spark, folder)
     lowest = label.groupBy("at").agg(F.min("node").alias("component"))
-    return label.join(lowest.select(movable("at"), "component"), "at").select("node", "component")
+    return label.join(dealt(lowest.select(movable("at"), "component")), "at").select("node", "component")

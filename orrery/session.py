@@ -67,6 +67,15 @@ def movable(name: str) -> Column:
     return F.col(name).bitwiseXOR(F.lit(0)).alias(name)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that deals both sides by key and sends neither to the driver.
+
+    Spark guesses the size of exploded or checkpointed rows from what they were made of, takes
+    a large table for a small one and would broadcast it.
+    """
+    return df.hint("merge")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -116,3 +116,11 @@ def test_similar_groups_find_near_copies_and_leave_others(spark):
         group[r["component_id"]].add(r["doc_id"])
     assert all(len({i // 10 for i in g}) == 1 for g in group.values())
     assert len(group) <= 63
+
+
+def test_links_send_no_table_to_the_driver(spark):
+    """The size of exploded and checkpointed variants is a guess, so they were broadcast however many there were."""
+    fps = spark.range(200).selectExpr("xxhash64(id DIV 2) ^ (id % 2) AS fp")
+    links = simhash.link_fingerprints(fps)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert links.count() == 100
