@@ -21,11 +21,13 @@ SALTS = 32
 def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """``counts(keys, value, n)`` with one row a value, plus ``upto`` and ``total`` of its key.
 
-    The counts are read three times and may come from far, so they are written once.
+    The counts are read three times and may come from far, so they are written once.  So are the
+    cuts: approximate quantiles depend on the order in which parts arrive, and both readers of
+    the ranges must see the same ones.
     """
     counts = checkpoint(counts)
     shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 1000).alias("__cuts"))
+    cuts = checkpoint(counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 1000).alias("__cuts")))
     ranged = counts.join(cuts, list(keys)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     totals = ranged.groupBy(*keys, "__range").agg(F.sum(n).alias("__sum"))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
