@@ -1,9 +1,9 @@
 """Crossings between the layers of a drawing, and orders that have fewer.
 
-Crossings of two layers are inversions: pairs of edges whose ends stand in opposite orders.  They
-are counted bit by bit: two positions differ first in one bit, so an inversion is a pair that
-shares all higher bits, whose earlier row has that bit set and whose later row has not; running
-counts of set bits along one sorted order give them all, and no pairs are formed.
+Crossings of two layers are inversions: pairs of edges whose ends stand in opposite orders.  Rows
+are cut into blocks of one end's order, then of the other's.  Pairs within a block of either kind
+are counted there; the others are pairs of blocks, few rows with weights, counted the same way.
+Every row is dealt twice, and no pairs are formed.
 
 Orders improve in rounds that move every other layer while its neighbours stand still: by the
 mean position of the nodes next to them, then by swaps of neighbours that do not share a
@@ -12,23 +12,92 @@ node.  A round that does not lower the number of crossings is not taken, so it o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from orrery.operators.ranks import scanned
-from orrery.session import checkpoint, remove_path, scratch_path, write_table
-
-
-def inversions(rows: DataFrame) -> DataFrame:
-    """``(key, n)``: pairs of ``rows(key, p, q)`` of one key with ``p < p'`` and ``q > q'``; ``p`` and ``q`` are not negative."""
-    rows = checkpoint(rows.select("key", "p", F.col("q").cast("long").alias("q")))
-    most = rows.agg(F.coalesce(F.max("q"), F.lit(0))).first()[0]
-    bits = F.explode(F.sequence(F.lit(0), F.lit(max(most.bit_length() - 1, 0))))
-    split = rows.withColumn("bit", bits).selectExpr("key", "bit", "shiftright(q, bit + 1) AS high", "p", "q", "shiftright(q, bit) & 1 AS one")
-    run = scanned(split, [F.col(c) for c in ("key", "bit", "high", "p", "q")], sums={"ones": F.col("one")})
-    zero = F.col("one") == 0
-    each = run.groupBy("key", "bit", "high").agg(F.sum(F.when(zero, F.col("ones")).otherwise(0)).alias("s"), F.count_if(zero).alias("z"), F.min(F.col("ones") - F.col("one")).alias("before"))
-    return each.groupBy("key").agg(F.sum(F.col("s") - F.col("z") * F.col("before")).alias("n"))
+from orrery.session import checkpoint, map_arrow, remove_path, scratch_path, write_table
+
+#: Rows that are counted in one task.
+BLOCK_ROWS = 1 << 18
+
+
+def inverted(q: np.ndarray, w: np.ndarray) -> int:
+    """The sum of ``w * w'`` over the pairs of a sequence whose earlier ``q`` is greater, bit by bit of its ranks."""
+    rank, total = np.unique(q, return_inverse=True)[1], 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        # Here the rows stand by their higher bits, otherwise in the order of the sequence.
+        one = w * ((rank >> bit) & 1)
+        ones, starts = np.cumsum(one), np.diff(rank >> (bit + 1), prepend=-1) > 0
+        before = (ones - one)[starts][np.cumsum(starts) - 1]
+        total += int(np.sum(np.where((rank >> bit) & 1, 0, w * (ones - before))))
+        order = np.argsort(rank >> bit, kind="stable")
+        rank, w = rank[order], w[order]
+    return total
+
+
+def _counted(rows: DataFrame, merged: bool) -> DataFrame:
+    """``rows(key, p, q, w, at)`` of one block a task, sorted by the order of pairs then ``q``, and rows ``(key, n)`` with the pairs inside.
+
+    If ``merged``, only the sums of ``w`` by ``(key, p, at)`` are kept of the rows, ``at`` as their ``q``.
+    """
+    fields = to_arrow_schema(rows.schema)
+    made = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
+    schema = T.StructType([*made, T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), fields)
+        if not table.num_rows:
+            return
+        key, p, q, w, at = (table.column(c).combine_chunks() for c in ("key", "p", "q", "w", "at"))
+        places, ps, qs, ws = key.to_numpy(zero_copy_only=False), p.to_numpy(), q.to_numpy(), w.to_numpy()
+        starts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        ends = np.r_[starts[1:], len(places)]
+        pairs = pa.array([inverted(qs[s:e], ws[s:e]) for s, e in zip(starts, ends)], pa.int64())
+        if merged:
+            first = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]) | (ps[1:] != ps[:-1])])
+            key, p, q, at, w = key.take(pa.array(first)), p.take(pa.array(first)), at.take(pa.array(first)), at.take(pa.array(first)), pa.array(np.add.reduceat(ws, first))
+        none = lambda a: pa.nulls(len(starts), a.type)
+        yield from pa.Table.from_arrays([key, p, q, w, at, pa.nulls(len(key), pa.int64())], names=schema.names).to_batches()
+        yield from pa.Table.from_arrays([table.column("key").combine_chunks().take(pa.array(starts)), none(p), none(q), none(w), none(at), pairs], names=schema.names).to_batches()
+
+    return map_arrow(rows, run, schema)
+
+
+def inversions(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(key, n)``: pairs of ``rows(key, p, q)`` of one key with ``p < p'`` and ``q > q'``.
+
+    ``block_rows`` decides how many rows a task holds at once, not the result.
+    """
+    folder = scratch_path(rows.sparkSession, "inversions")
+    cells = rows.select("key", F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q")).groupBy("key", "p", "q").agg(F.count("*").alias("w"))
+    found, k = rows.select("key", F.lit(0).cast("long").alias("n")).limit(0), 0
+    while True:
+        cells = write_table(cells, f"{folder}/cells-{k}")
+        blocks = max(1, -(-cells.count() // block_rows))
+        block = F.spark_partition_id().cast("long").alias("at")
+        # Equal rows are in one block, so those of different blocks are in order by them.
+        ahead = cells.repartitionByRange(blocks, "key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "w", block)
+        ahead = write_table(_counted(ahead, False), f"{folder}/ahead-{k}")
+        found = found.unionByName(ahead.where("n IS NOT NULL").select("key", "n"))
+        if blocks == 1:
+            break
+        # Pairs of different blocks of ``p``: those of one block of ``q`` here, the others as pairs of blocks next.
+        left = ahead.where("n IS NULL").select("key", F.col("at").alias("x"), "p", "q", "w")
+        up = left.repartitionByRange(blocks, "key", "q", "p").sortWithinPartitions("key", "x", "q").select("key", F.col("x").alias("p"), "q", "w", block)
+        up = write_table(_counted(up, True), f"{folder}/up-{k}")
+        found = found.unionByName(up.where("n IS NOT NULL").select("key", "n"))
+        cells = up.where("n IS NULL").groupBy("key", "p", "q").agg(F.sum("w").alias("w"))
+        k += 1
+    out = checkpoint(found.groupBy("key").agg(F.sum("n").alias("n")))
+    remove_path(rows.sparkSession, folder)
+    return out
 
 
 def spans(order: DataFrame, edges: DataFrame) -> DataFrame:

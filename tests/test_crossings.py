@@ -1,6 +1,8 @@
 import random
 
+from orrery import session
 from orrery.operators import crossings as X
+from orrery.operators import ranks
 
 
 def brute(order, edges):
@@ -62,3 +64,37 @@ def test_nothing_to_cross(spark):
     table, links = frames(spark, {"a": (0, 0)}, [])
     assert X.reduce_crossings(table, links)[1] == [0]
     assert X.layer_crossings(table.limit(0), links).collect() == []
+
+
+def test_inversions_in_blocks_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(9 + 300 * k), rng.randrange(40)) for k in (0, 1, 2) for _ in range(250)] + [(2, 5, 7)] * 60 + [(2, 6, 3)] * 60
+    want = {k: sum(p < r and q > s for a, p, q in rows if a == k for b, r, s in rows if b == k) for k in (0, 1, 2)}
+    table = spark.createDataFrame(rows, "key int, p long, q long").repartition(7)
+    for block_rows in (60, 1 << 18):
+        assert {r["key"]: r["n"] for r in X.inversions(table, block_rows).collect()} == want
+    assert X.inversions(table.limit(0)).collect() == []
+
+
+def test_inversions_write_rows_a_few_times_whatever_their_bits(spark, monkeypatch):
+    """Before, every row was written once for each bit of the greatest position."""
+    written = []
+
+    def counted(df, path):
+        out = session.write_table(df, path)
+        written.append(out.count())
+        return out
+
+    def checkpointed(df):
+        out = session.checkpoint(df)
+        written.append(out.count())
+        return out
+
+    for module in (X, ranks):
+        monkeypatch.setattr(module, "checkpoint", checkpointed)
+    monkeypatch.setattr(X, "write_table", counted)
+    rows = spark.range(400).selectExpr("0 AS key", "id AS p", "(id * 7919) % 1000003 AS q")
+    n = X.inversions(rows).collect()[0]["n"]
+    qs = [k * 7919 % 1000003 for k in range(400)]
+    assert n == sum(qs[i] > qs[j] for j in range(400) for i in range(j))
+    assert sum(written) < 4 * 400
