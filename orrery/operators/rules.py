@@ -17,20 +17,26 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(P.basename(path), r"\.[^.]*$", "")
 
 
-def _first_hit(files: DataFrame, names: Sequence[Column]) -> DataFrame:
-    """Paths of ``files`` for which one of the candidate ``names`` is a file, distinct."""
-    wanted = files.select("path", F.explode(F.array(*names)).alias("candidate"))
-    return wanted.join(files.select(F.col("path").alias("candidate")), "candidate", "left_semi").select("path").distinct()
+#: What the companion test of a file adds to its path without an extension.
+COMPANIONS = (".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx", ".test.js", "_test.go", "_test.py")
 
 
 def with_companion_test(files: DataFrame) -> DataFrame:
-    """``files`` plus ``covered``: a test itself, or one of nine companion names exists."""
-    d, s = P.parent_dir(F.col("path")), _stem(F.col("path"))
-    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    names = [join(d, "/", s, end) for end in (".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx", ".test.js", "_test.go", "_test.py")]
-    names += [join("tests/", s, ".rs"), join(d, "/__tests__/", s, ".ts")]
-    found = _first_hit(files, names).withColumn("__found", F.lit(True))
-    covered = P.is_test_path(F.col("path")) | F.coalesce("__found", F.lit(False))
+    """``files`` plus ``covered``: a test itself, or one of nine companion names exists.
+
+    Files that may be companions, few of all, say what they are companions of; a file asks by
+    its own name, twice, and not by all nine.
+    """
+    path = F.col("path")
+    own = F.concat(P.parent_dir(path), F.lit("/"), _stem(path))
+    beside = [F.when(F.endswith(path, F.lit(end)), F.left(path, F.length(path) - len(end))) for end in COMPANIONS]
+    below = F.when(F.regexp_like(path, F.lit(r"(?s)\A.*/__tests__/[^/]*\.ts\z")), F.regexp_replace(path, r"(?s)\A(.*)/__tests__/([^/]*)\.ts\z", "$1/$2"))
+    rust = F.when(F.regexp_like(path, F.lit(r"(?s)\Atests/[^/]*\.rs\z")), F.concat(F.lit("*"), F.regexp_extract(path, r"(?s)\Atests/([^/]*)\.rs\z", 1)))
+    held = files.select(F.explode(F.array_compact(F.array(*[F.concat(F.lit("/"), c) for c in (*beside, below)], rust))).alias("of")).distinct()
+    # A name without its folder stands behind a star, so it is no path of another kind.
+    wanted = files.select("path", F.explode(F.array(F.concat(F.lit("/"), own), F.concat(F.lit("*"), _stem(path)))).alias("of"))
+    found = wanted.join(held, "of", "left_semi").select("path").distinct().withColumn("__found", F.lit(True))
+    covered = P.is_test_path(path) | F.coalesce("__found", F.lit(False))
     return files.join(found, "path", "left").withColumn("covered", covered).drop("__found")
 
 
