@@ -11,6 +11,7 @@ from orrery.functions.paths import round_half_up
 from orrery.operators.ranks import running_counts
 from orrery.operators.ratings import metric_table, peer_scores, weighted_rating
 from orrery.operators.reports import stored_items
+from orrery.session import checkpoint
 from orrery.sources.tree import persist_result
 
 #: Bounds of the bands of a file's size percentile.
@@ -83,20 +84,28 @@ def persist_tables(result: Mapping[str, DataFrame], folder: str, project: str) -
     return {name: f"{folder}/{name}" for name in kept}
 
 
+def _by_value(path: str, values: DataFrame) -> DataFrame:
+    """``(metric, value, n, mine)``: how many of ``values(id, metric, value)`` there are, and whether ``path`` has one of them; written once, as it is read twice."""
+    mine = F.coalesce(F.max(F.col("id") == path), F.lit(False))
+    return checkpoint(values.groupBy("metric", "value").agg(F.count("*").alias("n"), mine.alias("mine")))
+
+
 def rating_of(path: str, files: DataFrame, packages: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """``(id, rating)`` of one path among its peers: a file's if there is one of that name, else a package's, else no row.
 
     ``files(id, metric, value)`` and ``packages(id, metric, value)``; packages come with the
     statistic that the view shows.  Only metrics that the path has a value of are ranked, and
-    peers are only counted: one aggregation a metric, no ranks of all.
+    peers are only counted, by value: one pass over them, no ranks of all.
     """
     metrics = metric_table(files.sparkSession) if metrics is None else metrics
-    peers = packages if files.where(F.col("id") == path).isEmpty() else files
-    peers = peers.where("value IS NOT NULL")
-    own = peers.where(F.col("id") == path).groupBy("metric").agg(F.max("value").alias("own"))
-    met = peers.join(F.broadcast(own), "metric").join(F.broadcast(metrics), "metric")  # at most a row a metric
+    counts = _by_value(path, files)
+    if counts.where("mine").isEmpty():
+        counts = _by_value(path, packages)
+    counts = counts.where("value IS NOT NULL")
+    own = counts.where("mine").groupBy("metric").agg(F.max("value").alias("own"))
+    met = counts.join(F.broadcast(own), "metric").join(F.broadcast(metrics), "metric")  # at most a row a metric
     no_better = F.when(F.col("direction") == "lower", F.col("value") >= F.col("own")).otherwise(F.col("value") <= F.col("own"))
-    shares = met.groupBy("metric", "weight").agg(round_half_up(100.0 * F.count_if(no_better) / F.count("*")).alias("score"))
+    shares = met.groupBy("metric", "weight").agg(round_half_up(100.0 * F.sum(F.when(no_better, F.col("n")).otherwise(0)) / F.sum("n")).alias("score"))
     return weighted_rating(shares.withColumn("id", F.lit(path)))
 
 

@@ -131,3 +131,18 @@ def test_bands_versions_and_models(spark):
     assert [r[0] for r in names.select(D.newest_version(F.col("v"))).collect()] == ["1.10.0", None, None]
     models = table(spark, "v array<string>", (["gpt", "text-Embedding", "whisper-1"],), ([],))
     assert [r[0] for r in models.select(D.without_words(F.col("v"), ["embedding", "whisper"])).collect()] == [["gpt"], []]
+
+
+def test_a_rating_reads_its_peers_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "id string, metric string, value double"
+    files = table(spark, schema, *[(f"f{k}", "abc", float(k)) for k in range(10)]).mapInArrow(counted, schema)
+    packages = table(spark, schema, ("p", "abc", 1.0))
+    assert R.rating_of("f0", files, packages).first()["rating"] == 100
+    assert seen.value == 10
