@@ -7,11 +7,13 @@ treats accented letters as word characters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.paths import once
+
 #: Marker words of stale decisions, hash-comment extensions, size limits.
 STALE_MARKERS = ("TODO", "FIXME", "HACK", "XXX", "DEPRECATED", "STALE")
 HASH_COMMENT_EXTENSIONS = r"(?i)\.(py|rb|sh|bash|yaml|yml|toml|pl)$"
@@ -30,8 +32,17 @@ NO_CALLS = (
 PARTS = r"""/\*(?s:.*?)(?:\*/|\z)|//[^\n]*|#[^\n]*|'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+(?:'|\\?\z)|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\\?\z)|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+(?:`|\\?\z)|[^/#'"`]+|/"""
 SYMBOLS = r"===|!==|\.\.\.|=>|\+\+|--|&&|\|\||\?\?|\+=|-=|\*=|/=|%=|&=|\|=|\^=|==|!=|<=|>=|<<|>>|\*\*|::|[-+*/%&|^~!<>=?:;,.(){}\[\]]"
 TOKENS = SYMBOLS + r"|[0-9][0-9.]*|[A-Za-z_$][A-Za-z0-9_$]*"
+#: ``TOKENS`` and the two below as the queries use them: the same matches, but a place where none starts fails at one class of characters.
+SCANNED_TOKENS = r"[A-Za-z_$][A-Za-z0-9_$]*+|[0-9][0-9.]*+|[,;(){}\[\]~]|(?=[-!%&*+./:<=>?^|])(?:" + SYMBOLS + ")"
 ASSIGNMENTS = r"===|!==|==|=>|!=|<=|>=|:=|[-+*/%|&^]=|="
+SCANNED_ASSIGNMENTS = f"(?=[-!%&*+/:<=>^|])(?:{ASSIGNMENTS})"
 CALLS = r"[A-Za-z_$][A-Za-z0-9_$]*\s*\("
+SCANNED_CALLS = r"(?=[A-Za-z_$])(?<![A-Za-z_$])([A-Za-z_$][A-Za-z0-9_$]*+)\s*+\("
+#: Fixed value: every token that ``SYMBOLS`` matches.
+SYMBOL_TOKENS = (
+    "===", "!==", "...", "=>", "++", "--", "&&", "||", "??", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "==", "!=", "<=", ">=", "<<", ">>", "**", "::",
+    *"-+*/%&|^~!<>=?:;,.(){}[]",
+)
 
 
 def lines_of(text: Column) -> Column:
@@ -48,11 +59,6 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once a row, also where ``use`` holds it in another function."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def strip_noise(text: Column) -> Column:
     """Comments out, literals to `` str ``; an unterminated one reaches the end of the text."""
     parts = F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))
@@ -79,12 +85,18 @@ def text_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def literal_count(text: Column, part: str) -> Column:
+    """How often ``part``, one or two ASCII characters, stands in a text without overlap."""
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    return (gone if len(part) == 1 else F.shiftright(gone, 1)).cast("long")
+
+
 #: Words that decide, that jump, and that test.
 DECIDE = ("if", "elif", "for", "while", "case", "catch", "switch")
 JUMP = ("return", "goto", "throw", "raise")
 TEST = ("if", "elif", "case", "while", "for", "catch", "except")
-KEYWORDS = "(?i)(?<![A-Za-z0-9_])(" + "|".join(sorted({*DECIDE, *JUMP, *TEST})) + ")(?![A-Za-z0-9_])"
-MARKS = r"&&|\|\||\?"
+#: A place is tried only where some word may start.
+KEYWORDS = "(?=[CEFGIRSTWcefgirstw])(?<![A-Za-z0-9_])(?i:(" + "|".join(sorted({*DECIDE, *JUMP, *TEST})) + "))(?![A-Za-z0-9_])"
 
 
 def keywords(code: Column) -> Column:
@@ -96,29 +108,35 @@ def _among(words: Column, names: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*names))).cast("long")
 
 
+def _marks(code: Column) -> Column:
+    return literal_count(code, "&&") + literal_count(code, "||") + literal_count(code, "?")
+
+
 def cyclomatic(code: Column, words: Column | None = None) -> Column:
     """One plus the decision points of stripped text; ``else if`` counts twice by definition."""
     found = keywords(code) if words is None else words
-    return (_among(found, DECIDE) + text_count(code, r"else[ \t]if") + text_count(code, MARKS) + 1).cast("double")
+    return (_among(found, DECIDE) + text_count(code, r"else[ \t]if") + _marks(code) + 1).cast("double")
 
 
 def halstead_tokens(code: Column) -> Column:
     """Operators and operands of stripped text in order; operator words are lower-cased."""
-    tokens = F.regexp_extract_all(code, F.lit(TOKENS), F.lit(0))
+    tokens = F.regexp_extract_all(code, F.lit(SCANNED_TOKENS), F.lit(0))
     return F.transform(tokens, lambda t: F.when(F.lower(t).isin(*OPERATOR_WORDS), F.lower(t)).otherwise(t))
 
 
 def halstead(tokens: Column) -> Column:
-    """Struct (n1, n2, t1, t2): distinct and total operators and operands, each at least 1."""
-    is_operator = lambda t: ~F.regexp_like(t, F.lit("^[A-Za-z_$0-9]")) | t.isin(*OPERATOR_WORDS)
-    operators, operands = F.filter(tokens, is_operator), F.filter(tokens, lambda t: ~is_operator(t))
+    """Struct (n1, n2, t1, t2): distinct and total operators and operands, each at least 1.
+
+    A token is one or the other by its text, so operands are what the operators leave.
+    """
+    operators = lambda c: F.size(F.filter(c, lambda t: t.isin(*SYMBOL_TOKENS, *OPERATOR_WORDS)))
     at_least_one = lambda c: F.greatest(c, F.lit(1)).cast("long")
-    return F.struct(
-        at_least_one(F.size(F.array_distinct(operators))).alias("n1"),
-        at_least_one(F.size(F.array_distinct(operands))).alias("n2"),
-        at_least_one(F.size(operators)).alias("t1"),
-        at_least_one(F.size(operands)).alias("t2"),
-    )
+
+    def counted(both: Column) -> Column:
+        n, n1, t, t1 = F.size(both["kinds"]), operators(both["kinds"]), F.size(both["all"]), operators(both["all"])
+        return F.struct(at_least_one(n1).alias("n1"), at_least_one(n - n1).alias("n2"), at_least_one(t1).alias("t1"), at_least_one(t - t1).alias("t2"))
+
+    return counted(F.struct(F.array_distinct(tokens).alias("kinds"), tokens.alias("all")))
 
 
 def volume(h: Column) -> Column:
@@ -137,10 +155,10 @@ def maintainability(v: Column, cc: Column, loc: Column) -> Column:
 def abc(code: Column, words: Column | None = None) -> Column:
     """Struct (assignments, branches, conditions) of stripped text."""
     found = keywords(code) if words is None else words
-    assigned = F.filter(F.regexp_extract_all(code, F.lit(ASSIGNMENTS), F.lit(0)), lambda t: t.isin("=", "+=", "-=", "*=", "/=", "%=", "|=", "&=", "^="))
-    called = F.filter(F.regexp_extract_all(code, F.lit(CALLS), F.lit(0)), lambda t: ~F.lower(F.regexp_replace(t, r"\s*\($", "")).isin(*NO_CALLS))
+    assigned = F.filter(F.regexp_extract_all(code, F.lit(SCANNED_ASSIGNMENTS), F.lit(0)), lambda t: t.isin("=", "+=", "-=", "*=", "/=", "%=", "|=", "&=", "^="))
+    called = F.filter(F.regexp_extract_all(code, F.lit(SCANNED_CALLS), F.lit(1)), lambda t: ~F.lower(t).isin(*NO_CALLS))
     return F.struct(
-        F.size(assigned).cast("long").alias("a"), (_among(found, JUMP) + F.size(called)).alias("b"), (_among(found, TEST) + text_count(code, MARKS)).alias("c")
+        F.size(assigned).cast("long").alias("a"), (_among(found, JUMP) + F.size(called)).alias("b"), (_among(found, TEST) + _marks(code)).alias("c")
     )
 
 
@@ -155,10 +173,10 @@ def cognitive(code: Column) -> Column:
         nest = acc["nest"]
         control = F.regexp_like(t, F.lit(r"(?i)(?<![A-Za-z0-9_])(if|for|while|switch|catch|except|elif)(?![A-Za-z0-9_])")) | F.contains(t, F.lit("else if"))
         only_else = F.regexp_like(t, F.lit(r"(?i)(?<![A-Za-z0-9_])else(?![A-Za-z0-9_])")) & ~F.contains(t, F.lit("else if"))
-        logical = text_count(t, r"&&") + text_count(t, r"\|\|") + text_count(t, r"\?\?")
-        ternary = F.when(F.contains(t, F.lit("?:")), F.lit(0).cast("long")).otherwise(text_count(t, r"\?"))
+        logical = literal_count(t, "&&") + literal_count(t, "||") + literal_count(t, "??")
+        ternary = F.when(F.contains(t, F.lit("?:")), F.lit(0).cast("long")).otherwise(literal_count(t, "?"))
         cost = F.when(control, nest + 1).when(only_else, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        depth = F.greatest(nest + text_count(t, r"\{") - text_count(t, r"\}"), F.lit(0).cast("long"))
+        depth = F.greatest(nest + literal_count(t, "{") - literal_count(t, "}"), F.lit(0).cast("long"))
         return F.struct((acc["score"] + cost + logical + ternary * (nest + 1)).alias("score"), depth.alias("nest"))
 
     zero = F.struct(F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("nest"))
@@ -177,7 +195,7 @@ def inheritance_depth(code: Column) -> Column:
 
 def line_breakdown(text: Column, path: Column) -> Column:
     """Struct (loc, nloc, cloc, blank, stale); block comments are followed across lines."""
-    is_stale = lambda t: F.regexp_like(t, F.lit("(?i)" + "|".join(STALE_MARKERS)))
+    is_stale = lambda t: F.regexp_like(t, F.lit("(?=[TFHXDStfhxds])(?i:" + "|".join(STALE_MARKERS) + ")"))
 
     def step(acc: Column, t: Column, hashes: Column) -> Column:
         empty, opens, closes = t == "", F.contains(t, F.lit("/*")), F.contains(t, F.lit("*/"))
@@ -221,8 +239,14 @@ def cohesion(symbols: Column, components: Column) -> Column:
     return F.when(symbols <= 1, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), 100.0 * (1.0 - (c - 1) / (symbols - 1))))
 
 
-def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "loc", guard: bool = True) -> DataFrame:
-    """``files`` plus ``m``: struct (cc, cog, vol, diff, mi, a, b, c, mag, dit).
+#: Fixed value: the fields of the classic metrics.
+CLASSIC = ("cc", "cog", "vol", "diff", "mi", "a", "b", "c", "mag", "dit")
+
+
+def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "loc", guard: bool = True, fields: Sequence[str] = CLASSIC) -> DataFrame:
+    """``files`` plus ``m``: struct (cc, cog, vol, diff, mi, a, b, c, mag, dit), or those of ``fields``.
+
+    Spark makes every field of a struct, also those that nobody reads.
 
     With ``guard`` texts beyond ``FULL_BYTES`` or ``FULL_LINES`` are approximated from their lines, as
     a viewer that must answer at once does; without it whole texts are measured.  Stripped text and
@@ -240,10 +264,8 @@ def with_classic_metrics(files: DataFrame, text: str = "content", loc: str = "lo
     large = (F.octet_length(text) > FULL_BYTES) | (F.col(loc) > FULL_LINES)
 
     def pack(cc: Column, cog: Column, vol: Column, diff: Column, x: Column, dit: Column) -> Column:
-        return F.struct(
-            cc.alias("cc"), cog.alias("cog"), vol.alias("vol"), diff.alias("diff"), maintainability(vol, cc, n).alias("mi"),
-            x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c"), magnitude(x).alias("mag"), dit.alias("dit"),
-        )
+        made = (cc, cog, vol, diff, maintainability(vol, cc, n), x["a"], x["b"], x["c"], magnitude(x), dit)
+        return F.struct(*[value.alias(name) for name, value in zip(CLASSIC, made, strict=True) if name in fields])
 
     exact = pack(F.col("__cc"), F.col("__cog"), volume(F.col("__h")), difficulty(F.col("__h")), F.col("__x"), F.col("__dit"))
     guess = pack(size_cc, clamp(n / 20.0, 1.0, 250.0), size_vol, F.greatest(size_cc / 4.0, F.lit(1.0)), rough, F.lit(0.0))

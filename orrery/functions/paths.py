@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ LANGUAGES = {"typescript": ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs"
 TEST_NAMES = r"\.test\.|\.spec\.|_test\.(go|rs|py)$|^test_"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, also where ``use`` holds it in another function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -45,17 +52,17 @@ def normalize_rel(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """The lower-cased extension; null for dotfiles and names without a dot."""
-    found = F.regexp_extract(basename(path), r"^[^.].*\.([^.]+)$|^[^.]+\.([^.]+)$", 1)
-    alone = F.regexp_extract(basename(path), r"^[^.]+\.([^.]+)$", 1)
-    return F.nullif(F.lower(F.when(alone != "", alone).otherwise(found)), F.lit(""))
+
+    def of(name: Column) -> Column:
+        long = F.regexp_extract(name, r"^[^.].*\.([^.]+)$|^[^.]+\.([^.]+)$", 1)
+        return once(F.regexp_extract(name, r"^[^.]+\.([^.]+)$", 1), lambda alone: F.lower(F.when(alone != "", alone).otherwise(long)))
+
+    return once(once(basename(path), of), lambda found: F.nullif(found, F.lit("")))
 
 
 def language_of(path: Column) -> Column:
-    ext = extension(path)
-    named = F.lit("other")
-    for language, exts in reversed(LANGUAGES.items()):
-        named = F.when(ext.isin(*exts), F.lit(language)).otherwise(named)
-    return F.when(ext.isNotNull(), named)
+    known = F.create_map(*[F.lit(x) for language, exts in LANGUAGES.items() for ext in exts for x in (ext, language)])
+    return once(extension(path), lambda ext: F.when(ext.isNotNull(), F.coalesce(F.element_at(known, ext), F.lit("other"))))
 
 
 def is_test_path(path: Column) -> Column:

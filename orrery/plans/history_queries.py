@@ -76,7 +76,7 @@ scored AS (SELECT path, metric, weight, floor(100.0 * CASE WHEN direction = 'low
 
 
 def peer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = M.with_classic_metrics(code_files(spark, sf_dir).withColumn("n", F.size(M.lines_of(F.col("content")))), loc="n", guard=False)
+    files = M.with_classic_metrics(code_files(spark, sf_dir).withColumn("n", F.size(M.lines_of(F.col("content")))), loc="n", guard=False, fields=("cc", "mag", "vol", "mi"))
     wide = files.select(
         F.col("path").alias("id"), F.col("m.cc").alias("complexity"), F.round("m.mag", 6).alias("abc"), F.round("m.vol", 6).alias("halstead"),
         F.round("m.mi", 6).alias("maintainability"), F.col("n").cast("double").alias("size"),

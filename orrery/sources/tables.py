@@ -49,7 +49,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(o_orderkey, o_custkey, path, package, content)``, one file per order."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(CODE_LINE).alias("line"))
-    whole = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("ls"))
+    whole = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "line"))).alias("ls"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr(CODE_PATH).alias("path"), F.expr(CODE_PACKAGE).alias("package"))
     content = F.array_join(F.transform("ls", lambda s: s["line"]), "\n").alias("content")
     return orders.join(whole, orders.o_orderkey == whole.l_orderkey).select("o_orderkey", "o_custkey", "path", "package", content)

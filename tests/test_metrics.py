@@ -110,3 +110,23 @@ def test_path_rewrites(spark):
     assert one(P.ancestors(F.lit("a/b/c"))) == ["a/b", "a"]
     assert [one(P.immediate_child(F.lit(p), F.lit(s))) for p, s in (("a/b/c", "a"), ("a/b/c", "."), ("x", "."), ("ab/c", "a"))] == ["a/b", "a", None, None]
     assert 0 <= one(P.palette_index(F.lit("src/engine/graph.ts"))) < 15
+
+
+def test_scanning_rules_find_what_the_plain_ones_find(spark):
+    odd = ["", "a1.b(x)...y 1.2.3abc( $if$ = 0x1F", "x<<=y**=z>>>w ===a!==b=>c:=d?.e??f", "if(a)elif b;_if $if for1 1for while\tELSE IF else\tif Switch", "f  (g(h\n(i))) 1f( $ ($1a (é( aé(", "~^=|=&=%=/=*=-=+=--++::,;{}[]@\\", "return(x) new Y() Catch (e) def g("]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    every = lambda rule, group=0: F.regexp_extract_all(F.col("t"), F.lit(rule), F.lit(group))
+    words = r"(?i)(?<![A-Za-z0-9_])(" + "|".join(sorted({*M.DECIDE, *M.JUMP, *M.TEST})) + ")(?![A-Za-z0-9_])"
+    plain = [every(M.TOKENS), every(M.ASSIGNMENTS), F.transform(every(M.CALLS), lambda c: F.regexp_replace(c, r"\s*\($", "")), F.transform(every(words, 1), F.lower)]
+    scanned = [every(M.SCANNED_TOKENS), every(M.SCANNED_ASSIGNMENTS), every(M.SCANNED_CALLS, 1), M.keywords(F.col("t"))]
+    for row in df.select(F.array(*plain).alias("plain"), F.array(*scanned).alias("scanned")).collect():
+        assert row["plain"] == row["scanned"]
+    signs = df.select(*[(M.literal_count(F.col("t"), p) == F.regexp_count("t", F.lit(rule))).alias(p) for p, rule in (("&&", "&&"), ("||", r"\|\|"), ("?", r"\?"), ("??", r"\?\?"), ("{", r"\{"))])
+    assert all(all(r) for r in signs.collect())
+
+
+def test_metrics_that_nobody_reads_are_not_made(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["code_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and "except|elif" not in plan  # the fold over lines of the cognitive metric
