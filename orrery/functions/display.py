@@ -78,8 +78,8 @@ def shows_languages(languages: Column, flags: Mapping[str, bool]) -> Column:
 
 def tool_language(path: Column, tool: str) -> Column:
     """Language that the linters (``lint``) or language servers (``lsp``) see in a file; linters know no Java."""
-    found = P.language_of(path)
-    return F.when(found.isin("typescript", "rust", "python", "go", *(["java"] if tool == "lsp" else [])), found)
+    seen = ("typescript", "rust", "python", "go", *(["java"] if tool == "lsp" else []))
+    return P.once(P.language_of(path), lambda found: F.when(found.isin(*seen), found))
 
 
 def affected_entry(raw: Column) -> Column:

@@ -50,3 +50,15 @@ def test_verdicts_of_linters(spark):
         "linter:g": ("G (x)", "fail", "1 error(s), 0 warning(s), 0 info — level ≥ warning", []),
     }
     assert linters.linter_verdicts(spark.createDataFrame([], SETTINGS), spark.createDataFrame(found, FOUND)).collect() == []
+
+
+def test_an_extension_is_looked_up_once(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.functions.display import tool_language
+
+    rows = spark.createDataFrame([(p,) for p in ("a/b.TS", "x.tar.gz", ".py", "a.b/c", "Main.java", "m.pyi", "r.rs", "s", None)], "path string")
+    found = rows.select(tool_language(F.col("path"), "lint").alias("lint"), tool_language(F.col("path"), "lsp").alias("lsp"))
+    assert [tuple(r) for r in found.collect()] == [("typescript", "typescript"), (None, None), (None, None), (None, None), (None, "java"), ("python", "python"), ("rust", "rust"), (None, None), (None, None)]
+    plan = rows.select(tool_language(F.col("path"), "lint"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") < 10
