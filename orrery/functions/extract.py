@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.metrics import lines_of, trimmed
-from orrery.functions.paths import language_of, normalize_path, parent_dir
+from orrery.functions.paths import language_of, normalize_path, once, parent_dir
 
 #: What a bare import may be called on disk, in order.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".rs", ".py", ".go", ".java", "/mod.rs", "/index.ts", "/index.tsx", "/index.js")
@@ -37,6 +37,7 @@ def imports_of(line: Column, language: Column) -> Column:
     """Import names of one trimmed line; dots of Python and Java names become slashes."""
     slashed = lambda names: F.transform(names, lambda n: F.replace(n, F.lit("."), F.lit("/")))
     ts = F.concat(_all(F.concat(F.lit(" "), line), TS_FROM), _all(line, TS_BARE), _all(line, TS_CALL))
+    ts = F.when(F.contains(line, F.lit("from")) | F.contains(line, F.lit("import")), ts).otherwise(F.array().cast("array<string>"))
     rust = F.transform(F.concat(_all(line, RUST_USE), _all(line, RUST_MOD)), lambda n: F.trim(n))
     python = F.filter(slashed(F.concat(_all(line, PY_IMPORT), _all(line, PY_FROM))), lambda n: n != "/")
     java = slashed(F.concat(_all(line, JAVA_STATIC), _all(line, JAVA_IMPORT)))
@@ -50,8 +51,8 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return found.where("spec <> ''").distinct()
 
 
-def candidates(path: Column, spec: Column, package: Column) -> Column:
-    """Paths that an import may mean, best first."""
+def bases(path: Column, spec: Column, package: Column) -> Column:
+    """Paths that an import may mean, without what ``SUFFIXES`` add, best first."""
     here = parent_dir(path)
     above = parent_dir(here)
     tail = lambda head: F.replace(F.regexp_replace(spec, f"^{head}(::)?", ""), F.lit("::"), F.lit("/"))
@@ -62,9 +63,21 @@ def candidates(path: Column, spec: Column, package: Column) -> Column:
     crate = F.when(F.regexp_like(spec, F.lit("^crate(::|$)")), F.concat(package_src, F.lit("/"), tail("crate")))
     outer = F.when(F.regexp_like(spec, F.lit("^super(::|$)")), F.when(tail("super") == "", F.when(above == ".", here).otherwise(above)).otherwise(in_source(above, tail("super"))))
     slashed = F.replace(spec, F.lit("\\"), F.lit("/"))
-    bases = F.array_compact(F.array(relative, own, crate, outer, *[F.concat(F.lit(r), slashed) for r in ROOTS]))
+    found = F.array_compact(F.array(relative, own, crate, outer, *[F.concat(F.lit(r), slashed) for r in ROOTS]))
+    return F.transform(found, lambda b: F.regexp_replace(b, "/+$", ""))
+
+
+def candidates(path: Column, spec: Column, package: Column) -> Column:
+    """Paths that an import may mean, best first."""
     endings = F.array(*map(F.lit, SUFFIXES))
-    return F.flatten(F.transform(bases, lambda b: F.transform(endings, lambda e: F.concat(F.regexp_replace(b, "/+$", ""), e))))
+    return F.flatten(F.transform(bases(path, spec, package), lambda b: F.transform(endings, lambda e: F.concat(b, e))))
+
+
+def stems(files: DataFrame) -> DataFrame:
+    """``(target, suffix, base)``: what stands before each of ``SUFFIXES``, by its number, that ``files(target)`` end with."""
+    target = F.col("target")
+    ends = [F.when(F.endswith(target, F.lit(e)), F.struct(F.lit(k).alias("suffix"), F.left(target, F.length(target) - len(e)).alias("base"))) for k, e in enumerate(SUFFIXES)]
+    return files.select("target", F.explode(F.array_compact(F.array(*ends))).alias("s")).select("target", "s.*")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -74,9 +87,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     that ends in the import as a Java path.  Both steps are equi-joins on exploded names.
     """
     owned = imports.join(files.select("path", "package"), "path").withColumn("at", F.xxhash64("path", "spec"))
-    tried = owned.select("path", "spec", F.posexplode(candidates(F.col("path"), F.col("spec"), F.col("package"))).alias("ord", "target"))
+    # A file has two or three suffixes; an import with all its suffixes would be thirteen times the rows.
+    tried = owned.select("path", "spec", F.posexplode(bases(F.col("path"), F.col("spec"), F.col("package"))).alias("ord", "base"))
     known = files.select(F.col("path").alias("target")).distinct()
-    direct = tried.join(known, "target").groupBy("path", "spec").agg(F.min_by("target", "ord").alias("target"))
+    direct = tried.join(stems(known), "base").groupBy("path", "spec").agg(F.min_by("target", F.struct("ord", "suffix")).alias("target"))
     rest = imports.join(direct.select("path", "spec"), ["path", "spec"], "left_anti")
     java = rest.withColumn("suffix", F.concat(F.regexp_replace(F.replace("spec", F.lit("\\"), F.lit("/")), "^/+", ""), F.lit(".java")))
     parts = F.split("target", "/")
@@ -92,17 +106,16 @@ def symbol_of(line: Column, language: Column) -> Column:
     """Struct (kind, label) of a declaration on a trimmed line; null otherwise."""
     rule = lambda r: F.struct(F.regexp_extract(line, r, 1).alias("kind"), F.regexp_extract(line, r, 2).alias("label"))
     found = F.when(language == "rust", rule(RUST_SYMBOL)).when(language == "python", rule(PY_SYMBOL)).when(language == "java", rule(JAVA_SYMBOL)).otherwise(rule(TS_SYMBOL))
-    kind = found["kind"]
-    for word, name in KINDS.items():
-        kind = F.when(found["kind"] == word, F.lit(name)).otherwise(kind)
-    return F.when(found["label"] != "", F.struct(kind.alias("kind"), found["label"].alias("label")))
+    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return once(found, lambda f: F.when(f["label"] != "", F.struct(F.coalesce(F.element_at(names, f["kind"]), f["kind"]).alias("kind"), f["label"].alias("label"))))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
     """``(id, label, kind, file, line)``; ids repeat where a file repeats a name."""
-    lines = files.select("path", language_of(F.col("path")).alias("language"), F.posexplode(lines_of(F.col("content"))).alias("pos", "line"))
-    found = lines.withColumn("s", symbol_of(trimmed(F.col("line")), F.col("language"))).where("s IS NOT NULL")
-    return found.select(F.concat("path", F.lit("::"), "s.label").alias("id"), "s.label", "s.kind", F.col("path").alias("file"), (F.col("pos") + 1).alias("line"))
+    lines = files.select("path", language_of(F.col("path")).alias("language"), lines_of(F.col("content")).alias("ls"))
+    marked = F.transform("ls", lambda line, i: F.struct((i + 1).alias("line"), symbol_of(trimmed(line), F.col("language")).alias("s")))
+    found = lines.select("path", F.explode(F.filter(marked, lambda x: x["s"].isNotNull())).alias("x")).select("path", "x.*")
+    return found.select(F.concat("path", F.lit("::"), "s.label").alias("id"), "s.label", "s.kind", F.col("path").alias("file"), "line")
 
 
 def symbol_edges(files: DataFrame, max_symbols: int = 128, max_body: int = 400) -> DataFrame:

@@ -63,3 +63,23 @@ def test_scope_graphs_and_navigation(spark):
     nodes, edges = scopes.navigation(files, imports, more, "file", "src/a/x.ts", uses)
     assert nodes.count() == 2 and [tuple(r) for r in edges.collect()] == [("src/a/x.ts::f", "src/a/x.ts::g")]
     assert scopes.navigation(files, imports, more, "file", "nowhere", uses)[1].count() == 0
+
+
+def test_an_import_is_tried_without_its_suffixes(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.functions import extract as X
+
+    names = ["a/b.ts", "a/b/index.ts", "src/a/b.js", "x/mod.rs", "a/b", "index.ts", "p/q.tsx"]
+    files = spark.createDataFrame([(n,) for n in names], "target string")
+    held = {(r["base"] + X.SUFFIXES[r["suffix"]], r["target"]) for r in X.stems(files).collect()}
+    assert {t for _, t in held} == set(names) and all(a == b for a, b in held)
+    imports = spark.createDataFrame([("a/c.ts", "./b"), ("a/c.ts", "a/b/"), ("m.rs", "x"), ("m.rs", "crate::a::b"), ("o.ts", "p/q"), ("o.ts", "none"), ("o.ts", "")], "path string, spec string")
+    package = spark.createDataFrame([(n, ".") for n in [*names, "a/c.ts", "m.rs", "o.ts"]], "path string, package string")
+    found = {(r["source"], r["target"]) for r in X.resolve_imports(imports, package).collect()}
+    tried = imports.join(package, "path").select("path", F.posexplode(X.candidates(F.col("path"), F.col("spec"), F.col("package"))).alias("ord", "target"), "spec")
+    best = {}
+    for r in sorted(tried.collect(), key=lambda r: r["ord"]):
+        if r["target"] in [*names, "a/c.ts", "m.rs", "o.ts"]:
+            best.setdefault((r["path"], r["spec"]), r["target"])
+    assert found == {(p, t) for (p, _), t in best.items() if p != t} and len(found) >= 4
