@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.paths import ancestors, basename, package_label
+from orrery.functions.paths import ancestors, basename, once, package_label
 from orrery.operators.graph import MAX_ELEMENTS, degrees
 from orrery.operators.views import manifest_edges, mention_edges
 
@@ -20,11 +20,16 @@ def package_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
     return imports.join(a, "source").join(b, "target").where("sp <> tp").select(F.col("sp").alias("source"), F.col("tp").alias("target")).distinct()
 
 
+def _chain_of(path: str) -> Column:
+    """Structs (scope, child, leaf) of every folder above the path in column ``path``."""
+    chain = F.concat(F.array(path), ancestors(F.col(path)), F.array(F.lit(".")))
+    steps = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(F.get(c, i).alias("scope"), F.get(c, i - 1).alias("child"), (i == 1).alias("leaf")))
+    return once(chain, steps)
+
+
 def _steps(files: DataFrame) -> DataFrame:
     """``(path, loc, scope, child, kind)``: every folder above a file, and what stands for the file in it."""
-    chain = F.concat(F.array("path"), ancestors(F.col("path")), F.array(F.lit(".")))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(chain) - 1), lambda i: F.struct(F.get(chain, i).alias("scope"), F.get(chain, i - 1).alias("child"), (i == 1).alias("leaf")))
-    return files.select("path", "loc", F.explode(pairs).alias("s")).select("path", "loc", "s.scope", "s.child", F.when(F.col("s.leaf"), "file").otherwise("package").alias("kind"))
+    return files.select("path", "loc", F.explode(_chain_of("path")).alias("s")).select("path", "loc", "s.scope", "s.child", F.when(F.col("s.leaf"), "file").otherwise("package").alias("kind"))
 
 
 def scope_nodes(files: DataFrame) -> DataFrame:
@@ -34,12 +39,20 @@ def scope_nodes(files: DataFrame) -> DataFrame:
 
 
 def scope_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """``(scope, source, target)``: imports between different children of a folder."""
-    steps = _steps(files)
-    a = steps.select(F.col("path").alias("source"), "scope", F.col("child").alias("sc"))
-    b = steps.select(F.col("path").alias("target"), "scope", F.col("child").alias("tc"))
-    met = imports.join(a, "source").join(b, ["target", "scope"]).where("sc <> tc")
-    return met.select("scope", F.col("sc").alias("source"), F.col("tc").alias("target")).distinct()
+    """``(scope, source, target)``: imports between different children of a folder.
+
+    The folders above both ends meet in the import's row; files are only asked whether they are there.
+    """
+    paths = files.select("path")
+    known = imports.select("source", "target").join(paths.toDF("source"), "source", "left_semi").join(paths.toDF("target"), "target", "left_semi")
+
+    def met(ends: Column) -> Column:
+        apart = lambda x: F.filter(ends["b"], lambda y: (y["scope"] == x["scope"]) & (y["child"] != x["child"]))
+        edge = lambda x: F.transform(apart(x), lambda y: F.struct(x["scope"].alias("scope"), x["child"].alias("source"), y["child"].alias("target")))
+        return F.flatten(F.transform(ends["a"], edge))
+
+    both = F.struct(_chain_of("source").alias("a"), _chain_of("target").alias("b"))
+    return known.select(F.explode(once(both, met)).alias("s")).select("s.*").distinct()
 
 
 def scope_peers(files: DataFrame, imports: DataFrame) -> DataFrame:

@@ -83,3 +83,15 @@ def test_an_import_is_tried_without_its_suffixes(spark):
         if r["target"] in [*names, "a/c.ts", "m.rs", "o.ts"]:
             best.setdefault((r["path"], r["spec"]), r["target"])
     assert found == {(p, t) for (p, _), t in best.items() if p != t} and len(found) >= 4
+
+
+def test_folders_of_both_ends_meet_in_the_row(spark):
+    from orrery.operators.scopes import scope_edges
+
+    files = spark.createDataFrame([(p, 1) for p in ("a/b/x", "a/b/y", "a/c/z", "d/w", "v", "a/b", "./u")], "path string, loc int")
+    pairs = [("a/b/x", "a/b/y"), ("a/b/y", "a/c/z"), ("a/c/z", "d/w"), ("v", "a/b/x"), ("v", "v"), ("a/b", "a/b/x"), ("v", "gone"), (None, "v"), ("./u", "v"), ("a/b/x", "a/b/y")]
+    found = scope_edges(files, spark.createDataFrame(pairs, "source string, target string"))
+    want = {("a/b", "a/b/x", "a/b/y"), ("a", "a/b", "a/c"), (".", "a", "d"), (".", "v", "a"), (".", "./u", "v"), (".", ".", "v")}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert len(joins) == 2 and all("LeftSemi" in line for line in joins)  # no exploded folders are joined
