@@ -67,8 +67,9 @@ SELECT path, count(DISTINCT other) AS cbo FROM both_ends GROUP BY path""")
 def cbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coupling: distinct neighbouring files in either direction."""
     _, edges = imports(spark, sf_dir)
-    both = edges.select(F.col("source").alias("path"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("path"), F.col("source").alias("other")))
-    return both.where("path <> other").distinct().groupBy("path").agg(F.count("*").alias("cbo"))
+    # A pair counts once at both ends, whichever way it goes, so it is told apart once.
+    pairs = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("path")).groupBy("path").agg(F.count("*").alias("cbo"))
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, {REACH_SQL}
