@@ -37,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays, the one with the smallest id.
 
-    Min-hash bands propose, SimHash fingerprints filter, shingle sets decide.  Rows that repeat its id stay with it; rows without an id are no copies of anything and stay.
+    SimHash fingerprints within two bits propose by deletion variants, min-hash bands propose what is farther apart, shingle sets decide.  Rows that repeat its id stay with it; rows without an id are no copies of anything and stay.
     """
     groups = similar.similar_groups(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

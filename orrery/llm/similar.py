@@ -1,6 +1,9 @@
-"""SimHash near-duplicates at a similarity: banded min-hashes propose, fingerprints filter, shingle sets decide.
+"""SimHash near-duplicates at a similarity: fingerprints propose by deletion variants, then banded min-hashes; shingle sets decide.
 
-The similarity of two texts is the Jaccard similarity of their sets of shingles.  A text has
+The similarity of two texts is the Jaccard similarity of their sets of shingles.  Texts whose
+64-bit fingerprints differ in at most two bits are found as in ``simhash`` (two segments, one
+bit deleted) and compared.  A pair at the similarity itself differs in about ten bits, so the
+pairs farther apart than two are proposed by bands.  A text has
 min-hashes of its set, four to a band; texts that share a band meet.  The number of bands
 follows from the recall wanted at the similarity itself, and no band is shared by chance, so
 recall does not depend on the number of texts.  Pairs of large sets whose 512 SimHash bits
@@ -30,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.simhash import LOWER, SEED
+from orrery.llm.simhash import LOWER, SEED, link_fingerprints
 from orrery.operators.components import connected_components
-from orrery.session import checkpoint, map_arrow, movable
+from orrery.session import checkpoint, dealt, map_arrow, movable
 
 #: Min-hashes of a band, and the share of pairs at the similarity that meet in some band.
 BAND_ROWS, RECALL = 4, 0.999
@@ -119,7 +122,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, ban
                 keys.append(bands_of(hashes, bands))
                 marks.append([_plane(hashes, f) for f in factors])
             signed = np.array(keys, np.uint64).reshape(-1).view(np.int64)
-            offsets = pa.array(np.arange(0, len(signed) + 1, bands, dtype=np.int32))
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(bands))
             table = np.array(marks, np.uint64).reshape(len(marks), PLANES).view(np.int64)
             columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(signed))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(PLANES))], names=schema.names)
@@ -155,6 +158,17 @@ def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in (*keys, "node")])
 
 
+def _within_two_bits(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes with fingerprints within two bits: the smallest nodes of linked fingerprints, and each node with the smallest of its own."""
+    prints = nodes.select(F.col("d0").alias("fp"), "node")
+    leads = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("rows")))
+    pairs = link_fingerprints(leads.select("fp"))
+    for end, s in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(dealt(leads.select(movable("fp"), F.col("lead").alias(s)).withColumnRenamed("fp", end)), end)
+    alike = prints.join(dealt(leads.where("rows > 1").select(movable("fp"), "lead")), "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(alike)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sizes and fingerprints allow the similarity."""
     for s in "ab":
@@ -226,18 +240,19 @@ def similar_groups(
     nodes = rows.groupBy("node").agg(first).select("node", F.col("m.id").alias("first_id"), *[F.col(f"m.{c}").alias(c) for c in ("at", "bands", *MARKS)])
     nodes = checkpoint(nodes)
 
+    close = checkpoint(_within_two_bits(nodes))
     banded = nodes.select(F.explode("bands").alias("key"), "node", "n")
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("rows")).where("rows > 1")
     members = checkpoint(banded.join(shared.select(movable("key"), "low", "rows"), "key"))
-    met = members.select("node").distinct().join(nodes.select("node", "first_id", F.col("at").alias("first_at")), "node")
+    met = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes.select("node", "first_id", F.col("at").alias("first_at")), "node")
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("at"), F.col(text_col).alias("text"))
     texts = texts.join(met, F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))).select("node", "text")
     sets = checkpoint(_sets(texts.dropDuplicates(["node"]), shingle))
 
     star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpoint(_similar(_near(star, nodes, similarity), sets, similarity))
+    links = checkpoint(_similar(_near(close.unionByName(star).distinct(), nodes, similarity), sets, similarity))
 
-    # What is left are pairs of different groups without a bucket's smallest member.
+    # What is left are pairs of different groups, farther apart than two bits, without a bucket's smallest member.
     rest = _undecided(members.where("rows > 2 AND node <> low").select("key", "node"), connected_components(links, "a", "b"))
     if not rest.isEmpty():
         measured = checkpoint(_measured(rest, sets, similarity))

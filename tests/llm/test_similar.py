@@ -83,3 +83,19 @@ def test_every_pair_of_the_documents_is_found(spark):
     linked = {i for pair in near for i in pair}
     assert len(near) > 50 and all(got[a] == got[b] for a, b in near)
     assert all(i in linked or got[i] == i for i in sets)
+
+
+def test_fingerprints_propose_without_any_band(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for n in range(40):
+        w = words(rng, 600)
+        texts += [" ".join(w), " ".join([*w[:300], "other", *w[301:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: r["d0"] for r in similar._fingerprints(docs, "doc_id", "text", 5, 1).select("doc_id", "d0").collect()}
+    near = {a for a in range(0, 80, 2) if bin((prints[a] ^ prints[a + 1]) & (2**64 - 1)).count("1") <= 2}
+    monkeypatch.setattr(similar, "plan_bands", lambda similarity: 0)
+    got = groups(spark, texts)
+    assert 5 < len(near) < 40
+    assert {a for a in range(0, 80, 2) if got[a + 1] == a} == near
+    assert all(got[a] == a for a in range(0, 80, 2))
