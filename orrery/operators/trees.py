@@ -2,7 +2,9 @@
 
 A forest is found by contraction: every round each node hooks onto its neighbour of least
 random rank, the trees of hooks shrink to their roots, and the hooks' original edges are tree
-edges.  A tour walks every tree edge both ways; its order comes from pointer jumping, so a path of
+edges.  Layouts and bridges shed leaves first, round after round while that takes a good part of
+the graph; what a leaf holds goes to its neighbour, so a shed row is dealt a fixed number of times
+and only the rest, long paths among it, is toured.  A tour walks every tree edge both ways; its order comes from pointer jumping, so a path of
 10,000 nodes takes fifteen rounds.  Everything else is a running sum along the tour.
 
 Rounds are written as tables below the shared folder.  Hubs are cut by ranges of a sorted order,
@@ -20,6 +22,8 @@ from orrery.session import checkpoint, movable, remove_path, scratch_path, write
 
 #: The distances between neighbours in a row, and between rows.
 X_GAP, Y_GAP = 56.0, 72.0
+#: Leaves are shed while a round takes one edge in so many.
+SHED_SHARE = 8
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -28,6 +32,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return clean.where("src <> dst").distinct()
 
 
+def shed_leaves(links: DataFrame, folder: str, fold, marks: DataFrame | None = None, upward: bool = False, roots: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """``(rounds, rest, kept)``: rows ``(node, parent, v)`` of the leaves shed in each round, the links left over, ``(node, v)`` of the other nodes.
+
+    ``v`` folds the ``marks(node, v)`` of a node and what its shed leaves held; ``upward`` counts leaves instead, one for
+    a leaf that holds nothing.  With ``upward`` a leaf goes only if its neighbour is smaller and it is none of ``roots(node)``,
+    so the root of its tree stays; otherwise both ends of a lone link are shed.  ``links`` is a written table of distinct links.
+    """
+    kept = links.select(F.col("src").alias("node"), F.lit(None).cast("long").alias("v")).limit(0) if marks is None else marks
+    rounds, rest, left = [], links, links.count()
+    while left:
+        k = len(rounds)
+        both = rest.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(rest.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+        ends = both.withColumn("v", F.lit(None).cast("long")).unionByName(kept.select("node", F.lit(None).cast("long").alias("other"), "v"))
+        found = write_table(ends.groupBy("node").agg(F.count("other").alias("n"), F.min("other").alias("parent"), fold("v").alias("v")), f"{folder}/ends-{k}")
+        leaf = found.where("n = 1 AND node > parent") if upward else found.where("n = 1")
+        if roots is not None:
+            leaf = leaf.join(roots.select("node").distinct(), "node", "left_anti")
+        if leaf.count() * SHED_SHARE < left:
+            return rounds, rest, found.select("node", "v")
+        gone = leaf.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+        rest = write_table(rest.join(gone, ["src", "dst"], "left_anti"), f"{folder}/rest-{k}")
+        own = F.coalesce("v", F.lit(1)) if upward else F.col("v")
+        leaf = leaf.select("node", "parent", own.alias("v"))
+        stays = found.join(leaf.select("node"), "node", "left_anti") if roots is not None else found.where("NOT (n = 1 AND node > parent)" if upward else "n <> 1")
+        # One row a node: the leaves of a hub are added up before anything moves.
+        given = leaf.groupBy(F.col("parent").alias("node")).agg(fold("v").alias("v"))
+        kept = write_table(stays.select("node", "v").unionByName(given), f"{folder}/kept-{k}")
+        rounds.append(leaf)
+        left = rest.count()
+    return rounds, rest, kept.groupBy("node").agg(fold("v").alias("v"))
+
+
 def _rooted(hooks: DataFrame, folder: str) -> DataFrame:
     """``(a, to)`` with every hook followed to its root; ranks fall along hooks, so chains are short."""
     step = 0
@@ -45,7 +81,14 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     No edges give an empty forest.
     """
     folder = scratch_path(edges.sparkSession, "forest")
-    live = write_table(undirected(edges).select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b")), f"{folder}/live")
+    out = _forest(write_table(undirected(edges), f"{folder}/links"), folder)
+    remove_path(edges.sparkSession, folder)
+    return out
+
+
+def _forest(links: DataFrame, folder: str) -> DataFrame:
+    """The spanning forest of a written table of distinct links."""
+    live = links.select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"))
     picked, k = [], 0
     while not live.isEmpty():
         both = live.unionByName(live.select("src", "dst", F.col("b").alias("a"), F.col("a").alias("b")))
@@ -59,12 +102,11 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             live = live.join(root.select(movable("a").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         live = write_table(live.where("a <> b"), f"{folder}/live-{k}")
         k += 1
-    out = edges.select("src", "dst").limit(0)
+    # Hooks fall in rank, and their ends are one node afterwards: no edge is picked twice.
+    out = links.select("src", "dst").limit(0)
     for part in picked:
         out = out.unionByName(part)
-    out = checkpoint(out.distinct())
-    remove_path(edges.sparkSession, folder)
-    return out
+    return checkpoint(out)
 
 
 def tour_places(arcs: DataFrame, folder: str) -> DataFrame:
@@ -148,22 +190,30 @@ def subtree_totals(tree: DataFrame, sums: dict | None = None, xors: dict | None
 def bridges(edges: DataFrame) -> DataFrame:
     """``(src, dst)``, ``src < dst``: the edges whose removal parts a component of the simple graph of ``edges(src, dst)``.
 
-    Every edge outside a spanning forest has 64 random bits at both ends.  The xor over a
+    The only edge of a node is a bridge; such nodes are shed.  Every edge outside a spanning forest has 64 random bits at both ends.  The xor over a
     subtree holds those that leave it, so a tree edge is a bridge if the xor below it is
-    zero; another edge has one chance in 2**64 to look like one.  Parallel edges count as one,
+    zero; another edge has one chance in 2**64 to look like one.  Leaves of the forest hand their bits on.  Parallel edges count as one,
     loops are ignored, no edges give no bridges.
     """
     folder = scratch_path(edges.sparkSession, "bridges")
     links = write_table(undirected(edges), f"{folder}/links")
-    forest = spanning_forest(links)
-    tree = rooted_forest(forest)
-    label = F.xxhash64(F.lit("bridge"), "src", "dst")
-    rest = links.join(forest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti").withColumn("bits", label)
-    ends = rest.select(F.col("src").alias("node"), "bits").unionByName(rest.select(F.col("dst").alias("node"), "bits"))
-    bits = ends.groupBy("node").agg(F.bit_xor("bits").alias("bits"))
-    marked = tree.join(bits.select(movable("node"), "bits"), "node", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-    below = subtree_totals(marked, xors={"below": F.col("bits")})
-    out = checkpoint(below.where("parent IS NOT NULL AND below = 0").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst")))
+    ends = lambda rows: rows.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+    pendant, rest, _ = shed_leaves(links, f"{folder}/pendant", F.bit_xor)
+    found = [ends(leaves) for leaves in pendant]
+    forest = write_table(_forest(rest, f"{folder}/forest").select("src", "dst"), f"{folder}/tree")
+    cross = rest.join(forest, ["src", "dst"], "left_anti").withColumn("v", F.xxhash64(F.lit("bridge"), "src", "dst"))
+    bits = cross.select(F.explode(F.array("src", "dst")).alias("node"), "v")
+    raked, core, kept = shed_leaves(forest, f"{folder}/raked", F.bit_xor, marks=bits)
+    found += [ends(leaves.where("coalesce(v, 0) = 0")) for leaves in raked]
+    if not core.isEmpty():
+        tree = rooted_forest(core)
+        marked = tree.join(kept.select(movable("node"), F.col("v").alias("bits")), "node", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+        below = subtree_totals(marked, xors={"below": F.col("bits")})
+        found.append(ends(below.where("parent IS NOT NULL AND below = 0")))
+    out = links.limit(0)
+    for part in found:
+        out = out.unionByName(part)
+    out = checkpoint(out.distinct())
     remove_path(edges.sparkSession, folder)
     return out
 
@@ -182,16 +232,40 @@ def tree_layout(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = No
     A leaf is one ``X_GAP`` wide, a parent as wide as its children and above their middle, a level ``Y_GAP``
     deep.  Trees stand side by side by root, nodes without edges on the right, as trees of their own.
     """
-    tree = rooted_forest(spanning_forest(edges), roots)
-    lone = nodes.select("node").distinct().join(tree, "node", "left_anti")
-    tree = checkpoint(subtree_totals(tree, sums={"width": (F.col("size") == 1).cast("long")}))
+    folder = scratch_path(edges.sparkSession, "layout")
+    links = write_table(undirected(edges), f"{folder}/links")
+    rounds, rest, kept = shed_leaves(links, folder, F.sum, upward=True, roots=roots)
+    kept = write_table(kept, f"{folder}/kept")
+    null = F.lit(None).cast("long")
+    top = kept.select("node", null.alias("parent"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("up"), F.coalesce("v", F.lit(1)).alias("width"))
+    if not rest.isEmpty():
+        tree = rooted_forest(spanning_forest(rest), roots).join(kept.select(movable("node"), "v"), "node", "left")
+        own = F.coalesce("v", (F.col("size") == 1).cast("long"))
+        tree = checkpoint(subtree_totals(tree, sums={"width": own}).select(*top.columns))
+        top = checkpoint(tree.unionByName(top.join(tree.select(movable("node")), "node", "left_anti")))
+    every = top.select("node", "parent", "width", F.lit(len(rounds)).alias("round"))
+    for k, leaves in enumerate(rounds):
+        every = every.unionByName(leaves.select("node", "parent", F.col("v").alias("width"), F.lit(k).alias("round")))
     # Children stand beside each other by id, trees by root: both are offsets among the rows of one parent.
-    among = scanned(tree.withColumn("__family", F.coalesce("parent", F.lit(None).cast("long"))), [F.asc_nulls_first("__family"), F.col("node")], sums={"__upto": F.col("width")})
-    first = among.groupBy("__family").agg(F.min(F.col("__upto") - F.col("width")).alias("__start"))
-    offset = among.join(first.withColumnRenamed("__family", "__of"), F.col("__family").eqNullSafe(F.col("__of"))).withColumn("__offset", F.col("__upto") - F.col("width") - F.col("__start"))
-    placed = along_tour(offset.select(*tree.columns, "__offset"), {"left": F.col("__offset")})
-    out = placed.select("node", "parent", "depth", "width", ((F.col("left") + F.col("width") / 2) * X_GAP).alias("x"), (F.col("depth") * Y_GAP).alias("y"))
-    wide = tree.where("parent IS NULL").agg(F.coalesce(F.sum("width"), F.lit(0)).alias("wide"))
+    among = scanned(every, [F.asc_nulls_first("parent"), F.col("node")], sums={"upto": F.col("width")})
+    among = checkpoint(among.withColumn("upto", F.col("upto") - F.col("width")))
+    start = checkpoint(among.groupBy("parent").agg(F.min("upto").alias("start")))
+    first = among.where(F.col("round") == len(rounds)).select(movable("node"), F.col("parent").alias("of"), "upto")
+    first = first.join(start.withColumnRenamed("parent", "__of"), F.col("of").eqNullSafe(F.col("__of"))).select("node", (F.col("upto") - F.col("start")).alias("offset"))
+    placed = along_tour(top.join(first, "node"), {"left": F.col("offset")}).select("node", "parent", "depth", "width", "left")
+    out, parents = checkpoint(placed), None
+    for k in range(len(rounds) - 1, -1, -1):
+        new = out if parents is None else placed
+        new = new.join(start.select(F.col("parent").alias("node"), "start"), "node").select(F.col("node").alias("parent"), "depth", (F.col("left") - F.col("start")).alias("from"))
+        parents = checkpoint(new if parents is None else parents.unionByName(new))
+        placed = among.where(F.col("round") == k).join(parents.select(movable("parent"), "depth", "from"), "parent")
+        placed = placed.select("node", "parent", (F.col("depth") + 1).alias("depth"), "width", (F.col("from") + F.col("upto")).alias("left"))
+        out = out.unionByName(placed)
+    wide = top.where("parent IS NULL").agg(F.coalesce(F.sum("width"), F.lit(0)).alias("wide"))
+    wide = checkpoint(wide)
+    remove_path(edges.sparkSession, folder)
+    lone = nodes.select("node").distinct().join(among.select(movable("node")), "node", "left_anti")
+    out = out.select("node", "parent", "depth", "width", ((F.col("left") + F.col("width") / 2) * X_GAP).alias("x"), (F.col("depth") * Y_GAP).alias("y"))
     beside = scanned(lone, [F.col("node")], number="n").join(F.broadcast(wide))
     alone = beside.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("width"), ((F.col("wide") + F.col("n") + 0.5) * X_GAP).alias("x"), F.lit(0.0).alias("y"))
     return out.unionByName(alone)

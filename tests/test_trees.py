@@ -104,3 +104,34 @@ def test_hundred_thousand_edges(spark):
     whiskers = spark.range(n).selectExpr("id AS src", f"id + {n} AS dst")
     out = trees.bridges(ring.unionByName(whiskers))
     assert out.count() == n and out.where(f"dst <> src + {n}").isEmpty()
+
+
+@pytest.mark.parametrize("asked", [[], [204, 130, 17]])
+def test_leaves_are_shed_before_the_tour(spark, monkeypatch, asked):
+    """Stars on stars: nothing is left to tour, unless a root that was asked for is a leaf."""
+    toured = []
+    real = trees.tour_places
+    monkeypatch.setattr(trees, "tour_places", lambda arcs, folder: (toured.append(arcs.count()), real(arcs, folder))[1])
+    edges = [(1, k) for k in range(10, 20)] + [(k % 10 + 10, k) for k in range(100, 400)] + [(500, 501)]
+    roots = spark.createDataFrame([(n,) for n in asked], "node long") if asked else None
+    nodes = sorted({n for e in edges for n in e})
+    out = {r["node"]: r for r in trees.tree_layout(spark.createDataFrame([(n,) for n in nodes], "node long"), frame(spark, edges), roots).collect()}
+    assert sorted(out) == nodes and (sum(toured) < 20 if asked else toured == [])
+    assert [n for n in nodes if out[n]["parent"] is None] == ([17, 500] if asked else [1, 500])
+    kids = defaultdict(list)
+    for n, r in out.items():
+        kids[r["parent"]].append(n)
+
+    def place(n, left):
+        width = sum(place(k, left + sum(out[j]["width"] for j in kids[n] if j < k)) for k in kids[n]) or 1
+        assert out[n]["width"] == width and out[n]["x"] == (left + width / 2) * trees.X_GAP
+        return width
+
+    place(500, place(17 if asked else 1, 0))
+
+
+def test_bridges_of_stars_need_no_tour(spark, monkeypatch):
+    toured = []
+    monkeypatch.setattr(trees, "rooted_forest", lambda *a: toured.append(a))
+    edges = [(1, k) for k in range(10, 20)] + [(k % 10 + 10, k) for k in range(100, 400)] + [(500, 501)]
+    assert {tuple(r) for r in trees.bridges(frame(spark, edges)).collect()} == set(edges) and not toured
