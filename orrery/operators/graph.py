@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.session import checkpoint, remove_path, scratch_path, write_table
+from orrery.session import checkpoint, dealt, remove_path, scratch_path, write_table
 
 #: Elements of a matrix, elements whose propagation is measured, the share of a bus.
 MAX_ELEMENTS, PROPAGATION_ELEMENTS, BUS_SHARE = 150, 80, 0.1
+#: Rows of a counted table that are sent to every executor; with more, a join deals both sides.
+FEW_ROWS = 200_000
 
 
 def simple_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -111,14 +113,40 @@ def _kernel_components(edges: DataFrame, folder: str) -> DataFrame:
     return out
 
 
-def _bypassed(edges: DataFrame, k: int) -> DataFrame:
-    """``(id, on)``: nodes with one edge out, to ``on``, no two of them neighbours, those of the locally highest hash."""
-    single = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.min("target").alias("on")).where("n = 1")
-    single = single.join(edges.select(F.col("target").alias("id")), "id", "left_semi").select("id", "on", F.xxhash64("id", F.lit(k)).alias("h"))
+def _fit(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join with a table that is larger: sent to the executors while its ``rows`` are few, else both are dealt."""
+    return F.broadcast(df) if rows <= FEW_ROWS else dealt(df)
+
+
+def _simple_nodes(live: DataFrame) -> DataFrame:
+    """``(id, on)`` of the nodes without an edge in or out (``on`` is null) or with edges out to one node ``on`` only."""
+    ends = live.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("to")), F.struct(F.col("target").alias("id"), F.lit(None).alias("to")))).alias("e")).select("e.*")
+    seen = ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.isnull("to")).alias("led"))
+    alone = F.isnull("low") | ~F.col("led")
+    return seen.where(alone | (F.col("low") == F.col("high"))).select("id", F.when(~alone, F.col("low")).alias("on"))
+
+
+def _taken(simple: DataFrame, rows: int, k: int) -> DataFrame:
+    """``(id, on)``: of the nodes of ``_simple_nodes`` all without ``on``; of the rest no two neighbours, those of the locally highest hash.
+
+    A node before one without ``on`` waits, for that one has no edges afterwards.
+    """
+    single = simple.where("on IS NOT NULL").withColumn("h", F.xxhash64("id", F.lit(k)))
     into = single.groupBy(F.col("on").alias("id")).agg(F.max("h").alias("before"))
-    beyond = single.select(F.col("id").alias("on"), F.col("h").alias("after"))
-    highest = single.join(into, "id", "left").join(beyond, "on", "left")
-    return highest.where("coalesce(h > before, TRUE) AND coalesce(h > after, TRUE)").select("id", "on")
+    beyond = simple.select(F.col("id").alias("on"), F.when(F.isnotnull("on"), F.xxhash64("id", F.lit(k))).otherwise(F.lit(2**63 - 1)).alias("after"))
+    highest = single.join(_fit(into, rows), "id", "left").join(_fit(beyond, rows), "on", "left").where("coalesce(h > before, TRUE) AND coalesce(h > after, TRUE)")
+    return simple.where("on IS NULL").unionByName(highest.select("id", "on"))
+
+
+def _named(into: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, component)`` of the nodes ``via`` whose edges ``into(source, target, via)`` lead from their target's component to it."""
+    rows = into.count()
+    ends = into.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    known = found.select("id", "component").join(_fit(ends, 2 * rows), "id", "left_semi")
+    both = into.join(_fit(known.select(F.col("id").alias("target"), F.col("component").alias("c")), 2 * rows), "target", "left")
+    both = both.join(_fit(known.select(F.col("id").alias("source"), F.col("component").alias("d")), 2 * rows), "source", "left")
+    both = both.select(F.col("via").alias("id"), F.coalesce("c", "target").alias("component"), F.coalesce("d", "source").alias("d"))
+    return both.where("component = d").select("id", "component").distinct()
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,43 +155,46 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     A component is cyclic if it has two nodes or a loop.  The graph is shrunk first:
 
     * Trim: a node without edges in or out is a component of its own and goes.
-    * Contract: a node with one edge out is taken off its paths, which go straight on to its target, a
+    * Contract: a node with edges out to one node only is taken off its paths, which go straight on to its target, a
       third of a chain in a round.  Afterwards it belongs to its target's component if one of those that led to
       it does, else it is alone.
 
     What is left, where every node has a choice, is coloured from many pivots at once.
+
+    ``edges`` is evaluated once.  A round's table holds the edges left, and the node ``via`` that was taken off
+    those made straight, so that names come back without the rounds' joins; parallel edges stay until the end.
     """
     spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "strong")
-    loops = edges.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
-    rounds = [write_table(simple_edges(edges, nodes), f"{folder}/edges-0")]
-    before, now = -1, rounds[0].count()
-    while now and now != before:
-        live, k = rounds[-1], len(rounds)
-        gone = _bypassed(live, k)
-        inner = live.join(live.select(F.col("target").alias("source")), "source", "left_semi").join(live.select(F.col("source").alias("target")), "target", "left_semi")
-        inner = inner.join(gone.select(F.col("id").alias("source")), "source", "left_anti")
-        onward = inner.join(gone.select(F.col("id").alias("target"), "on"), "target", "left").select("source", F.coalesce("on", "target").alias("target"))
-        rounds.append(write_table(onward.where("source <> target").distinct(), f"{folder}/edges-{k}"))
-        before, now = now, rounds[-1].count()
+    given = write_table(edges.select("source", "target").distinct(), f"{folder}/given")
+    live, rounds = given.where("source <> target"), []
+    for end in ("source", "target"):
+        live = live.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    live = write_table(live.select("source", "target"), f"{folder}/edges-0")
+    while True:
+        simple, k = checkpoint(_simple_nodes(live)), len(rounds) + 1
+        few = simple.count()
+        if not few:
+            break
+        gone = _taken(simple, few, k)
+        onward = live.join(_fit(gone.select(F.col("id").alias("source")), few), "source", "left_anti")
+        onward = onward.join(_fit(gone.select(F.col("id").alias("target"), "on", F.lit(True).alias("off")), few), "target", "left").where("off IS NULL OR on IS NOT NULL")
+        onward = onward.select("source", F.coalesce("on", "target").alias("target"), F.when(F.col("off"), F.col("target")).alias("via"))
+        rounds.append(write_table(onward, f"{folder}/edges-{k}"))
+        live = rounds[-1].where("source <> target").select("source", "target")
     found = nodes.select("id", F.col("id").alias("component")).limit(0)
-    if now:
-        found = write_table(_kernel_components(rounds[-1], f"{folder}/kernel"), f"{folder}/kernel-found")
-    for k in range(len(rounds) - 1, 0, -1):
-        gone = _bypassed(rounds[k - 1], k)
-        named = found.select("id", "component")
-        into = gone.join(rounds[k - 1].select(F.col("target").alias("id"), F.col("source").alias("by")), "id")
-        into = into.join(named.select(F.col("id").alias("on"), F.col("component").alias("c")), "on", "left").withColumn("c", F.coalesce("c", "on"))
-        into = into.join(named.select(F.col("id").alias("by"), F.col("component").alias("d")), "by", "left").withColumn("d", F.coalesce("d", "by"))
-        more = into.where("c = d").select("id", F.col("c").alias("component")).distinct()
-        more = write_table(more, f"{folder}/found-{k}")
-        found = found.unionByName(more)
-    lone = nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("at"))
-    lone = checkpoint(lone)
+    if not live.isEmpty():
+        kernel = write_table(live.distinct(), f"{folder}/kernel-edges")
+        found = write_table(_kernel_components(kernel, f"{folder}/kernel"), f"{folder}/kernel-found")
+    for k in range(len(rounds), 0, -1):
+        more = _named(rounds[k - 1].where("via IS NOT NULL"), found)
+        found = found.unionByName(write_table(more, f"{folder}/found-{k}"))
+    loops = given.where("source = target").select(F.col("source").alias("id"), F.lit(True).alias("loop"))
+    lone = nodes.select("id").distinct().join(found, "id", "left").join(loops, "id", "left")
+    # The checkpoint outlives the tables of the rounds; Spark's cleaner removes it.
+    lone = checkpoint(lone.select("id", F.coalesce("component", "id").alias("at"), F.coalesce("loop", F.lit(False)).alias("loop")))
     remove_path(spark, folder)
     sizes = lone.groupBy("at").agg(F.min("id").alias("component"), F.count("*").alias("size"))
-    named = lone.join(sizes, "at").join(loops, "id", "left")
-    cyclic = (F.col("size") > 1) | F.coalesce("loop", F.lit(False))
-    return named.select("id", "component", "size", cyclic.alias("cyclic"))
+    return lone.join(sizes, "at").select("id", "component", "size", (F.col("loop") | (F.col("size") > 1)).alias("cyclic"))
 
 
 def matrix_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:

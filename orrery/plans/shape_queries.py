@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import circular, crossings, graph, trees
@@ -61,10 +61,15 @@ NEXT_PARTS_SQL = """e AS (SELECT DISTINCT x.l_partkey AS source, y.l_partkey AS
 
 
 def next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge from each part to the next one of its order, where both are of one status and return flag."""
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long").alias("source"), "l_linestatus", "l_returnflag")
-    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("source").alias("target"), "l_linestatus", "l_returnflag")
-    return lines.join(after, ["l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag"]).select("source", "target").distinct()
+    """An edge from each part to the next one of its order, where both are of one status and return flag.
+
+    The next lines are a range of numbers within an order's lines, so lines are dealt and sorted once, not once for either side of a join.
+    """
+    keys = ["l_orderkey", "l_linestatus", "l_returnflag"]
+    lines = load(spark, sf_dir, "lineitem").select(*keys, F.col("l_linenumber").cast("long").alias("number"), F.col("l_partkey").cast("long").alias("source"))
+    after = Window.partitionBy(*keys).orderBy("number").rangeBetween(1, 1)
+    ways = lines.dropna(subset=[*keys, "number"]).withColumn("after", F.collect_list("source").over(after))
+    return ways.select("source", F.explode("after").alias("target")).distinct()
 
 
 @query(f"""WITH RECURSIVE {NEXT_PARTS_SQL}, reach AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM reach r JOIN e ON r.target = e.source),

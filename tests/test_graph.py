@@ -162,3 +162,30 @@ def test_a_bus_is_not_merged(spark):
     merged = lambda buses: {r["id"]: r["cluster"] for r in layering.greedy_clusters(cells, elements, spark.createDataFrame(buses, "target string")).collect()}
     assert merged([("z",)]) == {"a": 0, "b": 0, "c": 2, "z": 3}
     assert merged([]) != merged([("z",)])
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_strong_components_read_their_edges_once(spark, monkeypatch, tmp_path, few):
+    """The edges are gone before the result is read; a round's joins deal both sides or send one."""
+    monkeypatch.setattr(G, "FEW_ROWS", few)
+    ids = [f"n{k}" for k in range(9)]
+    edges = [("n0", "n1"), ("n1", "n2"), ("n2", "n0"), ("n2", "n3"), ("n3", "n4"), ("n4", "n5"), ("n5", "n3"), ("n4", "n3"), ("n6", "n0"), ("n7", "n7"), ("n0", "n0"), ("n1", "n2"), ("n5", "n8")]
+    spark.createDataFrame(edges, E).write.parquet(f"{tmp_path}/edges")
+    out = G.strong_components(spark.read.parquet(f"{tmp_path}/edges"), spark.createDataFrame([(i,) for i in ids], "id string"))
+    for part in (tmp_path / "edges").glob("*"):
+        part.unlink()
+    want = {i: ("n0", 3, True) for i in ids[:3]} | {i: ("n3", 3, True) for i in ids[3:6]} | {"n6": ("n6", 1, False), "n7": ("n7", 1, True), "n8": ("n8", 1, False)}
+    assert {r["id"]: (r["component"], r["size"], r["cyclic"]) for r in out.collect()} == want
+
+
+def test_next_parts_deal_their_lines_once(spark, tmp_path):
+    from orrery.plans.shape_queries import next_parts
+
+    rng = random.Random(7)
+    lines = [(rng.choice([1, 2, 3, None]), rng.choice([1, 2, 3, 5, None]), rng.randrange(40), rng.choice("OF"), rng.choice(["N", "R", None])) for _ in range(150)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = next_parts(spark, str(tmp_path))
+    want = {(a[2], b[2]) for a in lines for b in lines if None not in (*a, *b) and (a[0], a[1] + 1, a[3:]) == (b[0], b[1], b[3:])}
+    got = [tuple(r) for r in out.collect()]
+    assert want and sorted(got) == sorted(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
