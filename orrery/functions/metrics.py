@@ -46,9 +46,13 @@ SYMBOL_TOKENS = (
 
 
 def lines_of(text: Column) -> Column:
-    """Lines without their ends; one final line end adds no line, an empty text has none."""
-    body = F.regexp_replace(text, r"\r?\n\z", "")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
+    """Lines without their ends; one final line end adds no line, an empty text has none.
+
+    A single character splits without a regular expression, so only texts with carriage returns need one.
+    """
+    body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+    ended = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
+    return F.when(F.octet_length(text) == 0, F.array().cast("array<string>")).when(F.contains(text, F.lit("\r")), ended).otherwise(F.split(body, "\n", -1))
 
 
 #: Fixed value: the characters of Unicode's white space.
@@ -56,7 +60,14 @@ BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x200
 
 
 def trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANKS))
+    """``line`` without white space at its ends; only ends beyond printable ASCII are compared with all of ``BLANKS``."""
+    plain = lambda c: F.ascii(c).between(0x21, 0x7E)
+    spaced = F.trim(line)
+    return F.when(plain(spaced) & plain(F.right(spaced, F.lit(1))), spaced).otherwise(F.btrim(line, F.lit(BLANKS)))
+
+
+def trimmed_lines(text: Column) -> Column:
+    return F.transform(lines_of(text), trimmed)
 
 
 def strip_noise(text: Column) -> Column:
@@ -86,9 +97,9 @@ def text_count(text: Column, pattern: str) -> Column:
 
 
 def literal_count(text: Column, part: str) -> Column:
-    """How often ``part``, one or two ASCII characters, stands in a text without overlap."""
+    """How often ``part``, ASCII characters, stands in a text without overlap."""
     gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
-    return (gone if len(part) == 1 else F.shiftright(gone, 1)).cast("long")
+    return (gone if len(part) == 1 else F.shiftright(gone, 1) if len(part) == 2 else F.floor(gone / len(part))).cast("long")
 
 
 #: Words that decide, that jump, and that test.
@@ -99,6 +110,10 @@ TEST = ("if", "elif", "case", "while", "for", "catch", "except")
 KEYWORDS = "(?=[CEFGIRSTWcefgirstw])(?<![A-Za-z0-9_])(?i:(" + "|".join(sorted({*DECIDE, *JUMP, *TEST})) + "))(?![A-Za-z0-9_])"
 
 
+#: Words that cost in ``cognitive``.
+CONTROL = r"(?=[CEFISWcefisw])(?<![A-Za-z0-9_])(?i:if|for|while|switch|catch|except|elif)(?![A-Za-z0-9_])"
+
+
 def keywords(code: Column) -> Column:
     """Lower-cased words of control flow in stripped text, in order."""
     return F.transform(F.regexp_extract_all(code, F.lit(KEYWORDS), F.lit(1)), lambda w: F.lower(w))
@@ -115,13 +130,14 @@ def _marks(code: Column) -> Column:
 def cyclomatic(code: Column, words: Column | None = None) -> Column:
     """One plus the decision points of stripped text; ``else if`` counts twice by definition."""
     found = keywords(code) if words is None else words
-    return (_among(found, DECIDE) + text_count(code, r"else[ \t]if") + _marks(code) + 1).cast("double")
+    return (_among(found, DECIDE) + literal_count(code, "else if") + literal_count(code, "else\tif") + _marks(code) + 1).cast("double")
 
 
 def halstead_tokens(code: Column) -> Column:
     """Operators and operands of stripped text in order; operator words are lower-cased."""
     tokens = F.regexp_extract_all(code, F.lit(SCANNED_TOKENS), F.lit(0))
-    return F.transform(tokens, lambda t: F.when(F.lower(t).isin(*OPERATOR_WORDS), F.lower(t)).otherwise(t))
+    lowered = lambda ts: F.transform(ts, lambda t: F.when(F.lower(t).isin(*OPERATOR_WORDS), F.lower(t)).otherwise(t))
+    return once(tokens, lambda ts: F.when(code == F.lower(code), ts).otherwise(lowered(ts)))
 
 
 def halstead(tokens: Column) -> Column:
@@ -132,11 +148,11 @@ def halstead(tokens: Column) -> Column:
     operators = lambda c: F.size(F.filter(c, lambda t: t.isin(*SYMBOL_TOKENS, *OPERATOR_WORDS)))
     at_least_one = lambda c: F.greatest(c, F.lit(1)).cast("long")
 
-    def counted(both: Column) -> Column:
-        n, n1, t, t1 = F.size(both["kinds"]), operators(both["kinds"]), F.size(both["all"]), operators(both["all"])
-        return F.struct(at_least_one(n1).alias("n1"), at_least_one(n - n1).alias("n2"), at_least_one(t1).alias("t1"), at_least_one(t - t1).alias("t2"))
+    def counted(x: Column) -> Column:
+        return F.struct(at_least_one(x["n1"]).alias("n1"), at_least_one(x["n"] - x["n1"]).alias("n2"), at_least_one(x["t1"]).alias("t1"), at_least_one(x["t"] - x["t1"]).alias("t2"))
 
-    return counted(F.struct(F.array_distinct(tokens).alias("kinds"), tokens.alias("all")))
+    sizes = lambda kinds: F.struct(F.size(kinds).alias("n"), operators(kinds).alias("n1"), F.size(tokens).alias("t"), operators(tokens).alias("t1"))
+    return once(once(F.array_distinct(tokens), sizes), counted)
 
 
 def volume(h: Column) -> Column:
@@ -167,34 +183,45 @@ def magnitude(x: Column) -> Column:
 
 
 def cognitive(code: Column) -> Column:
-    """Line by line: control flow costs one plus the nesting before the line."""
+    """Line by line: control flow costs one plus the nesting before the line.
 
-    def step(acc: Column, t: Column) -> Column:
+    Lines are only searched for what stands anywhere in the text.
+    """
+    none = F.lit(0).cast("long")
+
+    def step(acc: Column, t: Column, has: Column) -> Column:
         nest = acc["nest"]
-        control = F.regexp_like(t, F.lit(r"(?i)(?<![A-Za-z0-9_])(if|for|while|switch|catch|except|elif)(?![A-Za-z0-9_])")) | F.contains(t, F.lit("else if"))
-        only_else = F.regexp_like(t, F.lit(r"(?i)(?<![A-Za-z0-9_])else(?![A-Za-z0-9_])")) & ~F.contains(t, F.lit("else if"))
-        logical = literal_count(t, "&&") + literal_count(t, "||") + literal_count(t, "??")
-        ternary = F.when(F.contains(t, F.lit("?:")), F.lit(0).cast("long")).otherwise(literal_count(t, "?"))
+        # ``else if`` holds the word ``if``, unless letters go on after it.
+        control = F.regexp_like(t, F.lit(CONTROL)) | (has["else"] & F.contains(t, F.lit("else if")))
+        only_else = has["else"] & F.regexp_like(t, F.lit(r"(?=[Ee])(?<![A-Za-z0-9_])(?i:else)(?![A-Za-z0-9_])")) & ~F.contains(t, F.lit("else if"))
+        asked = F.when(has["ask"], literal_count(t, "??")).otherwise(none)
+        logical = F.when(has["both"], literal_count(t, "&&")).otherwise(none) + F.when(has["either"], literal_count(t, "||")).otherwise(none) + asked
+        ternary = F.when(has["ask"] & ~F.contains(t, F.lit("?:")), literal_count(t, "?")).otherwise(none)
         cost = F.when(control, nest + 1).when(only_else, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
         depth = F.greatest(nest + literal_count(t, "{") - literal_count(t, "}"), F.lit(0).cast("long"))
         return F.struct((acc["score"] + cost + logical + ternary * (nest + 1)).alias("score"), depth.alias("nest"))
 
     zero = F.struct(F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("nest"))
-    return F.aggregate(F.transform(lines_of(code), trimmed), zero, step, lambda acc: acc["score"].cast("double"))
+    marks = {"else": F.regexp_like(code, F.lit("(?i:else)")), "both": F.contains(code, F.lit("&&")), "either": F.contains(code, F.lit("||")), "ask": F.contains(code, F.lit("?"))}
+    fold = lambda has: F.aggregate(trimmed_lines(code), zero, lambda acc, t: step(acc, t, has), lambda acc: acc["score"].cast("double"))
+    return once(F.struct(*[v.alias(k) for k, v in marks.items()]), fold)
 
 
 def inheritance_depth(code: Column) -> Column:
-    n = text_count(code, " extends ")
-    heads = F.exists(
-        F.transform(lines_of(code), trimmed),
+    n = literal_count(code, " extends ")
+    heads = (F.contains(code, F.lit("class ")) | F.contains(code, F.lit("trait "))) & F.exists(
+        trimmed_lines(code),
         lambda t: (F.startswith(t, F.lit("class ")) & F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")) & F.contains(t, F.lit(":")))
         | (F.startswith(t, F.lit("trait ")) & F.contains(t, F.lit(":"))),
     )
     return F.when(n >= 2, F.least(n, F.lit(5))).when((n == 1) | heads, F.lit(1)).otherwise(F.lit(0)).cast("double")
 
 
-def line_breakdown(text: Column, path: Column) -> Column:
-    """Struct (loc, nloc, cloc, blank, stale); block comments are followed across lines."""
+def line_breakdown(text: Column, path: Column, lines: Column | None = None) -> Column:
+    """Struct (loc, nloc, cloc, blank, stale); block comments are followed across lines.
+
+    ``lines`` are the trimmed lines of ``text``, where they are known.
+    """
     is_stale = lambda t: F.regexp_like(t, F.lit("(?=[TFHXDStfhxds])(?i:" + "|".join(STALE_MARKERS) + ")"))
 
     def step(acc: Column, t: Column, hashes: Column) -> Column:
@@ -210,24 +237,34 @@ def line_breakdown(text: Column, path: Column) -> Column:
     done = lambda acc: F.struct(
         (acc["nloc"] + acc["cloc"] + acc["blank"]).cast("long").alias("loc"), *[acc[n].cast("long").alias(n) for n in ("nloc", "cloc", "blank", "stale")]
     )
-    texts = F.transform(lines_of(text), trimmed)
+    texts = trimmed_lines(text) if lines is None else lines
     return once(F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS)), lambda h: F.aggregate(texts, zero, lambda acc, t: step(acc, t, h), done))
 
 
-def clone_lines(text: Column, path: Column) -> Column:
-    """Code lines with single blanks, at least ``CLONE_BYTES`` bytes, no imports."""
+def clone_lines(text: Column, path: Column, lines: Column | None = None) -> Column:
+    """Code lines with single blanks, at least ``CLONE_BYTES`` bytes, no imports; ``lines`` as in ``line_breakdown``."""
+    # Single blanks make no line longer.
+    short = lambda t: F.octet_length(t) < CLONE_BYTES
+    comment = lambda t, hashes: F.startswith(t, F.lit("//")) | (hashes & F.startswith(t, F.lit("#")))
 
     def step(acc: Column, t: Column, hashes: Column) -> Column:
         inside, opens, closes = acc["block"], F.startswith(t, F.lit("/*")), F.contains(t, F.lit("*/"))
-        norm = F.regexp_replace(t, r"(?U)\s+", " ")
-        skipped = inside | opens | F.startswith(t, F.lit("//")) | (hashes & F.startswith(t, F.lit("#"))) | (F.octet_length(norm) < CLONE_BYTES)
-        skipped = skipped | F.regexp_like(F.lower(norm), F.lit("^(import |use |from |package |#include)"))
+        skipped = inside | opens | short(t) | comment(t, hashes)
         block = F.when(t == "", inside).when(inside | opens, ~closes).otherwise(False)
-        return F.struct(block.alias("block"), F.when(skipped, acc["out"]).otherwise(F.array_append(acc["out"], norm)).alias("out"))
+        return F.struct(block.alias("block"), F.when(skipped, acc["out"]).otherwise(F.array_append(acc["out"], t)).alias("out"))
 
     zero = F.struct(F.lit(False).alias("block"), F.array().cast("array<string>").alias("out"))
-    texts = F.transform(lines_of(text), trimmed)
-    return once(F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS)), lambda h: F.aggregate(texts, zero, lambda acc, t: step(acc, t, h), lambda acc: acc["out"]))
+    texts = trimmed_lines(text) if lines is None else lines
+
+    def code(hashes: Column) -> Column:
+        # Without an opening mark there is no state to follow.
+        plain = F.filter(texts, lambda t: ~(short(t) | comment(t, hashes)))
+        return F.when(F.contains(text, F.lit("/*")), F.aggregate(texts, zero, lambda acc, t: step(acc, t, hashes), lambda acc: acc["out"])).otherwise(plain)
+
+    single = lambda t: F.when(F.contains(t, F.lit("  ")) | F.regexp_like(t, F.lit("[^ -~]")), F.regexp_replace(t, r"(?U)\s+", " ")).otherwise(t)
+    norms = F.transform(once(F.regexp_like(path, F.lit(HASH_COMMENT_EXTENSIONS)), code), single)
+    imports = lambda norm: F.regexp_like(F.lower(F.left(norm, F.lit(9))), F.lit("^(import |use |from |package |#include)"))
+    return F.filter(norms, lambda norm: ~(short(norm) | imports(norm)))
 
 
 def per_kloc(count: Column, loc: Column) -> Column:

@@ -57,12 +57,21 @@ def extension(path: Column) -> Column:
         long = F.regexp_extract(name, r"^[^.].*\.([^.]+)$|^[^.]+\.([^.]+)$", 1)
         return once(F.regexp_extract(name, r"^[^.]+\.([^.]+)$", 1), lambda alone: F.lower(F.when(alone != "", alone).otherwise(long)))
 
-    return once(once(basename(path), of), lambda found: F.nullif(found, F.lit("")))
+    # Most names need no rule: a dot inside and no line ends.
+    name, last = F.substring_index(path, "/", -1), F.substring_index(path, ".", -1)
+    plain = F.contains(name, F.lit(".")) & ~F.startswith(name, F.lit(".")) & ~F.endswith(name, F.lit(".")) & ~F.regexp_like(name, F.lit("[\n\r\\x{85}\\x{2028}\\x{2029}]"))
+    return F.when(plain, F.lower(last)).otherwise(once(once(basename(path), of), lambda found: F.nullif(found, F.lit(""))))
 
 
 def language_of(path: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for language, exts in LANGUAGES.items() for ext in exts for x in (ext, language)])
-    return once(extension(path), lambda ext: F.when(ext.isNotNull(), F.coalesce(F.element_at(known, ext), F.lit("other"))))
+    # Not a map: Spark would build it anew for every row.
+    def known(ext: Column) -> Column:
+        found = F.when(ext.isNull(), None)
+        for language, exts in LANGUAGES.items():
+            found = found.when(ext.isin(*exts), language)
+        return found.otherwise("other")
+
+    return once(extension(path), known)
 
 
 def is_test_path(path: Column) -> Column:

@@ -6,18 +6,20 @@ aggregated to one small row a file before they meet it, so that texts are never
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics as M
+from orrery.functions import paths as P
 from orrery.functions.display import documentation_score
 from orrery.operators import rollups
-from orrery.operators.layering import file_cohesion
-from orrery.operators.rules import with_companion_test
+from orrery.operators.components import connected_components
+from orrery.operators.rules import with_companion
 from orrery.operators.views import coupling_counts, symbol_edge_files
-from orrery.session import checkpoint
+from orrery.session import checkpoint, movable
 
 #: The names of the rolled-up metrics, with the column of a file that each is made of.
 PACKAGE_METRICS = {
@@ -30,59 +32,102 @@ PACKAGE_METRICS = {
 ISSUES = ("total", "security", "ai", "duplication", "documentation")
 
 
-def duplicated_lines(files: DataFrame) -> DataFrame:
-    """``(path, duplicated)``: clone lines of ``files(path, content)`` whose fingerprint occurs at least twice anywhere."""
-    prints = files.select("path", F.explode(M.clone_lines(F.col("content"), F.col("path"))).alias("norm")).select("path", F.xxhash64("norm").alias("print"))
-    each = checkpoint(prints.groupBy("path", "print").agg(F.count("*").alias("n")))
-    shared = each.groupBy("print").agg(F.sum("n").alias("total")).where("total >= 2")
-    return each.join(shared, "print").groupBy("path").agg(F.sum("n").alias("duplicated"))
+#: All columns of the index but path and package, in order.
+COLUMNS = (
+    "loc", "nloc", "cloc", "code_density", "comment_density", "cyclomatic", "halstead_volume", "halstead_difficulty", "cognitive", "maintainability", "dit",
+    "abc_magnitude", "abc_assignments", "abc_branches", "abc_conditions", "cbo", "symbols", "coverage", "structural", "issue_density", "security_density", "ai_density",
+    "duplication_hits", "duplicated_pct", "dead_code_pct", "stale_density", "cyclomatic_density", "cohesion", "documentation_score",
+)
+#: Columns that are one field of the classic metrics.
+CLASSIC = {
+    "cyclomatic": "cc", "halstead_volume": "vol", "halstead_difficulty": "diff", "cognitive": "cog", "maintainability": "mi", "dit": "dit", "abc_magnitude": "mag",
+    "abc_assignments": "a", "abc_branches": "b", "abc_conditions": "c", "cyclomatic_density": "cc",
+}
 
 
-def dead_symbols(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(path, symbols, dead)``: symbols of each file, and those that no edge leads to; a repeated symbol counts each time."""
-    reached = edges.select(F.col("target").alias("id"), F.lit(True).alias("reached")).distinct()
-    return symbols.join(reached, "id", "left").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("symbols"), F.count_if(F.col("reached").isNull()).alias("dead"))
+def duplicated_lines(prints: DataFrame) -> DataFrame:
+    """``(path, duplicated)``, a row a line: lines of ``prints(path, print)`` whose fingerprint occurs at least twice anywhere."""
+    shared = prints.groupBy("print").agg(F.count("*").alias("total")).where("total >= 2").select(movable("print"))
+    return prints.join(shared, "print").select("path", F.lit(1).alias("duplicated"))
 
 
-def _text_metrics(files: DataFrame) -> DataFrame:
-    step = files.select("path", "package", F.coalesce("content", F.lit("")).alias("content")).withColumn("b", M.line_breakdown(F.col("content"), F.col("path")))
-    step = M.with_classic_metrics(step.withColumn("loc", F.col("b.loc")), guard=False)
+def dead_symbols(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(path, symbols, dead, kinds)``, a row a symbol of ``held(file, id, n)``: dead if no edge leads to it; a repeated symbol counts each time but is one kind."""
+    reached = edges.select(F.col("target").alias("id"), F.lit(True).alias("reached")).distinct()
+    return held.join(reached, "id", "left").select(F.col("file").alias("path"), F.col("n").alias("symbols"), F.when(F.col("reached").isNull(), F.col("n")).otherwise(0).alias("dead"), F.lit(1).alias("kinds"))
+
+
+def merged_symbols(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(path, merged)``: how many parts fewer than symbols each file of ``held(file, id)`` has; only files with edges between their symbols."""
+    ends = [held.select("file", F.col("id").alias(end), F.xxhash64("file", "id").alias(part)) for end, part in (("source", "a"), ("target", "b"))]
+    inner = checkpoint(edges.join(ends[0], "source").join(ends[1], ["file", "target"]).select("file", "a", "b").distinct())
+    nodes = inner.select("file", F.explode(F.array("a", "b")).alias("node")).distinct()
+    parted = nodes.join(connected_components(inner, "a", "b"), "node")
+    return parted.groupBy(F.col("file").alias("path")).agg((F.count("*") - F.countDistinct("component")).alias("merged"))
+
+
+def _text_metrics(files: DataFrame, columns: Collection[str]) -> DataFrame:
+    """``(path, package, loc, nloc, stale, ...)`` of the ``columns`` that follow from a file's text, and ``prints`` of its clone lines."""
+    step = files.select("path", "package", F.coalesce("content", F.lit("")).alias("content")).withColumn("__lines", M.trimmed_lines(F.col("content")))
+    clones = F.transform(M.clone_lines(F.col("content"), F.col("path"), F.col("__lines")), lambda norm: F.xxhash64(norm))
+    step = step.withColumn("b", M.line_breakdown(F.col("content"), F.col("path"), F.col("__lines")))
+    step = step.withColumn("prints", clones if "duplicated_pct" in columns else F.array().cast("array<bigint>")).drop("__lines")
+    fields = [name for name in M.CLASSIC if name in {CLASSIC[c] for c in columns if c in CLASSIC}]
+    step = step.withColumn("loc", F.col("b.loc"))
+    step = M.with_classic_metrics(step, guard=False, fields=fields) if fields else step
     nloc, both = F.when(F.col("b.nloc") > 0, F.col("b.nloc")).otherwise(F.col("loc")), F.col("b.nloc") + F.col("b.cloc")
     share = lambda part, whole: F.when(whole == 0, 0.0).otherwise(100.0 * part / whole)
-    return step.select(
-        "path", "package", "loc", nloc.alias("nloc"), F.col("b.cloc").alias("cloc"), F.col("b.stale").alias("stale"),
-        share(F.col("b.nloc"), F.col("loc")).alias("code_density"), share(F.col("b.cloc"), both).alias("comment_density"),
-        F.col("m.cc").cast("double").alias("cyclomatic"), F.col("m.vol").alias("halstead_volume"), F.col("m.diff").alias("halstead_difficulty"), F.col("m.cog").cast("double").alias("cognitive"),
-        F.col("m.mi").alias("maintainability"), F.col("m.dit").alias("dit"), F.col("m.mag").alias("abc_magnitude"), F.col("m.a").alias("abc_assignments"), F.col("m.b").alias("abc_branches"),
-        F.col("m.c").alias("abc_conditions"),
-    )
+    made = {"cloc": F.col("b.cloc"), "code_density": share(F.col("b.nloc"), F.col("loc")), "comment_density": share(F.col("b.cloc"), both)}
+    made |= {c: F.col(f"m.{name}").cast("double") if c in ("cyclomatic", "cognitive") else F.col(f"m.{name}") for c, name in CLASSIC.items() if c != "cyclomatic_density"}
+    if "cyclomatic_density" in columns:
+        made["cyclomatic_density"] = F.when(nloc == 0, 0.0).otherwise(F.col("m.cc").cast("double") / nloc)
+    return step.select("path", "package", "loc", nloc.alias("nloc"), F.col("b.stale").alias("stale"), "prints", *[v.alias(c) for c, v in made.items() if c in columns])
 
 
-def file_index(files: DataFrame, imports: DataFrame, symbols: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of all metrics for every row of ``files(path, package, content)``; paths are distinct.
+def file_index(files: DataFrame, imports: DataFrame, symbols: DataFrame, edges: DataFrame, issues: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """One row of metrics, all or the wanted ``columns``, for every row of ``files(path, package, content)``; paths are distinct.
 
     ``imports(source, target)`` are files, ``symbols(id, file)`` and ``edges(source, target)`` symbols,
     ``issues(path, total, security, ai, duplication, documentation)`` the weighted issues of a file.
     What is missing counts as nothing: no symbols mean no dead code and full cohesion, no issues no
     density; ``documentation_score`` is null without hits.  An empty or null text has no lines.
+
+    What nobody wants is not made, its tables are not read.  Symbols, imports, issues and cloned
+    lines meet in one sum a file, and that sum meets the text metrics in the only join by path.
     """
-    # Each is read several times and may be made from texts.
-    symbols, edges, imports = checkpoint(symbols.select("id", "file")), checkpoint(edges.select("source", "target")), checkpoint(imports.select("source", "target").distinct())
-    placed = checkpoint(symbol_edge_files(edges, symbols))
-    paths = files.select("path")
-    sources = imports.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("imports"))
-    covered = with_companion_test(paths).select("path", F.when(F.col("covered"), 100.0).otherwise(0.0).alias("coverage"))
-    parts = [
-        coupling_counts(imports, placed), sources, dead_symbols(symbols, edges), duplicated_lines(files),
-        file_cohesion(symbols.select("id", "file").distinct(), placed.where("source_file = target_file").select("source", "target")).select(F.col("file").alias("path"), "components"),
-        issues.select("path", *[F.col(c).alias(f"issue_{c}") for c in ISSUES]), covered,
-    ]
-    met = reduce(lambda left, right: left.join(right, "path", "left"), parts, checkpoint(_text_metrics(files)))
-    met = met.na.fill(0, ["internal_calls", "cbo", "imports", "symbols", "dead", "duplicated", *[f"issue_{c}" for c in ISSUES]])
+    wants = lambda *names: any(n in columns for n in names)
+    texts = checkpoint(_text_metrics(files, columns))
+    parts: list[DataFrame] = []
+    calls, own = wants("cbo", "structural"), wants("dead_code_pct", "cohesion")
+    if calls or own:
+        # Each is read several times and may be made from texts.
+        held = checkpoint(symbols.groupBy("file", "id").agg(F.count("*").alias("n")))
+        edges = checkpoint(edges.select("source", "target"))
+        placed = checkpoint(symbol_edge_files(edges, held))
+        parts.append(dead_symbols(held, edges))
+    elif wants("symbols"):
+        parts.append(symbols.select(F.col("file").alias("path"), F.lit(1).alias("symbols")))
+    if wants("cohesion"):
+        parts.append(merged_symbols(held, placed.where("source_file = target_file").select("source", "target")))
+    if calls:
+        imports = checkpoint(imports.select("source", "target").distinct())
+        parts += [coupling_counts(imports, placed), imports.select(F.col("source").alias("path"), F.lit(1).alias("imports"))]
+    if wants("duplicated_pct"):
+        parts.append(duplicated_lines(texts.select("path", F.explode("prints").alias("print"))))
+    if wants("issue_density", "security_density", "ai_density", "duplication_hits", "documentation_score"):
+        parts.append(issues.select("path", *[F.col(c).alias(f"issue_{c}") for c in ISSUES]))
+    if wants("coverage"):
+        parts.append(with_companion(texts.select("path")).select("path", F.lit(1).alias("companions")))
+    counts = ["symbols", "dead", "kinds", "merged", "internal_calls", "cbo", "imports", "duplicated", *[f"issue_{c}" for c in ISSUES], "companions"]
+    met = texts.drop("prints")
+    if parts:
+        rows = reduce(lambda up, down: up.unionByName(down, allowMissingColumns=True), parts)
+        met = met.join(rows.groupBy("path").agg(*[F.sum(c).cast("long").alias(c) for c in counts if c in rows.columns]), "path", "left")
+    met = met.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) if c in met.columns else F.lit(0).cast("long") for c in counts})
     dense = lambda c: M.per_kloc(F.col(c).cast("double"), F.greatest("loc", F.lit(1)))
     per_line = lambda part: F.when(F.col("nloc") == 0, 0.0).otherwise(part / F.col("nloc"))
-    components = F.coalesce("components", F.greatest("symbols", F.lit(1)))
     made: dict[str, Column] = {
+        "coverage": F.when(P.is_test_path(F.col("path")) | (F.col("companions") > 0), 100.0).otherwise(0.0),
         "structural": 1.0 + F.col("symbols") + F.col("internal_calls") + F.col("imports"),
         "issue_density": dense("issue_total"),
         "security_density": dense("issue_security"),
@@ -91,12 +136,10 @@ def file_index(files: DataFrame, imports: DataFrame, symbols: DataFrame, edges:
         "duplicated_pct": F.least(F.lit(100.0), 100.0 * per_line(F.col("duplicated"))),
         "dead_code_pct": F.when(F.col("symbols") == 0, 0.0).otherwise(100.0 * F.col("dead") / F.col("symbols")),
         "stale_density": dense("stale"),
-        "cyclomatic_density": per_line(F.col("cyclomatic")),
-        "cohesion": M.cohesion(F.col("symbols"), components),
+        "cohesion": M.cohesion(F.col("symbols"), F.col("kinds") - F.col("merged")),
         "documentation_score": documentation_score(F.col("issue_documentation")),
     }
-    kept = [c for c in met.columns if not c.startswith("issue_") and c not in ("imports", "dead", "duplicated", "components", "stale", "internal_calls")]
-    return met.select(*kept, *[v.alias(k) for k, v in made.items()])
+    return met.select("path", "package", *[made[c].alias(c) if c in made else F.col(c) for c in columns])
 
 
 def package_index(index: DataFrame) -> DataFrame:

@@ -24,6 +24,15 @@ COMPANIONS = (".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx", ".test.js", "_te
 def with_companion_test(files: DataFrame) -> DataFrame:
     """``files`` plus ``covered``: a test itself, or one of nine companion names exists.
 
+    """
+    found = with_companion(files).withColumn("__found", F.lit(True))
+    covered = P.is_test_path(F.col("path")) | F.coalesce("__found", F.lit(False))
+    return files.join(found, "path", "left").withColumn("covered", covered).drop("__found")
+
+
+def with_companion(files: DataFrame) -> DataFrame:
+    """``(path)`` of ``files`` that have one of nine companions, each once.
+
     Files that may be companions, few of all, say what they are companions of; a file asks by
     its own name, twice, and not by all nine.
     """
@@ -35,9 +44,7 @@ def with_companion_test(files: DataFrame) -> DataFrame:
     held = files.select(F.explode(F.array_compact(F.array(*[F.concat(F.lit("/"), c) for c in (*beside, below)], rust))).alias("of")).distinct()
     # A name without its folder stands behind a star, so it is no path of another kind.
     wanted = files.select("path", F.explode(F.array(F.concat(F.lit("/"), own), F.concat(F.lit("*"), _stem(path)))).alias("of"))
-    found = wanted.join(held, "of", "left_semi").select("path").distinct().withColumn("__found", F.lit(True))
-    covered = P.is_test_path(path) | F.coalesce("__found", F.lit(False))
-    return files.join(found, "path", "left").withColumn("covered", covered).drop("__found")
+    return wanted.join(held, "of", "left_semi").select("path").distinct()
 
 
 def untested(files: DataFrame) -> DataFrame:

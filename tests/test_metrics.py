@@ -130,3 +130,21 @@ def test_metrics_that_nobody_reads_are_not_made(spark):
 
     plan = entry.queries()["code_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" in plan and "except|elif" not in plan  # the fold over lines of the cognitive metric
+
+
+def test_lines_ends_and_extensions_equal_their_plain_rules(spark):
+    import random
+    import re
+
+    r = random.Random(3)
+    bits = ["a", "b c", "\n", "\r\n", "\r", " ", "\t", " ", " ", "\x85", "\x1c", "é", "  ", "."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(400)] + ["", "\n", "\r\n", "a\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.lines_of(F.col("t")).alias("ls"), M.trimmed_lines(F.col("t")).alias("trimmed")).collect()
+    for row in rows:
+        want = re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", row["t"])) if row["t"] else []
+        assert row["ls"] == want and row["trimmed"] == [line.strip(M.BLANKS) for line in want]
+    names = ["a.ts", "d/a.b.PY", ".env", "d/.env.rs", "a.", "a..rs", "noext", "d.x/noext", "a\nb.go", "a b.java", "", "x.unknown"]
+    got = {x["p"]: x["l"] for x in spark.createDataFrame([(n,) for n in names], "p string").select("p", P.language_of(F.col("p")).alias("l")).collect()}
+    assert got["a.ts"] == "typescript" and got["d/a.b.PY"] == "python" and got["a..rs"] == "rust" and got["x.unknown"] == "other"
+    assert [got[n] for n in (".env", "a.", "noext", "d.x/noext", "")] == [None] * 5
+    assert got["a\nb.go"] == "go"  # a dot of the short rule may be any character

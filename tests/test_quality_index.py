@@ -75,3 +75,28 @@ def test_index_of_nothing(spark):
     empty = [f.limit(0) for f in frames(spark)]
     index = Q.file_index(*empty)
     assert index.collect() == [] and Q.package_index(index).collect() == []
+
+
+def test_columns_that_nobody_wants_are_not_made(spark):
+    from pyspark.sql import functions as F
+
+    files, imports, symbols, edges, issues = frames(spark)
+    whole = Q.file_index(files, imports, symbols, edges, issues)
+    assert whole.columns == ["path", "package", *Q.COLUMNS]
+    broken = lambda frame: frame.select(*[F.raise_error(F.lit("read")).cast("string").alias(c) for c in frame.columns])
+    wanted = ["symbols", "coverage", "loc", "cyclomatic_density", "documentation_score", "issue_density"]
+    some = Q.file_index(files, broken(imports), symbols, broken(edges), issues, wanted)
+    assert some.columns == ["path", "package", *wanted]
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.select("path", "package", *wanted).collect()))
+    texts = Q.file_index(files, broken(imports), broken(symbols), broken(edges), broken(issues), ["cognitive", "duplicated_pct"])
+    assert sorted(map(str, texts.collect())) == sorted(map(str, whole.select("path", "package", "cognitive", "duplicated_pct").collect()))
+
+
+def test_parts_of_a_file_are_its_symbols_less_those_joined(spark):
+    text = "function alpha() { bravo(); }\nfunction bravo() {}\nfunction delta() {}\nfunction delta() {}\nfunction tango() { sierra(); }\nfunction sierra() { tango(); }\n"
+    index = Q.file_index(*frames(spark, [("x.ts", ".", text), ("y.ts", ".", "function alpha() {}\nfunction alpha() {}\n")]), ["symbols", "cohesion", "dead_code_pct"])
+    rows = {r["path"]: r for r in index.collect()}
+    # Five kinds in three parts: alpha-bravo, delta and tango-sierra; delta stands twice.  One kind twice is one part.
+    assert rows["x.ts"]["symbols"] == 6 and rows["x.ts"]["cohesion"] == pytest.approx(100 * (1 - 2 / 5))
+    assert rows["x.ts"]["dead_code_pct"] == pytest.approx(100 * 3 / 6)
+    assert rows["y.ts"]["cohesion"] == 100.0 and rows["y.ts"]["dead_code_pct"] == 100.0
