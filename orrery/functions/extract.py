@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.metrics import lines_of, trimmed
+from orrery.functions.metrics import BLANKS, lines_of, trimmed, trimmed_lines
 from orrery.functions.paths import language_of, normalize_path, once, parent_dir
+from orrery.session import dealt
 
 #: What a bare import may be called on disk, in order.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".rs", ".py", ".go", ".java", "/mod.rs", "/index.ts", "/index.tsx", "/index.js")
@@ -44,16 +47,34 @@ def imports_of(line: Column, language: Column) -> Column:
     return F.when(language == "rust", rust).when(language == "python", python).when(language == "java", java).otherwise(ts)
 
 
+def _texts_where(files: DataFrame, kept: Sequence[str], test: Callable[[Column, Column], Column]) -> DataFrame:
+    """``files`` with their language, as far as ``test(content, language)`` holds."""
+    fit = files.where(once(language_of(F.col("path")), lambda language: test(F.col("content"), language)))
+    return fit.select(*kept, language_of(F.col("path")).alias("language"), "content")
+
+
+def _may_import(text: Column, language: Column) -> Column:
+    """Whether a line, or any line of a text, holds a word that every import of the language has."""
+    either = lambda a, b: F.contains(text, F.lit(a)) | F.contains(text, F.lit(b))
+    return F.when(language == "rust", either("use", "mod")).otherwise(either("import", "from"))
+
+
 def extract_imports(files: DataFrame) -> DataFrame:
-    """``(path, spec)`` of ``files(path, content)``, distinct."""
-    lines = files.select("path", language_of(F.col("path")).alias("language"), F.explode(lines_of(F.col("content"))).alias("line"))
-    found = lines.select("path", F.explode(imports_of(trimmed(F.col("line")), F.col("language"))).alias("spec"))
+    """``(path, spec)`` of ``files(path, content)``, distinct; a ``package`` of the files stays with them."""
+    kept = [c for c in ("path", "package") if c in files.columns]
+    texts = _texts_where(files, kept, _may_import)
+    lines = texts.select(*kept, "language", F.explode(lines_of(F.col("content"))).alias("line")).where(_may_import(F.col("line"), F.col("language")))
+    found = lines.withColumn("line", trimmed(F.col("line"))).select(*kept, F.explode(imports_of(F.col("line"), F.col("language"))).alias("spec"))
     return found.where("spec <> ''").distinct()
 
 
 def bases(path: Column, spec: Column, package: Column) -> Column:
     """Paths that an import may mean, without what ``SUFFIXES`` add, best first."""
-    here = parent_dir(path)
+    return bases_in(parent_dir(path), spec, package)
+
+
+def bases_in(here: Column, spec: Column, package: Column) -> Column:
+    """``bases`` of an import by any file of the folder ``here``."""
     above = parent_dir(here)
     tail = lambda head: F.replace(F.regexp_replace(spec, f"^{head}(::)?", ""), F.lit("::"), F.lit("/"))
     in_source = lambda root, name: F.when(root == ".", F.concat(F.lit("src/"), name)).otherwise(F.concat(root, F.lit("/"), name))
@@ -81,24 +102,40 @@ def stems(files: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``(source, target)`` file edges of ``imports(path, spec)`` over ``files(path, package)``.
+    """``(source, target)`` file edges of ``imports(path, spec)`` over ``files(path, package)``; paths are distinct.
 
     The first candidate that is a file wins; imports of none of them match the smallest path
     that ends in the import as a Java path.  Both steps are equi-joins on exploded names.
+
+    What an import means depends on the folder and the package of its file, so equal imports of
+    a folder are looked up once and only the answers meet the files.  Imports that bring the
+    ``package`` of their file (``extract_imports`` of the same files) need not look for it.
     """
-    owned = imports.join(files.select("path", "package"), "path").withColumn("at", F.xxhash64("path", "spec"))
+    if "package" in imports.columns:
+        owned = imports.withColumn("inside", F.lit(True))
+    else:
+        owned = imports.join(files.select("path", "package", F.lit(True).alias("inside")), "path", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    owned = owned.select("path", "spec", "package", "inside", parent_dir(F.col("path")).alias("here"))
+    keys = ["inside", "here", "package", "spec"]
+    asked = owned.select(*keys).distinct()
+
+    def answered(left: DataFrame, right: DataFrame) -> DataFrame:
+        named = right.select(*[F.col(c).alias(f"__{c}") for c in keys], "target")
+        same = [F.col(c) == F.col(f"__{c}") for c in keys if c != "package"] + [F.col("package").eqNullSafe(F.col("__package"))]
+        return left.join(named, same, "left").drop(*[f"__{c}" for c in keys])
+
     # A file has two or three suffixes; an import with all its suffixes would be thirteen times the rows.
-    tried = owned.select("path", "spec", F.posexplode(bases(F.col("path"), F.col("spec"), F.col("package"))).alias("ord", "base"))
+    tried = asked.where("inside").select(*keys, F.posexplode(bases_in(F.col("here"), F.col("spec"), F.col("package"))).alias("ord", "base"))
     known = files.select(F.col("path").alias("target")).distinct()
-    direct = tried.join(stems(known), "base").groupBy("path", "spec").agg(F.min_by("target", F.struct("ord", "suffix")).alias("target"))
-    rest = imports.join(direct.select("path", "spec"), ["path", "spec"], "left_anti")
-    java = rest.withColumn("suffix", F.concat(F.regexp_replace(F.replace("spec", F.lit("\\"), F.lit("/")), "^/+", ""), F.lit(".java")))
+    # Spark takes exploded paths for few and would broadcast them.
+    direct = tried.join(dealt(stems(known)), "base").groupBy(*keys).agg(F.min_by("target", F.struct("ord", "suffix")).alias("target"))
+    met = answered(asked, direct).withColumn("suffix", F.when(F.col("target").isNull(), F.concat(F.regexp_replace(F.replace("spec", F.lit("\\"), F.lit("/")), "^/+", ""), F.lit(".java"))))
     parts = F.split("target", "/")
     tails = known.where(F.endswith("target", F.lit(".java"))).select(
         "target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix")
     )
-    by_tail = java.join(tails.groupBy("suffix").agg(F.min("target").alias("target")), "suffix").select("path", "spec", "target")
-    edges = direct.select("path", "target").unionByName(by_tail.select("path", "target"))
+    met = met.join(tails.groupBy("suffix").agg(F.min("target").alias("tail")), "suffix", "left").select(*keys, F.coalesce("target", "tail").alias("target"))
+    edges = answered(owned, met.where("target IS NOT NULL"))
     return edges.where("path <> target").select(F.col("path").alias("source"), "target").distinct()
 
 
@@ -106,24 +143,43 @@ def symbol_of(line: Column, language: Column) -> Column:
     """Struct (kind, label) of a declaration on a trimmed line; null otherwise."""
     rule = lambda r: F.struct(F.regexp_extract(line, r, 1).alias("kind"), F.regexp_extract(line, r, 2).alias("label"))
     found = F.when(language == "rust", rule(RUST_SYMBOL)).when(language == "python", rule(PY_SYMBOL)).when(language == "java", rule(JAVA_SYMBOL)).otherwise(rule(TS_SYMBOL))
-    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return once(found, lambda f: F.when(f["label"] != "", F.struct(F.coalesce(F.element_at(names, f["kind"]), f["kind"]).alias("kind"), f["label"].alias("label"))))
+
+    def kind(word: Column) -> Column:
+        named = F.when(word.isNull(), None)
+        for keyword, name in KINDS.items():
+            named = named.when(word == keyword, name)
+        return named.otherwise(word)
+
+    return once(found, lambda f: F.when(f["label"] != "", F.struct(kind(f["kind"]).alias("kind"), f["label"].alias("label"))))
+
+
+def _by_language(language: Column, test: Callable[[str], Column]) -> Column:
+    return F.when(language == "rust", test(RUST_SYMBOL)).when(language == "python", test(PY_SYMBOL)).when(language == "java", test(JAVA_SYMBOL)).otherwise(test(TS_SYMBOL))
+
+
+def declares(text: Column, language: Column, times: int = 1) -> Column:
+    """Whether at least so many lines of a text are declarations; a line ends at its line feed only."""
+    start = lambda r: f"^[{BLANKS.replace(chr(10), '')}]*+(?>{r[1:]})"
+    return _by_language(language, lambda r: F.regexp_like(text, F.lit("(?md)" + "(?s:.*?)".join([start(r)] * times))))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
     """``(id, label, kind, file, line)``; ids repeat where a file repeats a name."""
-    lines = files.select("path", language_of(F.col("path")).alias("language"), lines_of(F.col("content")).alias("ls"))
-    marked = F.transform("ls", lambda line, i: F.struct((i + 1).alias("line"), symbol_of(trimmed(line), F.col("language")).alias("s")))
-    found = lines.select("path", F.explode(F.filter(marked, lambda x: x["s"].isNotNull())).alias("x")).select("path", "x.*")
-    return found.select(F.concat("path", F.lit("::"), "s.label").alias("id"), "s.label", "s.kind", F.col("path").alias("file"), "line")
+    language = F.col("language")
+    texts = _texts_where(files, ["path"], declares)
+    lines = texts.select("path", "language", F.posexplode(lines_of(F.col("content"))).alias("at", "line")).select("path", "language", "at", trimmed(F.col("line")).alias("t"))
+    found = lines.where(_by_language(language, lambda r: F.regexp_like("t", F.lit(r)))).select("path", "at", symbol_of(F.col("t"), language).alias("s"))
+    return found.select(F.concat("path", F.lit("::"), "s.label").alias("id"), "s.label", "s.kind", F.col("path").alias("file"), (F.col("at") + 1).alias("line"))
 
 
 def symbol_edges(files: DataFrame, max_symbols: int = 128, max_body: int = 400) -> DataFrame:
     """``(source, target)``: a symbol whose body holds another symbol's name; both limits are the definition.
 
-    Symbols and bodies stay in their file's row, so nothing is paired across files.
+    Symbols and bodies stay in their file's row, so nothing is paired across files.  Only
+    files with two declarations are taken apart.
     """
-    body = files.select("path", language_of(F.col("path")).alias("language"), F.transform(lines_of(F.col("content")), trimmed).alias("ls"))
+    texts = _texts_where(files, ["path"], lambda text, language: declares(text, language, 2))
+    body = texts.select("path", "language", trimmed_lines(F.col("content")).alias("ls"))
     marked = F.transform("ls", lambda t, i: F.struct(i.alias("at"), symbol_of(t, F.col("language")).alias("s")))
     own = body.withColumn("syms", F.slice(F.filter(marked, lambda x: x["s"].isNotNull()), 1, max_symbols)).where(F.size("syms") > 1)
     each = own.select("path", "ls", "syms", F.posexplode("syms").alias("k", "me"))

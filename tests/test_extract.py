@@ -95,3 +95,35 @@ def test_folders_of_both_ends_meet_in_the_row(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
     assert len(joins) == 2 and all("LeftSemi" in line for line in joins)  # no exploded folders are joined
+
+
+def test_equal_imports_of_a_folder_are_looked_up_once(spark):
+    rows = [(f"a/f{k}.ts", "a", "import { x } from './m';\nimport y from 'com/foo/Bar';\n") for k in range(30)]
+    rows += [("a/m.ts", "a", "import z from './f3'\n"), ("b/m.ts", None, "import z from '../a/m'\nimport './m'\n"), ("j/com/foo/Bar.java", "j", "import com.foo.Bar;\n"), ("c/n.rs", "c", "use crate::k;\n"), ("c/src/k.rs", "c", "")]
+    files = spark.createDataFrame(rows, "path string, package string, content string")
+    imports = X.extract_imports(files)
+    assert set(imports.columns) == {"path", "package", "spec"}  # files are not asked for the package again
+    plain = imports.select("path", "spec").unionByName(spark.createDataFrame([("gone.ts", "com/foo/Bar"), ("gone.ts", "./m")], "path string, spec string"))
+    want = {(p, t) for p, _, _ in rows[:30] for t in ("a/m.ts", "j/com/foo/Bar.java")} | {("a/m.ts", "a/f3.ts"), ("b/m.ts", "a/m.ts"), ("c/n.rs", "c/src/k.rs")}
+    assert {tuple(r) for r in X.resolve_imports(imports, files).collect()} == want
+    plan = X.resolve_imports(imports, files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan  # exploded paths are no side to broadcast
+    assert {tuple(r) for r in X.resolve_imports(plain, files).collect()} == want | {("gone.ts", "j/com/foo/Bar.java")}
+
+
+def test_texts_with_declarations_are_found_whole(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from orrery.functions.metrics import trimmed_lines
+
+    r = random.Random(7)
+    bits = ["function f", "export class K", "pub fn g", "def h", "void run", "let ", "\n", "\r\n", "\r", " ", " ", "\x85", " ", "x ", "\n  ", "é", "class A"]
+    rows = [(f"p{k}.{r.choice(['ts', 'rs', 'py', 'java', 'txt'])}", "".join(r.choice(bits) for _ in range(r.randint(0, 9)))) for k in range(500)]
+    files = spark.createDataFrame([*rows, ("none", "class B\nclass C")], "path string, content string").withColumn("language", X.language_of(F.col("path")))
+    found = F.size(F.filter(trimmed_lines(F.col("content")), lambda t: X.symbol_of(t, F.col("language")).isNotNull()))
+    made = files.select("path", found.alias("n"), X.declares(F.col("content"), F.col("language")).alias("one"), X.declares(F.col("content"), F.col("language"), 2).alias("two")).collect()
+    assert all(x["one"] == (x["n"] >= 1) and x["two"] == (x["n"] >= 2) for x in made) and sum(x["two"] for x in made) > 5
+    listed = {x["file"]: x["n"] for x in X.extract_symbols(files.select("path", "content")).groupBy("file").agg(F.count("*").alias("n")).collect()}
+    assert listed == {x["path"]: x["n"] for x in made if x["n"]}
